@@ -86,3 +86,24 @@ event_long AS (
 
 def with_views(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+LINE_NULLS = """
+line_nulls AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+         nullif(l_tax, 0.0) AS l_tax,
+         CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag,
+         l_linestatus, p_type, p_brand, p_size
+  FROM line_audit
+)"""
+
+ORDER_DETECT = """
+order_detect AS (
+  SELECT y_true, o_orderstatus, o_orderpriority, c_mktsegment, n_name, r_name, c_acctbal
+  FROM order_audit
+)"""
+
+LINE_DETECT = """
+line_detect AS (
+  SELECT y_true, l_linestatus, p_type, p_brand, p_size, l_quantity, l_discount, l_tax, l_extendedprice
+  FROM line_audit
+)"""

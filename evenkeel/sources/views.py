@@ -129,3 +129,27 @@ def event_audit(spark: SparkSession, sf_dir: str) -> AuditView:
         (F.col("user_id") % 4).cast("string").alias("user_bucket"),
     )
     return AuditView(df, ["value50"], ["user_bucket"], {})
+
+
+def line_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_audit with injected nulls (l_tax 0 -> null; some 'A' flags -> null)."""
+    d = line_audit(spark, sf_dir).df
+    return d.select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        F.expr("nullif(l_tax, 0.0)").alias("l_tax"),
+        F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 2 == 0), None)
+         .otherwise(F.col("l_returnflag")).alias("l_returnflag"),
+        "l_linestatus", "p_type", "p_brand", "p_size")
+
+
+def order_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw-ish order table for the detection scans (target y_true)."""
+    return order_audit(spark, sf_dir).df.select(
+        "y_true", "o_orderstatus", "o_orderpriority", "c_mktsegment", "n_name", "r_name", "c_acctbal")
+
+
+def line_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw-ish line table for the detection scans (target y_true)."""
+    return line_audit(spark, sf_dir).df.select(
+        "y_true", "l_linestatus", "p_type", "p_brand", "p_size", "l_quantity", "l_discount",
+        "l_tax", "l_extendedprice")
