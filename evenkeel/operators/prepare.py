@@ -202,3 +202,12 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
         out = out.withColumnRenamed(f"sens_{s}", s)
     return Prepared(out.where(~F.col("is_test")), out.where(F.col("is_test")), feats, imputer,
                     onehot, scaler, spec)
+
+
+def persist_prepared(p: Prepared) -> Prepared:
+    """Keep both splits for the iterative fits (MEMORY_AND_DISK: a lost
+    executor's blocks are recomputed from lineage)."""
+    from pyspark import StorageLevel
+    p.train = p.train.persist(StorageLevel.MEMORY_AND_DISK)
+    p.test = p.test.persist(StorageLevel.MEMORY_AND_DISK)
+    return p
