@@ -42,7 +42,7 @@ def build(name: str, total_weight: float, weight_col: Optional[str] = None,
     if name == "logistic_regression":
         return LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / (C * max(total_weight, 1.0)),
                                   elasticNetParam=0.0, standardization=False, family="binomial",
-                                  tol=1e-8, **common)
+                                  tol=1e-6, **common)
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_MIN_LEAF,
                                       seed=SEED, **common)

@@ -68,6 +68,14 @@ class Imputer:
         return spark.createDataFrame(rows, "column string, strategy string, fill_value string")
 
 
+def _native(s: str, t):
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return int(s)
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return float(s)
+    return s
+
+
 @dataclass
 class OneHot:
     """M2: one dummy per category except the alphabetically (or numerically)
@@ -76,22 +84,66 @@ class OneHot:
 
     @classmethod
     def fit(cls, df: DataFrame, categorical: Sequence[str]) -> "OneHot":
-        cats = {}
-        for c in categorical:
-            vals = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().collect()]
-            cats[c] = sorted(vals)
-        return cls(cats)
+        """Distinct values of every categorical column in one job (an
+        unpivot + distinct whose output is bounded by the cardinalities)."""
+        cats = list(categorical)
+        if not cats:
+            return cls({})
+        types = {f.name: f.dataType for f in df.schema.fields}
+        packed = df.select(*[F.struct(F.col(c).cast("string").alias("s"),
+                                      (F.col(c).cast("double") if not isinstance(types[c], T.StringType)
+                                       else F.lit(None).cast("double")).alias("d")).alias(c)
+                             for c in cats])
+        vals = (packed.unpivot([], cats, "column", "v").where(F.col("v.s").isNotNull())
+                .select("column", "v.s", "v.d").distinct().collect())
+        out = {c: [] for c in cats}
+        for r in vals:
+            out[r["column"]].append((r["d"], r["s"]))
+        for c in cats:
+            native = isinstance(types[c], T.StringType)
+            key = (lambda t: t[1]) if native else (lambda t: (t[0], t[1]))
+            out[c] = [t[1] if native else _native(t[1], types[c]) for t in sorted(out[c], key=key)]
+        return cls(out)
 
     def names(self) -> List[str]:
         return [f"{c}_{v}" for c, vals in self.categories.items() for v in vals[1:]]
 
     def columns(self) -> List[Column]:
+        """Dense 0/1 dummy columns (for small reports; models use ``encode``)."""
         out = []
         for c, vals in self.categories.items():
             for v in vals[1:]:
                 out.append(F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}_{v}"))
         return out
 
+    def index_columns(self) -> List[Column]:
+        """Category index per column: categories[1:] -> 0..n-2; the first
+        category and nulls -> n-1, the slot OneHotEncoder drops. Carries ML
+        nominal metadata so the encoder needs no scan to size itself."""
+        out = []
+        for c, vals in self.categories.items():
+            n = max(len(vals), 1)
+            pairs = [x for i, v in enumerate(vals) for x in (F.lit(str(v)), F.lit(float((i - 1) % n)))]
+            m = F.create_map(*pairs) if pairs else F.create_map()
+            meta = {"ml_attr": {"type": "nominal", "num_vals": n, "name": f"{c}__idx"}}
+            out.append(F.coalesce(m[F.col(c).cast("string")], F.lit(float(n - 1)))
+                       .alias(f"{c}__idx", metadata=meta))
+        return out
+
+    def vector_names(self) -> List[str]:
+        return [f"{c}__vec" for c in self.categories]
+
+    def encode(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Sparse one-hot vectors ``<col>__vec`` (slot j = categories[j+1])."""
+        from pyspark.ml.feature import OneHotEncoder
+        cols = list(self.categories)
+        x = df.select(*[F.col(k) for k in keep], *self.index_columns())
+        if not cols:
+            return x
+        enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=self.vector_names(),
+                            dropLast=True, handleInvalid="error").fit(x)
+        return enc.transform(x).drop(*[f"{c}__idx" for c in cols])
+
 
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], test_size: float = 0.2,
                      seed: int = SEED) -> DataFrame:
@@ -186,17 +238,26 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
     base = d.select(*[F.col(c) for c in dict.fromkeys(key_cols + cat + cont)],
                     *[F.col(s).cast("string").alias(f"sens_{s}") for s in sens],
                     binarize(spec.target, spec.positive).alias("y_true"))
+    # the reference imputes only when something is missing; fit only those columns
+    nulls = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cat + cont]).first() \
+        if cat + cont else {}
+    cat_n = [c for c in cat if nulls[c]]
+    cont_n = [c for c in cont if nulls[c]]
     split = stratified_split(base, "y_true", key_cols, test_size, seed)
-    imputer = Imputer.fit(split if impute_on == "all" else split.where(~F.col("is_test")), cat, cont)
-    imp = imputer.transform(split)
-    onehot = OneHot.fit(imp, cat)
-    train_raw = imp.where(~F.col("is_test"))
-    scaler = Scaler.fit(train_raw, cont)
+    if impute_on == "all":
+        imputer = Imputer.fit(base, cat_n, cont_n)
+    else:
+        imputer = Imputer.fit(split.where(~F.col("is_test")), cat_n, cont_n)
+    onehot = OneHot.fit(base, cat)
+    from pyspark import StorageLevel
+    imp = imputer.transform(split).persist(StorageLevel.MEMORY_AND_DISK)
+    scaler = Scaler.fit(imp.where(~F.col("is_test")), cont)
     feats = [c for c in cont] + onehot.names()
     keep = list(dict.fromkeys(key_cols)) + [f"sens_{s}" for s in sens] + ["y_true", "is_test"]
-    enc = imp.select(*[F.col(k) for k in keep], *scaler.columns(), *onehot.columns())
-    enc = enc.select(*keep, *[F.col(f"`{c}`").alias(c) for c in feats])
-    assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+    scaled = imp.select(*[F.col(k) for k in keep], *scaler.columns(), *[F.col(c) for c in cat])
+    enc = onehot.encode(scaled, keep + cont)
+    assembler = VectorAssembler(inputCols=cont + onehot.vector_names(), outputCol="features",
+                                handleInvalid="keep")
     out = assembler.transform(enc).select(*keep, "features")
     for s in sens:
         out = out.withColumnRenamed(f"sens_{s}", s)

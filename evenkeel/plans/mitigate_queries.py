@@ -56,12 +56,19 @@ def q_standardise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Ones per dummy, summed from the assembled feature vector (one vector
+    aggregate instead of one sum per dummy column)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
     d = views.line_nulls(spark, sf)
     oh = prepare.OneHot.fit(d, ["l_linestatus", "p_brand", "p_size"])
-    enc = d.select(*oh.columns())
     names = oh.names()
-    return enc.agg(*[F.sum(F.col(f"`{n}`")).alias(n) for n in names]).unpivot(
-        [], names, "feature", "n_ones").select("feature", F.col("n_ones").cast("long").alias("n_ones"))
+    vec = VectorAssembler(inputCols=oh.vector_names(), outputCol="features").transform(oh.encode(d, []))
+    tot = vec.select(Summarizer.sum(F.col("features")).alias("s")).select(vector_to_array("s").alias("s"))
+    label = F.array(*[F.lit(n) for n in names])
+    return tot.select(F.posexplode("s").alias("pos", "n_ones")).select(
+        F.element_at(label, F.col("pos") + 1).alias("feature"), F.col("n_ones").cast("long").alias("n_ones"))
 
 
 def q_stratified_split_counts(spark: SparkSession, sf: str) -> DataFrame:
