@@ -215,3 +215,46 @@ ORACLE = {
     "audit_report_rows": ARR_SQL,
     "best_model": BEST_SQL,
 }
+
+
+def q_tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact TreeSHAP of a decision tree on every test row (doc view)."""
+    from evenkeel.operators.treeshap import tree_attribution
+    p = _doc_prepared(spark, sf)
+    m, _ = models.fit("decision_tree", p.train)
+    return report_round(tree_attribution(m, p.test, p.feature_names, ["row_id", "lang"]))
+
+
+def q_forest_group_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 + A30 on a random forest: group attribution differences by language."""
+    from evenkeel.operators.treeshap import tree_attribution
+    p = _doc_prepared(spark, sf)
+    m, _ = models.fit("random_forest", p.train)
+    attr = tree_attribution(m, p.test, p.feature_names, ["row_id", "lang"])
+    return report_round(explain.group_attribution(attr, "lang", "en"))
+
+
+def q_sampled_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """E5: permutation-sampling attribution of a decision tree (doc view)."""
+    p = _doc_prepared(spark, sf)
+    m, _ = models.fit("decision_tree", p.train)
+    return report_round(explain.sampled_attribution(m, p.test, p.train, p.feature_names,
+                                                    ["row_id", "lang"], "row_id"))
+
+
+def q_fair_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """The reduction's metrics row (order view, c_mktsegment)."""
+    from evenkeel.operators.reductions import fair_classifier
+    p = _order_prepared(spark, sf)
+    ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
+                             ["row_id", "y_true", "c_mktsegment"])
+    _, _, row = fair_classifier(ctx)
+    return report_round(row)
+
+
+QUERIES.update({
+    "tree_attribution": q_tree_attribution,
+    "forest_group_attribution": q_forest_group_attribution,
+    "sampled_attribution": q_sampled_attribution,
+    "fair_classifier": q_fair_classifier,
+})
