@@ -42,13 +42,7 @@ def exact_kth(df: DataFrame, targets: Dict[str, list]) -> Dict[str, list]:
             del state[key]
         if not state:
             break
-        cond = None
-        for (c, _), (lo, hi, _) in state.items():
-            term = (F.col("column") == c) & (F.col("x") >= lo) & (F.col("x") <= hi)
-            cond = term if cond is None else cond | term
         # one pass: histogram per open interval (ranks of one column share a pass)
-        los = {c: st[0] for (c, _), st in state.items()}
-        his = {c: st[1] for (c, _), st in state.items()}
         intervals = {}
         for (c, k), (lo, hi, _) in state.items():
             intervals.setdefault((c, lo, hi), []).append(k)

@@ -258,3 +258,29 @@ QUERIES.update({
     "sampled_attribution": q_sampled_attribution,
     "fair_classifier": q_fair_classifier,
 })
+
+
+def q_before_after(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 + P17: accuracy and DIR per strategy with short labels."""
+    p = _order_prepared(spark, sf)
+    ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
+                             ["row_id", "y_true", "c_mktsegment"])
+    return report_round(report.before_after(strategies.run_all(ctx, ["baseline", "reweighing", "thresholds"])))
+
+
+def q_top_attribution_magnitude(spark: SparkSession, sf: str) -> DataFrame:
+    """W5 over the linear attribution's group table."""
+    g = explain.group_attribution(_linear_attr(spark, sf), "c_mktsegment", "BUILDING")
+    return report_round(explain.top_by_total_magnitude(g, 10))
+
+
+QUERIES.update({
+    "before_after": q_before_after,
+    "top_attribution_magnitude": q_top_attribution_magnitude,
+})
+
+from evenkeel.plans.detect_queries import PROXY_SQL as _PROXY_SQL  # noqa: E402
+
+ORACLE["top_proxies"] = _PROXY_SQL.replace(
+    "v >= 0.20 AS flagged_as_proxy FROM vv",
+    "v >= 0.20 AS flagged_as_proxy FROM vv WHERE v >= 0.20 ORDER BY v DESC, feature LIMIT 10")

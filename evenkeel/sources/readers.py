@@ -88,3 +88,8 @@ def write_table(df: DataFrame, path: str, partition_by=None) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink for datasets and audit reports (one file per task)."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def preview(df: DataFrame, n: int = 8) -> DataFrame:
+    """First rows for a look at the table (a limit is the feature here)."""
+    return df.limit(n)
