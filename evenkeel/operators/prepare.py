@@ -23,6 +23,7 @@ from evenkeel.operators.quantile import exact_medians
 from evenkeel.spec import AuditSpec
 
 SPLIT_BUCKET_BITS = 16
+MAX_ONE_HOT = 100_000
 SEED = 42
 
 
@@ -83,12 +84,22 @@ class OneHot:
     categories: Dict[str, List[Any]] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, categorical: Sequence[str]) -> "OneHot":
+    def fit(cls, df: DataFrame, categorical: Sequence[str],
+            max_categories: int = MAX_ONE_HOT) -> "OneHot":
         """Distinct values of every categorical column in one job (an
-        unpivot + distinct whose output is bounded by the cardinalities)."""
+        unpivot + distinct whose output is bounded by the cardinalities).
+
+        A HyperLogLog pass first refuses columns with more than
+        ``max_categories`` values (an error, never a silent cut), so an id
+        column declared categorical cannot pull its values to the driver.
+        """
         cats = list(categorical)
         if not cats:
             return cls({})
+        approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+        wide = [c for c in cats if approx[c] > max_categories]
+        if wide:
+            raise ValueError(f"categorical columns with more than {max_categories} values: {wide}")
         types = {f.name: f.dataType for f in df.schema.fields}
         packed = df.select(*[F.struct(F.col(c).cast("string").alias("s"),
                                       (F.col(c).cast("double") if not isinstance(types[c], T.StringType)

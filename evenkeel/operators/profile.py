@@ -26,15 +26,27 @@ def missing_profile(df: DataFrame, columns: Optional[Sequence[str]] = None) -> D
                        (100.0 * safe_div("n_missing", "_rows")).alias("pct_missing"))
 
 
+def _with_totals(long: DataFrame, key: str, value: str, sums: dict) -> DataFrame:
+    """Aggregate (key, value) and the per-key totals in ONE rollup, then join
+    the totals (one row per key: bounded by the number of columns) back.
+    No window over all values of a key, so a wide column never lands in
+    one task."""
+    aggs = [F.sum(v).alias(k) if v is not None else F.count(F.lit(1)).alias(k) for k, v in sums.items()]
+    r = long.rollup(key, value).agg(*aggs, F.grouping(value).alias("_gv"), F.grouping(key).alias("_gk"))
+    r = r.where(F.col("_gk") == 0)
+    tot = r.where(F.col("_gv") == 1).select(key, *[F.col(k).alias(f"_tot_{k}") for k in sums])
+    cells = r.where(F.col("_gv") == 0).drop("_gv", "_gk")
+    return cells.join(F.broadcast(tot), key)
+
+
 def value_distribution(df: DataFrame, columns: Sequence[str],
                        privileged: Optional[Mapping[str, str]] = None) -> DataFrame:
     """A10: count and percent (of all rows, nulls included) per value."""
     cols = list(columns)
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "column", "value")
-    g = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("column"))
-    g = g.withColumn("pct", 100.0 * F.col("n") / total).where(F.col("value").isNotNull())
+    g = _with_totals(long, "column", "value", {"n": None})
+    g = g.withColumn("pct", 100.0 * F.col("n") / F.col("_tot_n")).where(F.col("value").isNotNull())
     priv = privileged_lookup(F.col("column"), privileged)
     return g.select("column", "value", "n", "pct",
                     F.when(priv.isNotNull(), F.col("value") == priv).alias("is_privileged"))
@@ -50,10 +62,8 @@ def favourable_rate(df: DataFrame, target: str, positive: Any, attributes: Seque
     y = binarize(target, positive)
     long = df.select(y.alias("_y"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         ["_y"], cols, "attribute", "group")
-    g = long.groupBy("attribute", "group").agg(F.count(F.lit(1)).alias("n"),
-                                               F.sum("_y").alias("_pos"))
-    w = Window.partitionBy("attribute")
-    g = g.withColumn("overall_rate", F.sum("_pos").over(w) / F.sum("n").over(w))
+    g = _with_totals(long, "attribute", "group", {"n": None, "_pos": "_y"})
+    g = g.withColumn("overall_rate", F.col("_tot__pos") / F.col("_tot_n"))
     g = g.where(F.col("group").isNotNull())
     rate = F.col("_pos") / F.col("n")
     return g.select("attribute", "group", "n", rate.alias("rate"), "overall_rate",
