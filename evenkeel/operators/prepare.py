@@ -28,15 +28,21 @@ SEED = 42
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> Dict[str, Optional[str]]:
-    """Most frequent non-null value per column (smallest on ties), as
-    strings. One unpivot + partially aggregated count for all columns."""
+    """Most frequent non-null value per column (smallest on ties, in the
+    column's own order: numeric for numbers), as strings. One unpivot +
+    partially aggregated count for all columns."""
     cols = list(cols)
     if not cols:
         return {}
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value").where(F.col("value").isNotNull())
-    g = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    m = g.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    packed = df.select(*[F.struct(F.col(c).cast("string").alias("s"),
+                                  (F.lit(None).cast("double") if isinstance(types[c], T.StringType)
+                                   else F.col(c).cast("double")).alias("d")).alias(c) for c in cols])
+    long = packed.unpivot([], cols, "column", "v").where(F.col("v.s").isNotNull())
+    g = long.groupBy("column", F.col("v.d").alias("d"), F.col("v.s").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"))
+    m = g.groupBy("column").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("d"), F.col("value"))).alias("mode"))
     got = {r["column"]: r["mode"] for r in m.collect()}
     return {c: got.get(c) for c in cols}
 
