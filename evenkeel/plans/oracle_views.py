@@ -91,7 +91,7 @@ LINE_NULLS = """
 line_nulls AS (
   SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
          nullif(l_tax, 0.0) AS l_tax,
-         CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag,
+         CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN NULL ELSE l_returnflag END AS l_returnflag,
          l_linestatus, p_type, p_brand, p_size
   FROM line_audit
 )"""

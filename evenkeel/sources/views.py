@@ -132,12 +132,12 @@ def event_audit(spark: SparkSession, sf_dir: str) -> AuditView:
 
 
 def line_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_audit with injected nulls (l_tax 0 -> null; some 'A' flags -> null)."""
+    """line_audit with injected nulls (l_tax 0 -> null; flag A on open lines -> null)."""
     d = line_audit(spark, sf_dir).df
     return d.select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         F.expr("nullif(l_tax, 0.0)").alias("l_tax"),
-        F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 2 == 0), None)
+        F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), None)
          .otherwise(F.col("l_returnflag")).alias("l_returnflag"),
         "l_linestatus", "p_type", "p_brand", "p_size")
 

@@ -44,3 +44,13 @@ def test_split_is_exact_and_disjoint(spark):
         import math
         assert c.get((y, True), 0) == math.ceil(0.2 * n - 1e-9)
     assert s.select("row_id").distinct().count() == d.count()
+
+
+def test_view_row_counts(spark):
+    # FIXTURES B: rows at sf0.001
+    assert views.doc_audit(spark, SF).df.count() == 87
+    assert views.order_audit(spark, SF).df.count() == 1500
+    assert views.line_audit(spark, SF).df.count() == 6000
+    assert views.event_audit(spark, SF).df.count() == 1000
+    n = views.line_nulls(spark, SF)
+    assert n.where("l_returnflag IS NULL").count() > 0 and n.where("l_tax IS NULL").count() > 0
