@@ -180,3 +180,19 @@ ORACLE = {
     "one_hot": ONEHOT_SQL,
     "stratified_split_counts": SPLIT_SQL,
 }
+
+
+def q_oversample_cells(spark: SparkSession, sf: str) -> DataFrame:
+    from evenkeel.operators.oversample import cell_plan
+    return cell_plan(views.order_audit(spark, sf).df, "c_mktsegment", "BUILDING")
+
+
+OVERSAMPLE_SQL = with_views(ORDER_AUDIT) + """,
+c AS (SELECT y_true * 2 + CAST(coalesce(c_mktsegment = 'BUILDING', false) AS INTEGER) AS cell,
+             y_true AS y, coalesce(c_mktsegment = 'BUILDING', false) AS is_priv, count(*) AS n
+      FROM order_audit GROUP BY ALL)
+SELECT cell, y, is_priv, CAST(n AS BIGINT) AS n, CAST(max(n) OVER () - n AS BIGINT) AS deficit,
+       (max(n) OVER () - n = 0) OR n > 5 AS enough_neighbours FROM c"""
+
+QUERIES["oversample_cells"] = q_oversample_cells
+ORACLE["oversample_cells"] = OVERSAMPLE_SQL
