@@ -22,7 +22,7 @@ from evenkeel.functions.scalar import binarize
 from evenkeel.operators.quantile import exact_medians
 from evenkeel.spec import AuditSpec
 
-SPLIT_BUCKET_BITS = 16
+DIRECT_HASHES = 1 << 16
 MAX_ONE_HOT = 100_000
 SEED = 42
 
@@ -91,7 +91,7 @@ class OneHot:
 
     @classmethod
     def fit(cls, df: DataFrame, categorical: Sequence[str],
-            max_categories: int = MAX_ONE_HOT) -> "OneHot":
+            max_categories: int = MAX_ONE_HOT, approx_counts: Optional[dict] = None) -> "OneHot":
         """Distinct values of every categorical column in one job (an
         unpivot + distinct whose output is bounded by the cardinalities).
 
@@ -102,7 +102,7 @@ class OneHot:
         cats = list(categorical)
         if not cats:
             return cls({})
-        approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+        approx = approx_counts or df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
         wide = [c for c in cats if approx[c] > max_categories]
         if wide:
             raise ValueError(f"categorical columns with more than {max_categories} values: {wide}")
@@ -162,32 +162,100 @@ class OneHot:
         return enc.transform(x).drop(*[f"{c}__idx" for c in cols])
 
 
+def _split_cuts(d: DataFrame, label: str, test_size: float):
+    """Per class: (cut-off hash, rows needed at the cut-off, rows at the cut-off).
+
+    Radix refinement over the signed 64-bit hash: each pass counts rows per
+    16-bit digit under the prefix fixed so far (one scan, at most 2^16
+    groups per class) and keeps the digit holding the wanted rank; the
+    first pass also yields the class sizes. As soon as the kept bucket holds
+    at most 2^16 rows, their hashes are read directly (a bounded fetch) and
+    the cut is finished on the driver: at most four passes plus one fetch,
+    whatever the data size; two jobs when buckets are small.
+    """
+    h = F.col("_h")
+    state: Dict[Any, dict] = {}
+    for shift in (48, 32, 16, 0):
+        digit = (F.shiftright(h, shift) if shift == 48
+                 else F.shiftright(h, shift).bitwiseAND(0xFFFF)).alias("_dig")
+        if shift == 48:
+            src = d
+        else:
+            cond = None
+            for c, st in state.items():
+                if st.get("done"):
+                    continue
+                term = (F.col(label) == F.lit(c)) & (F.shiftright(h, shift + 16) == F.lit(st["lo"]))
+                cond = term if cond is None else cond | term
+            src = d.where(cond)
+        rows = src.groupBy(label, digit).agg(F.count(F.lit(1)).alias("n")).collect()
+        by: Dict[Any, list] = {}
+        for r in rows:
+            by.setdefault(r[label], []).append((r["_dig"], r["n"]))
+        if shift == 48:
+            for c, lst in by.items():
+                k = int(math.ceil(sum(n for _, n in lst) * test_size - 1e-9))
+                if k > 0:
+                    state[c] = {"lo": None, "rank": k}
+        for c, st in state.items():
+            if st.get("done"):
+                continue
+            acc = 0
+            for dig, n in sorted(by[c]):
+                if st["rank"] <= acc + n:
+                    st["lo"] = dig if st["lo"] is None else (st["lo"] << 16) | dig
+                    st["rank"], st["at"], st["shift"] = st["rank"] - acc, n, shift
+                    break
+                acc += n
+        # a bucket small enough is read directly (bounded) and finished here
+        small = {c: st for c, st in state.items() if not st.get("done") and st["shift"] > 0
+                 and st["at"] <= DIRECT_HASHES}
+        if small:
+            cond = None
+            for c, st in small.items():
+                term = (F.col(label) == F.lit(c)) & (F.shiftright(h, st["shift"]) == F.lit(st["lo"]))
+                cond = term if cond is None else cond | term
+            got: Dict[Any, list] = {}
+            for r in d.where(cond).select(label, "_h").collect():
+                got.setdefault(r[label], []).append(r["_h"])
+            for c, st in small.items():
+                hs = sorted(got[c])
+                t = hs[st["rank"] - 1]
+                first = hs.index(t)
+                st["lo"], st["rank"], st["at"], st["done"] = t, st["rank"] - first, hs.count(t), True
+        state_open = {c: st for c, st in state.items() if not st.get("done")}
+        if not state_open:
+            break
+    return {c: (st["lo"], st["rank"], st["at"]) for c, st in state.items()}
+
+
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], test_size: float = 0.2,
                      seed: int = SEED) -> DataFrame:
     """M3: exact stratified split; adds boolean ``is_test``.
 
     Test rows of class c are the ceil(test_size * n_c) rows with the
-    smallest ``xxhash64(keys, seed)`` (ties by the keys). To avoid sorting
-    a whole class in one task, rows are spread over 2^16 hash buckets per
-    class: rows are ranked only inside their (class, bucket) and the
-    bucket offsets come from a window over the bucket counts (at most
-    2^16 rows per class, hence size-proven for a broadcast join).
+    smallest ``xxhash64(keys, seed)`` (rows sharing a hash have equal keys;
+    among those, ties go by the keys). The cut-off hash of each class is
+    found exactly by radix refinement over four bounded aggregations, so
+    assigning rows is a narrow projection: no shuffle or sort of the rows.
     """
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    d = df.withColumn("_h", h).withColumn(
-        "_b", F.shiftrightunsigned(F.col("_h"), 64 - SPLIT_BUCKET_BITS).cast("int"))
-    counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    wcls = Window.partitionBy(label)
-    counts = counts.select(
-        label, "_b",
-        F.coalesce(F.sum("_bn").over(wcls.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.ceil(F.sum("_bn").over(wcls) * F.lit(test_size) - F.lit(1e-9)).alias("_ntest"))
-    # sort key: hash reinterpreted as unsigned order inside a bucket
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", *key_cols))
-    d = d.withColumn("_r", rank).join(F.broadcast(counts), [label, "_b"])
-    return d.withColumn("is_test", (F.col("_before") + F.col("_r")) <= F.col("_ntest")) \
-            .drop("_h", "_b", "_r", "_before", "_ntest")
+    d = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)))
+    cut = _split_cuts(d, label, test_size)
+    below = F.lit(False)
+    at = F.lit(False)
+    for c, (t, _, _) in cut.items():
+        below = below | ((F.col(label) == F.lit(c)) & (F.col("_h") < F.lit(t)))
+        at = at | ((F.col(label) == F.lit(c)) & (F.col("_h") == F.lit(t)))
+    if all(n_at <= need for _, need, n_at in cut.values()):
+        return d.withColumn("is_test", below | at).drop("_h")
+    # rare: identical keys straddle the cut; rank only those few rows
+    rn = F.row_number().over(Window.partitionBy(label, "_h").orderBy(*key_cols))
+    need_c = F.lit(0)
+    for c, (_, need, _) in cut.items():
+        need_c = F.when(F.col(label) == F.lit(c), F.lit(need)).otherwise(need_c)
+    rest = d.where(~at).withColumn("is_test", below)
+    edge = d.where(at).withColumn("is_test", rn <= need_c)
+    return rest.unionByName(edge).drop("_h")
 
 
 @dataclass
@@ -255,9 +323,16 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
     base = d.select(*[F.col(c) for c in dict.fromkeys(key_cols + cat + cont)],
                     *[F.col(s).cast("string").alias(f"sens_{s}") for s in sens],
                     binarize(spec.target, spec.positive).alias("y_true"))
+    from pyspark import StorageLevel
+    # one read of the source for all fits and split passes (recomputable if lost)
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     # the reference imputes only when something is missing; fit only those columns
-    nulls = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cat + cont]).first() \
-        if cat + cont else {}
+    # one aggregate: null counts of all columns + cardinality guard of the categoricals
+    prof = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cat + cont],
+                    *[F.approx_count_distinct(c).alias(f"_acd_{c}") for c in cat],
+                    F.lit(1).alias("_one")).first()
+    nulls = prof
+    approx = {c: prof[f"_acd_{c}"] for c in cat}
     cat_n = [c for c in cat if nulls[c]]
     cont_n = [c for c in cont if nulls[c]]
     split = stratified_split(base, "y_true", key_cols, test_size, seed)
@@ -265,9 +340,8 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
         imputer = Imputer.fit(base, cat_n, cont_n)
     else:
         imputer = Imputer.fit(split.where(~F.col("is_test")), cat_n, cont_n)
-    onehot = OneHot.fit(base, cat)
-    from pyspark import StorageLevel
-    imp = imputer.transform(split).persist(StorageLevel.MEMORY_AND_DISK)
+    onehot = OneHot.fit(base, cat, approx_counts=approx)
+    imp = imputer.transform(split)
     scaler = Scaler.fit(imp.where(~F.col("is_test")), cont)
     feats = [c for c in cont] + onehot.names()
     keep = list(dict.fromkeys(key_cols)) + [f"sens_{s}" for s in sens] + ["y_true", "is_test"]

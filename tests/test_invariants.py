@@ -54,3 +54,12 @@ def test_view_row_counts(spark):
     assert views.event_audit(spark, SF).df.count() == 1000
     n = views.line_nulls(spark, SF)
     assert n.where("l_returnflag IS NULL").count() > 0 and n.where("l_tax IS NULL").count() > 0
+
+
+def test_split_with_identical_keys_straddling_cut(spark):
+    rows = [(7, 0)] * 10 + [(i, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, y_true int")
+    s = prepare.stratified_split(df, "y_true", ["k"])
+    c = {(r.y_true, r.is_test): r["count"] for r in s.groupBy("y_true", "is_test").count().collect()}
+    assert c[(0, True)] == 2 and c[(0, False)] == 8
+    assert c[(1, True)] == 4 and c[(1, False)] == 16
