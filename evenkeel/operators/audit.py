@@ -162,3 +162,8 @@ def binary_fairness(pred: DataFrame, attribute: str, privileged: str) -> DataFra
         "model", F.lit(attribute).alias("attribute"),
         (rate_p - rate_u).alias("dpd"), (tpr_p - tpr_u).alias("eod"),
         F.when(rate_p > 0, rate_u / rate_p).otherwise(0.0).alias("dir"))
+
+
+def compare_models(summary_df: DataFrame) -> DataFrame:
+    """One row per (model, attribute) with the worst values."""
+    return summary_df.select("model", "attribute", "worst_dpd", "worst_eod", "worst_dir", "is_biased")

@@ -107,11 +107,12 @@ def fit_fair(train: DataFrame, attribute: str, label: str = "y_true", features:
 def fair_classifier(ctx):
     """M15 strategy: (members, predictions, metrics row)."""
     from evenkeel.operators.strategies import evaluate
-    members, _ = fit_fair(ctx.train, ctx.attribute)
+    members, history = fit_fair(ctx.train, ctx.attribute)
     score = mixture_score(members)
     keys = [k for k in ctx.keep]
     u = (F.pmod(F.xxhash64(*[F.col(k) for k in keys if k != "y_true"], F.lit(42)), F.lit(1 << 30))
          / float(1 << 30))
     pred = ctx.test.select(*keys, score.alias("score")).withColumn(
         "y_pred", (u < F.col("score")).cast("int")).withColumn("model", F.lit("fair_classifier"))
-    return members, pred, evaluate(pred, ctx.attribute, ctx.privileged, "fair_classifier")
+    detail = f"rounds={len(members)}; final_violation={history[-1][1]:.4f}"
+    return members, pred, evaluate(pred, ctx.attribute, ctx.privileged, "fair_classifier", detail=detail)

@@ -20,11 +20,11 @@ from evenkeel.spec import FairnessThresholds
 STRATEGIES = ["baseline", "resampling", "reweighing", "fair_classifier", "thresholds"]
 
 ROW_SCHEMA = ("strategy string, accuracy double, f1 double, roc_auc double, dpd double, "
-              "eod double, dir double, biased boolean, status string, error string")
+              "eod double, dir double, biased boolean, status string, error string, detail string")
 
 
 def evaluate(pred: DataFrame, attribute: str, privileged: str, strategy: str,
-             th: FairnessThresholds = FairnessThresholds()) -> DataFrame:
+             th: FairnessThresholds = FairnessThresholds(), detail: Optional[str] = None) -> DataFrame:
     """One metrics row: accuracy, F1, AUC and privileged-vs-rest fairness."""
     m = metrics.model_metrics(pred.withColumn("model", F.lit(strategy)))
     b = binary_fairness(pred.withColumn("model", F.lit(strategy)), attribute, privileged)
@@ -32,13 +32,13 @@ def evaluate(pred: DataFrame, attribute: str, privileged: str, strategy: str,
     biased = (F.abs("dpd") > th.dpd) | (F.abs("eod") > th.eod) | (F.col("dir") < th.dir)
     return j.select(F.col("model").alias("strategy"), "accuracy", "f1", "roc_auc", "dpd", "eod", "dir",
                     biased.alias("biased"), F.lit("ok").alias("status"),
-                    F.lit(None).cast("string").alias("error"))
+                    F.lit(None).cast("string").alias("error"), F.lit(detail).cast("string").alias("detail"))
 
 
 def failed_row(spark: SparkSession, strategy: str, error: str) -> DataFrame:
     """A failed strategy is a row with status and error, no fake predictions."""
     return spark.createDataFrame([(strategy, None, None, None, None, None, None, None, "failed",
-                                   error[:500])], ROW_SCHEMA)
+                                   error[:500], None)], ROW_SCHEMA)
 
 
 @dataclass
@@ -65,10 +65,12 @@ def baseline(ctx: Context, model=None):
 def reweighing(ctx: Context):
     """Kamiran-Calders weights (A27) on the training rows, weighted fit."""
     w = mitigate.reweighing_weights(ctx.train, ctx.attribute, ctx.privileged)
+    ws = [r["weight"] for r in w.collect()]          # at most four cells
     tr = mitigate.apply_weights(ctx.train, w, ctx.attribute, ctx.privileged)
     model, _ = models.fit("logistic_regression", tr, weight_col="weight")
     pred = models.score(model, ctx.test, "reweighing", ctx.keep)
-    return model, pred, evaluate(pred, ctx.attribute, ctx.privileged, "reweighing")
+    detail = f"weight_range=[{min(ws):.3f}, {max(ws):.3f}]"
+    return model, pred, evaluate(pred, ctx.attribute, ctx.privileged, "reweighing", detail=detail)
 
 
 def thresholds(ctx: Context, base_model, fit_on: Optional[DataFrame] = None):
@@ -81,7 +83,11 @@ def thresholds(ctx: Context, base_model, fit_on: Optional[DataFrame] = None):
     fit_rows = scored if fit_on is None else models.score(base_model, fit_on, "thresholds", ctx.keep)
     t = mitigate.group_thresholds(fit_rows, ctx.attribute, ctx.privileged)
     pred = mitigate.apply_thresholds(scored.drop("y_pred"), t, ctx.attribute).drop("threshold")
-    return t, pred, evaluate(pred, ctx.attribute, ctx.privileged, "thresholds")
+    # one row per group of the attribute: report them only when few
+    few = t.select("group", "threshold").limit(51).collect()
+    detail = ("thresholds={" + ", ".join(f"{r['group']}: {r['threshold']:.2f}" for r in sorted(few)) + "}"
+              if len(few) <= 50 else f"thresholds for {t.count()} groups")
+    return t, pred, evaluate(pred, ctx.attribute, ctx.privileged, "thresholds", detail=detail)
 
 
 def run_all(ctx: Context, include: Sequence[str] = STRATEGIES) -> DataFrame:
@@ -103,7 +109,7 @@ def run_all(ctx: Context, include: Sequence[str] = STRATEGIES) -> DataFrame:
                 # cell; not built yet (see README), reported as its own status
                 rows.append(ctx.spark.createDataFrame(
                     [(name, None, None, None, None, None, None, None, "not_built",
-                      "exact per-cell k-nearest-neighbour search not built yet")], ROW_SCHEMA))
+                      "exact per-cell k-nearest-neighbour search not built yet", None)], ROW_SCHEMA))
                 continue
             elif name == "fair_classifier":
                 from evenkeel.operators.reductions import fair_classifier
