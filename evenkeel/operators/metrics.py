@@ -35,33 +35,42 @@ def roc_auc(pred: DataFrame, keys=("model",), score: str = "score",
     scores s. Rows are first collapsed to distinct scores (partial
     aggregation). The running count of negatives below each score is
     computed in two levels so that no window spans all scores of a model:
-    scores fall into ``bins`` equal-width, order-preserving bins; a window
-    over the (small) bin totals gives the negatives before each bin, and a
-    window partitioned by (model, bin) adds the negatives of lower scores
-    inside the bin. The result is exact; binning only spreads the work.
-    Null when a model has a single class (no exception).
+    scores fall into ``bins`` equal-width, order-preserving bins between the
+    model's min and max (fitted scalars, one row per model); a window over
+    the bin totals (at most ``bins`` rows per model) gives the negatives
+    before each bin, and a window partitioned by (model, bin) adds the
+    negatives of lower scores inside the bin. Both branches read the same
+    distinct-score aggregate, so its exchange is reused. The result is
+    exact; binning only spreads the work. Null for a single class.
     """
     keys = list(keys)
     yt = F.col("y_true")
-    d = pred.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
-        F.sum(yt).cast("double").alias("p_s"),
-        F.sum(1 - yt).cast("double").alias("n_s"))
-    rng = d.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"),
-                               F.sum("p_s").alias("P"), F.sum("n_s").alias("N"))
-    d = d.join(rng, keys)
-    span = F.col("_hi") - F.col("_lo")
-    d = d.withColumn(
-        "_bin", F.when(span > 0, F.least(F.floor((F.col(score) - F.col("_lo")) / span * bins),
-                                          F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
-    bt = d.groupBy(*keys, "_bin").agg(F.sum("n_s").alias("_bn"))
-    bt = bt.withColumn("_before", F.coalesce(F.sum("_bn").over(
-        Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0.0))).drop("_bn")
-    w_in = Window.partitionBy(*keys, "_bin").orderBy(score).rowsBetween(
-        Window.unboundedPreceding, -1)
-    d = d.join(bt, keys + ["_bin"]).withColumn(
+    valid = pred.where(F.col(score).isNotNull())
+    rng = {tuple(r[k] for k in keys): (r["lo"], r["hi"]) for r in
+           valid.groupBy(*keys).agg(F.min(score).alias("lo"), F.max(score).alias("hi")).collect()}
+    d = valid.groupBy(*keys, score).agg(F.sum(yt).cast("double").alias("p_s"),
+                                        F.sum(1 - yt).cast("double").alias("n_s"))
+    lo = F.lit(None).cast("double")
+    hi = F.lit(None).cast("double")
+    for kv, (l, h) in rng.items():
+        match = F.lit(True)
+        for k, v in zip(keys, kv):
+            match = match & (F.col(k) == F.lit(v))
+        lo = F.when(match, F.lit(float(l))).otherwise(lo)
+        hi = F.when(match, F.lit(float(h))).otherwise(hi)
+    span = hi - lo
+    d = d.withColumn("_bin", F.when(span > 0, F.least(F.floor((F.col(score) - lo) / span * bins),
+                                                       F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
+    bt = d.groupBy(*keys, "_bin").agg(F.sum("n_s").alias("_bn"), F.sum("p_s").alias("_bp"))
+    wk = Window.partitionBy(*keys)
+    bt = bt.select(*keys, "_bin",
+                   F.coalesce(F.sum("_bn").over(wk.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)),
+                              F.lit(0.0)).alias("_before"),
+                   F.sum("_bp").over(wk).alias("P"), F.sum("_bn").over(wk).alias("N"))
+    w_in = Window.partitionBy(*keys, "_bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    j = d.join(bt, keys + ["_bin"]).withColumn(
         "_below", F.col("_before") + F.coalesce(F.sum("n_s").over(w_in), F.lit(0.0)))
-    agg = d.groupBy(*keys).agg(
+    agg = j.groupBy(*keys).agg(
         F.sum(F.col("p_s") * (F.col("_below") + F.col("n_s") / 2)).alias("_u"),
         F.max("P").alias("P"), F.max("N").alias("N"))
     return agg.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
