@@ -79,19 +79,30 @@ def privileged_groups(stats: DataFrame) -> DataFrame:
         ).alias("privileged_group"))
 
 
-def pairwise(stats: DataFrame, thresholds: FairnessThresholds = FairnessThresholds()) -> DataFrame:
-    """J1 + A3 + P13: privileged group against each other group."""
-    priv = privileged_groups(stats)
-    p = (stats.join(priv, ["model", "attribute"])
-         .where(F.col("group") == F.col("privileged_group"))
-         .select("model", "attribute", "privileged_group",
-                 F.col("pos_pred_rate").alias("_ppr_p"), F.col("true_pos_rate").alias("_tpr_p")))
-    j = stats.join(p, ["model", "attribute"]).where(F.col("group") != F.col("privileged_group"))
+def annotate_pairs(stats: DataFrame) -> DataFrame:
+    """A5 + J1 + A3 on one reference of ``stats``: every group row gets its
+    (model, attribute)'s privileged group and that group's rates through
+    windows over the small stats table, then DPD / EOD / DIR against it.
+    One reference keeps the source scanned once (self-joins would rebuild
+    ``stats`` per branch)."""
+    w = Window.partitionBy("model", "attribute")
+    priv = F.coalesce(F.max(F.when(F.col("is_privileged"), F.col("group"))).over(w),
+                      F.min_by("group", F.struct(-F.col("pos_pred_rate"), F.col("group"))).over(w))
+    a = stats.withColumn("privileged_group", priv)
+    is_p = F.col("group") == F.col("privileged_group")
+    a = (a.withColumn("_ppr_p", F.max(F.when(is_p, F.col("pos_pred_rate"))).over(w))
+          .withColumn("_tpr_p", F.max(F.when(is_p, F.col("true_pos_rate"))).over(w)))
     dpd = F.col("_ppr_p") - F.col("pos_pred_rate")
     eod = F.col("_tpr_p") - F.col("true_pos_rate")
     dir_ = F.when(F.col("_ppr_p") > 0, F.col("pos_pred_rate") / F.col("_ppr_p")).otherwise(0.0)
-    out = j.select("model", "attribute", "privileged_group", "group",
-                   dpd.alias("dpd"), eod.alias("eod"), dir_.alias("dir"))
+    return a.select("*", dpd.alias("dpd"), eod.alias("eod"), dir_.alias("dir"),
+                    is_p.alias("_is_priv_row"))
+
+
+def pairwise(stats: DataFrame, thresholds: FairnessThresholds = FairnessThresholds()) -> DataFrame:
+    """J1 + A3 + P13: privileged group against each other group."""
+    a = annotate_pairs(stats).where(~F.col("_is_priv_row"))
+    out = a.select("model", "attribute", "privileged_group", "group", "dpd", "eod", "dir")
     return out.select(
         "*",
         (F.abs("dpd") > thresholds.dpd).alias("dpd_biased"),
@@ -107,20 +118,23 @@ def summary(stats: DataFrame, pairs: Optional[DataFrame] = None,
     Worst DPD / EOD are the signed values of largest magnitude (0 when no
     pair; ties go to the first group in sort order); worst DIR is the
     smallest ratio, never above 1 (so reverse bias shows in DPD only).
+    Computed from the annotated stats in one aggregation (``pairs`` is
+    accepted for API symmetry and not needed).
     """
-    pairs = pairs if pairs is not None else pairwise(stats, thresholds)
-    worst = pairs.groupBy("model", "attribute").agg(
-        F.min_by("dpd", F.struct(-F.abs("dpd"), F.col("group"))).alias("_wdpd"),
-        F.min_by("eod", F.struct(-F.abs("eod"), F.col("group"))).alias("_weod"),
-        F.min("dir").alias("_wdir"))
-    totals = stats.groupBy("model", "attribute").agg(
-        F.sum("n").alias("n"), F.sum("n_predicted_pos").alias("_npp"))
-    base = privileged_groups(stats).join(totals, ["model", "attribute"])
-    j = base.join(worst, ["model", "attribute"], "left")
+    a = annotate_pairs(stats)
+    other = ~F.col("_is_priv_row")
+    g = a.groupBy("model", "attribute").agg(
+        F.max("privileged_group").alias("privileged_group"),
+        F.sum("n").alias("n"), F.sum("n_predicted_pos").alias("_npp"),
+        F.min_by(F.when(other, F.col("dpd")),
+                 F.when(other, F.struct(-F.abs("dpd"), F.col("group")))).alias("_wdpd"),
+        F.min_by(F.when(other, F.col("eod")),
+                 F.when(other, F.struct(-F.abs("eod"), F.col("group")))).alias("_weod"),
+        F.min(F.when(other, F.col("dir"))).alias("_wdir"))
     wdpd = F.when(F.abs(F.coalesce("_wdpd", F.lit(0.0))) > 0, F.col("_wdpd")).otherwise(0.0)
     weod = F.when(F.abs(F.coalesce("_weod", F.lit(0.0))) > 0, F.col("_weod")).otherwise(0.0)
     wdir = F.least(F.coalesce("_wdir", F.lit(1.0)), F.lit(1.0))
-    out = j.select("model", "attribute", "privileged_group", "n",
+    out = g.select("model", "attribute", "privileged_group", "n",
                    safe_div("_npp", "n").alias("overall_pos_rate"),
                    wdpd.alias("worst_dpd"), weod.alias("worst_eod"), wdir.alias("worst_dir"))
     return out.withColumn(

@@ -27,16 +27,17 @@ def missing_profile(df: DataFrame, columns: Optional[Sequence[str]] = None) -> D
 
 
 def _with_totals(long: DataFrame, key: str, value: str, sums: dict) -> DataFrame:
-    """Aggregate (key, value) and the per-key totals in ONE rollup, then join
-    the totals (one row per key: bounded by the number of columns) back.
-    No window over all values of a key, so a wide column never lands in
-    one task."""
+    """Aggregate (key, value) and the per-key totals in ONE rollup over one
+    scan; the totals are spread to their key's rows by a window over the
+    aggregated table (one partition = one key's result rows), so the
+    source is read once."""
     aggs = [F.sum(v).alias(k) if v is not None else F.count(F.lit(1)).alias(k) for k, v in sums.items()]
     r = long.rollup(key, value).agg(*aggs, F.grouping(value).alias("_gv"), F.grouping(key).alias("_gk"))
     r = r.where(F.col("_gk") == 0)
-    tot = r.where(F.col("_gv") == 1).select(key, *[F.col(k).alias(f"_tot_{k}") for k in sums])
-    cells = r.where(F.col("_gv") == 0).drop("_gv", "_gk")
-    return cells.join(F.broadcast(tot), key)
+    w = Window.partitionBy(key)
+    for k in sums:
+        r = r.withColumn(f"_tot_{k}", F.max(F.when(F.col("_gv") == 1, F.col(k))).over(w))
+    return r.where(F.col("_gv") == 0).drop("_gv", "_gk")
 
 
 def value_distribution(df: DataFrame, columns: Sequence[str],
