@@ -61,20 +61,21 @@ def _grid_cell(score: Column) -> Column:
 def tpr_curve(scored: DataFrame, group: str, score: str = "score", y: str = "y_true") -> DataFrame:
     """TPR of every group at every grid threshold, in one pass.
 
-    Positives are counted per (group, highest grid cell not above their
-    score); a suffix sum over the 81 cells gives TP(t) = #positives with
-    score >= t. Groups without positives get TPR 0 at every t.
+    One aggregation counts rows per (group, k): k is the highest grid cell
+    not above a positive's score (-1 below the grid) and -2 for negatives,
+    so at most 83 rows per group. Each of those rows is spread over the 81
+    grid points and a second small aggregation gives
+    TP(t) = #positives with score >= t and the group's positives. Groups
+    without positives still get all 81 rows (TPR 0).
     """
     g = F.col(group).cast("string")
-    pos = scored.where(F.col(y) == 1).groupBy(g.alias("group"), _grid_cell(F.col(score)).alias("i")).agg(
-        F.count(F.lit(1)).alias("c")).where(F.col("i").isNotNull())
-    groups = scored.groupBy(g.alias("group")).agg(F.count_if(F.col(y) == 1).alias("n_pos"))
-    grid = groups.select("group", "n_pos", F.explode(F.sequence(F.lit(GRID_LO), F.lit(GRID_HI))).alias("i"))
-    j = grid.join(pos, ["group", "i"], "left")
-    tp = F.sum(F.coalesce("c", F.lit(0))).over(
-        Window.partitionBy("group").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0))
-    j = j.withColumn("tp", tp)
-    return j.select("group", "i", (F.col("i") / 100.0).alias("threshold"), "n_pos", "tp",
+    k = F.when(F.col(y) == 1, F.coalesce(_grid_cell(F.col(score)), F.lit(-1))).otherwise(F.lit(-2))
+    a = scored.groupBy(g.alias("group"), k.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    e = a.select("group", "k", "c", F.explode(F.sequence(F.lit(GRID_LO), F.lit(GRID_HI))).alias("i"))
+    t = e.groupBy("group", "i").agg(
+        F.sum(F.when(F.col("k") >= F.col("i"), F.col("c")).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("k") >= -1, F.col("c")).otherwise(0)).alias("n_pos"))
+    return t.select("group", "i", (F.col("i") / 100.0).alias("threshold"), "n_pos", "tp",
                     F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos")).otherwise(0.0).alias("tpr"))
 
 
