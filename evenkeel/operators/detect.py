@@ -95,17 +95,29 @@ def contingency(df: DataFrame, features: Sequence[str], class_col: Column,
     return long.groupBy("feature", "value", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True) -> DataFrame:
+def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True,
+               margins: Optional[DataFrame] = None, margin_keys: Sequence[str] = ()) -> DataFrame:
     """A14 + A15: chi-squared (Yates-corrected when dof = 1), dof, Cramer's V.
 
     ``ct`` has (keys..., value, class, n). Uses
     chi2 = N * (sum_i (1/r_i) sum_j o_ij^2 / c_j - 1); for a 2x2 table every
     |o - e| is the same d and chi2 = (d - min(0.5, d))^2 * N * sum(1/r) * sum(1/c).
+
+    ``margins`` (margin_keys..., class, c_j) may be given when the class
+    totals are the same for every key (every row counted, as in the scans):
+    they then come from a scan of the class columns only, and ``ct`` is
+    referenced once. Without it they are aggregated from ``ct``.
     """
     keys = list(keys)
-    cm = ct.groupBy(*keys, "class").agg(F.sum("n").alias("c_j"))
-    cmk = cm.groupBy(*keys).agg(F.count(F.lit(1)).alias("C"), F.sum(1.0 / F.col("c_j")).alias("inv_c"))
-    cells = ct.join(cm, keys + ["class"])
+    mk = list(margin_keys)
+    if margins is None:
+        cm = ct.groupBy(*keys, "class").agg(F.sum("n").alias("c_j"))
+        mk = keys
+    else:
+        cm = margins
+    cmk = cm.groupBy(*mk).agg(F.count(F.lit(1)).alias("C"), F.sum(1.0 / F.col("c_j")).alias("inv_c")) \
+        if mk else None
+    cells = ct.join(cm, mk + ["class"])
     rows = cells.groupBy(*keys, "value").agg(
         F.sum("n").alias("r_i"),
         F.sum(F.col("n") * F.col("n") / F.col("c_j")).alias("s_i"),
@@ -115,7 +127,13 @@ def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True) -> DataFr
         F.sum(F.col("s_i") / F.col("r_i")).alias("S"), F.sum(1.0 / F.col("r_i")).alias("inv_r"),
         F.min_by(F.struct(F.col("cell.o").alias("o"), F.col("r_i").alias("r"),
                           F.col("cell.c").alias("c")), F.col("value")).alias("cell"))
-    t = tk.join(cmk, keys)
+    if cmk is not None:
+        t = tk.join(cmk, mk)
+    else:
+        # class totals shared by every key: a handful of fitted scalars
+        ms = cm.collect()
+        t = tk.withColumn("C", F.lit(len(ms))).withColumn(
+            "inv_c", F.lit(float(sum(1.0 / r["c_j"] for r in ms))))
     n = F.col("N").cast("double")
     dof = (F.col("R") - 1) * (F.col("C") - 1)
     plain = F.greatest(n * (F.col("S") - 1.0), F.lit(0.0))
@@ -123,9 +141,9 @@ def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True) -> DataFr
     corrected = F.pow(d - F.least(F.lit(0.5), d), 2) * n * F.col("inv_r") * F.col("inv_c")
     chi2 = F.when(dof == 0, 0.0).when((dof == 1) & F.lit(yates), corrected).otherwise(plain)
     k = F.least(F.col("R"), F.col("C")) - 1
-    v = F.when(k > 0, F.sqrt(chi2 / (n * F.greatest(k, F.lit(1)))) ).otherwise(0.0)
+    v = F.when(k > 0, F.sqrt(chi2 / (n * F.greatest(k, F.lit(1))))).otherwise(0.0)
     return t.select(*keys, F.col("N").alias("n"), F.col("R").alias("n_rows"),
-                    F.col("C").alias("n_cols"), dof.alias("dof"), chi2.alias("chi2"),
+                    F.col("C").cast("long").alias("n_cols"), dof.alias("dof"), chi2.alias("chi2"),
                     v.alias("cramers_v"))
 
 
@@ -143,7 +161,8 @@ def categorical_association(df: DataFrame, features: Sequence[str], y: Column,
     feats = [c for c in features if nonnull[c] > 0]
     if not feats:
         return None
-    st = chi2_stats(contingency(df, feats, y), ["feature"])
+    margins = df.groupBy(y.cast("string").alias("class")).agg(F.count(F.lit(1)).alias("c_j"))
+    st = chi2_stats(contingency(df, feats, y), ["feature"], margins=margins)
     p = chi2_p_udf(F.col("chi2"), F.col("dof").cast("double"))
     return st.select("feature", F.lit("categorical").alias("type"), F.lit(CHI2_METHOD).alias("method"),
                      F.col("cramers_v").alias("statistic"), p.alias("p_value"))
@@ -203,7 +222,9 @@ def proxy_scan(df: DataFrame, features: Sequence[str], sensitive: Sequence[str],
     ct = by_both.groupBy("feature", "sensitive_attr", "value", "class").agg(F.count(F.lit(1)).alias("n"))
     ct = ct.select(F.expr("substring(feature, 4)").alias("feature"),
                    F.expr("substring(sensitive_attr, 4)").alias("sensitive_attr"), "value", "class", "n")
-    st = chi2_stats(ct, ["feature", "sensitive_attr"])
+    sm = df.select(*[null_category(s).alias(s) for s in sens]).unpivot([], sens, "sensitive_attr", "class")
+    margins = sm.groupBy("sensitive_attr", "class").agg(F.count(F.lit(1)).alias("c_j"))
+    st = chi2_stats(ct, ["feature", "sensitive_attr"], margins=margins, margin_keys=["sensitive_attr"])
     return st.select("feature", "sensitive_attr", "cramers_v", effect_label("cramers_v").alias("effect_size"),
                      (F.col("cramers_v") >= th.proxy).alias("flagged_as_proxy"))
 
