@@ -218,3 +218,24 @@ ORACLE = {
     "model_metrics": METRICS_SQL,
     "roc_auc": AUC_SQL,
 }
+
+
+def q_event_audit_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Group audit of the events view (4 user buckets, no privileged value:
+    the highest-rate bucket is taken)."""
+    v = views.event_audit(spark, sf)
+    return report_round(audit.summary(audit.group_stats(v.long(), v.attributes, v.privileged)))
+
+
+def q_event_group_stats(spark: SparkSession, sf: str) -> DataFrame:
+    v = views.event_audit(spark, sf)
+    return report_round(audit.group_stats(v.long(), v.attributes, v.privileged))
+
+
+from evenkeel.plans.oracle_views import EVENT_AUDIT, EVENT_LONG  # noqa: E402
+
+EVENT_GS = _gs_sql(with_views(EVENT_AUDIT, EVENT_LONG), "event_long", ["user_bucket"], {})
+QUERIES["event_group_stats"] = q_event_group_stats
+QUERIES["event_audit_summary"] = q_event_audit_summary
+ORACLE["event_group_stats"] = EVENT_GS + _gs_select()
+ORACLE["event_audit_summary"] = EVENT_GS + _sm_select()
