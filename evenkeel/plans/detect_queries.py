@@ -217,3 +217,37 @@ ORACLE = {
     "proxy_scan": PROXY_SQL,
     "disparate_impact_scan": DI_SQL,
 }
+
+
+def q_column_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Role of every feature column of the line detection table."""
+    d = views.line_detect(spark, sf)
+    r = detect.infer_roles(d, [c for c in d.columns if c != "y_true"])
+    rows = [(c, "categorical") for c in r.categorical] + [(c, "numeric") for c in r.numeric]
+    return spark.createDataFrame(rows, "feature string, role string")
+
+
+def q_target_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    """String target without a positive label: 1 unless the most frequent value."""
+    d = views.line_nulls(spark, sf)
+    y = detect.encode_target(d, "l_returnflag")
+    return d.groupBy("l_returnflag", y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ROLE_COLS = ["l_linestatus", "p_type", "p_brand", "p_size", "l_quantity", "l_discount", "l_tax",
+              "l_extendedprice"]
+ROLES_SQL = with_views(LINE_AUDIT, LINE_DETECT) + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, CASE WHEN typeof(any_value({c})) = 'VARCHAR' OR count(DISTINCT {c}) <= 10 "
+    f"THEN 'categorical' ELSE 'numeric' END AS role FROM line_detect" for c in _ROLE_COLS)
+
+TARGET_ENC_SQL = with_views(LINE_AUDIT, LINE_NULLS) + """,
+top AS (SELECT l_returnflag AS v FROM line_nulls WHERE l_returnflag IS NOT NULL
+        GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1)
+SELECT l_returnflag, CAST(coalesce(l_returnflag <> (SELECT v FROM top), true) AS INTEGER) AS y,
+       CAST(count(*) AS BIGINT) AS n
+FROM line_nulls GROUP BY ALL"""
+
+QUERIES["column_roles"] = q_column_roles
+QUERIES["target_encoding"] = q_target_encoding
+ORACLE["column_roles"] = ROLES_SQL
+ORACLE["target_encoding"] = TARGET_ENC_SQL
