@@ -176,6 +176,8 @@ def tree_attribution(model, rows: DataFrame, feature_names: Sequence[str], keep:
                      features: str = "features") -> DataFrame:
     """Long-form (keep..., feature, phi) for every row of ``rows``."""
     trees = load_trees(model)
+    # model-sized node arrays, shipped once per executor instead of per task
+    bc = rows.sparkSession.sparkContext.broadcast(trees)
     names = list(feature_names)
     key_fields = [f for f in rows.schema.fields if f.name in keep]
     schema = T.StructType(key_fields + [T.StructField("feature", T.StringType()),
@@ -187,10 +189,11 @@ def tree_attribution(model, rows: DataFrame, feature_names: Sequence[str], keep:
             if pdf.empty:
                 continue
             X = np.stack(pdf["_x"].to_numpy()).astype(float).reshape(len(pdf), d)
+            forest = bc.value
             phi = np.zeros((len(pdf), d))
-            for t in trees:
+            for t in forest:
                 phi += tree_shap(t, X)
-            phi /= len(trees)
+            phi /= len(forest)
             out = pdf[list(keep)].loc[pdf.index.repeat(d)].reset_index(drop=True)
             out["feature"] = np.tile(names, len(pdf))
             out["phi"] = phi.reshape(-1)
