@@ -147,10 +147,6 @@ def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True,
                     v.alias("cramers_v"))
 
 
-def _with_target(df: DataFrame, target: str, positive: Any) -> DataFrame:
-    return df.withColumn("_y", encode_target(df, target, positive))
-
-
 def categorical_association(df: DataFrame, features: Sequence[str], y: Column,
                             th: DetectionThresholds = DetectionThresholds()) -> DataFrame:
     """Chi-squared + Cramer's V of each categorical feature against y."""

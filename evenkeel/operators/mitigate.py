@@ -7,8 +7,6 @@ application. The model-fitting strategies (M12-M17) are in
 
 from __future__ import annotations
 
-from typing import Optional
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

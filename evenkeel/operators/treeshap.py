@@ -17,10 +17,8 @@ import uuid
 from typing import Dict, List, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.session import checkpoint_dir

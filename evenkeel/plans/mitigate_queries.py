@@ -9,7 +9,6 @@ from evenkeel.operators import mitigate, prepare
 from evenkeel.plans.common import report_round
 from evenkeel.plans.oracle_views import LINE_AUDIT, LINE_NULLS, ORDER_AUDIT, with_views
 from evenkeel.sources import views
-from evenkeel.spec import AuditSpec
 
 
 def q_reweighing_weights(spark: SparkSession, sf: str) -> DataFrame:
