@@ -1,8 +1,11 @@
-"""Make the package importable on Python workers wherever the driver runs.
+"""Make the package importable on Python workers of a local session.
 
 Pandas UDFs and ``mapInPandas`` functions defined in this package are
-pickled by module reference; workers import them. The package is zipped
-once per process and added with ``addPyFile`` (Spark distributes it).
+pickled by module reference; workers import them. In local mode the
+package is zipped once per process and added with ``addPyFile``, so it
+works whatever the working directory. On a cluster the package is
+deployed with the job (``--py-files`` / ``spark.submit.pyFiles``) and
+nothing is staged here.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ _SHIPPED = set()
 def ensure_shipped(spark) -> None:
     sc = spark.sparkContext
     key = id(sc)
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
