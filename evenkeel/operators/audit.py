@@ -80,23 +80,30 @@ def privileged_groups(stats: DataFrame) -> DataFrame:
 
 
 def annotate_pairs(stats: DataFrame) -> DataFrame:
-    """A5 + J1 + A3 on one reference of ``stats``: every group row gets its
-    (model, attribute)'s privileged group and that group's rates through
-    windows over the small stats table, then DPD / EOD / DIR against it.
-    One reference keeps the source scanned once (self-joins would rebuild
-    ``stats`` per branch)."""
-    w = Window.partitionBy("model", "attribute")
-    priv = F.coalesce(F.max(F.when(F.col("is_privileged"), F.col("group"))).over(w),
-                      F.min_by("group", F.struct(-F.col("pos_pred_rate"), F.col("group"))).over(w))
-    a = stats.withColumn("privileged_group", priv)
+    """A5 + J1 + A3: every group row with its (model, attribute)'s privileged
+    group, that group's rates and DPD / EOD / DIR against it.
+
+    ``stats`` is small (one row per model x attribute x group) but is needed
+    twice (privileged rows, all rows), so it is first written once as a
+    reliable checkpoint in the shared folder: the source is read once, not
+    once per branch. The privileged table has one row per (model,
+    attribute), a size bounded by the call's arguments, so it is broadcast
+    and the group rows never move (no partition holds all groups of an
+    attribute).
+    """
+    from evenkeel.session import cut_lineage
+    st = cut_lineage(stats)
+    pg = privileged_groups(st)
+    prow = (st.join(F.broadcast(pg), ["model", "attribute"])
+              .where(F.col("group") == F.col("privileged_group"))
+              .select("model", "attribute", "privileged_group",
+                      F.col("pos_pred_rate").alias("_ppr_p"), F.col("true_pos_rate").alias("_tpr_p")))
+    a = st.join(F.broadcast(prow), ["model", "attribute"])
     is_p = F.col("group") == F.col("privileged_group")
-    a = (a.withColumn("_ppr_p", F.max(F.when(is_p, F.col("pos_pred_rate"))).over(w))
-          .withColumn("_tpr_p", F.max(F.when(is_p, F.col("true_pos_rate"))).over(w)))
     dpd = F.col("_ppr_p") - F.col("pos_pred_rate")
     eod = F.col("_tpr_p") - F.col("true_pos_rate")
     dir_ = F.when(F.col("_ppr_p") > 0, F.col("pos_pred_rate") / F.col("_ppr_p")).otherwise(0.0)
-    return a.select("*", dpd.alias("dpd"), eod.alias("eod"), dir_.alias("dir"),
-                    is_p.alias("_is_priv_row"))
+    return a.select("*", dpd.alias("dpd"), eod.alias("eod"), dir_.alias("dir"), is_p.alias("_is_priv_row"))
 
 
 def pairwise(stats: DataFrame, thresholds: FairnessThresholds = FairnessThresholds()) -> DataFrame:

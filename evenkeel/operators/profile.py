@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Any, Mapping, Optional, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.scalar import binarize, privileged_lookup, safe_div
@@ -26,30 +26,21 @@ def missing_profile(df: DataFrame, columns: Optional[Sequence[str]] = None) -> D
                        (100.0 * safe_div("n_missing", "_rows")).alias("pct_missing"))
 
 
-def _with_totals(long: DataFrame, key: str, value: str, sums: dict) -> DataFrame:
-    """Aggregate (key, value) and the per-key totals in ONE rollup over one
-    scan; the totals are spread to their key's rows by a window over the
-    aggregated table (one partition = one key's result rows), so the
-    source is read once."""
-    aggs = [F.sum(v).alias(k) if v is not None else F.count(F.lit(1)).alias(k) for k, v in sums.items()]
-    r = long.rollup(key, value).agg(*aggs, F.grouping(value).alias("_gv"), F.grouping(key).alias("_gk"))
-    r = r.where(F.col("_gk") == 0)
-    w = Window.partitionBy(key)
-    for k in sums:
-        r = r.withColumn(f"_tot_{k}", F.max(F.when(F.col("_gv") == 1, F.col(k))).over(w))
-    return r.where(F.col("_gv") == 0).drop("_gv", "_gk")
-
-
 def value_distribution(df: DataFrame, columns: Sequence[str],
                        privileged: Optional[Mapping[str, str]] = None) -> DataFrame:
-    """A10: count and percent (of all rows, nulls included) per value."""
+    """A10: count and percent (of all rows, nulls included) per value.
+
+    The denominator is the table's row count, the same for every column: a
+    fitted scalar from one narrow aggregate. The counts are one unpivot +
+    partially aggregated ``groupBy``; no window spans a column's values.
+    """
     cols = list(columns)
+    total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value")
-    g = _with_totals(long, "column", "value", {"n": None})
-    g = g.withColumn("pct", 100.0 * F.col("n") / F.col("_tot_n")).where(F.col("value").isNotNull())
+        [], cols, "column", "value").where(F.col("value").isNotNull())
+    g = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     priv = privileged_lookup(F.col("column"), privileged)
-    return g.select("column", "value", "n", "pct",
+    return g.select("column", "value", "n", (100.0 * F.col("n") / F.lit(float(total or 1))).alias("pct"),
                     F.when(priv.isNotNull(), F.col("value") == priv).alias("is_privileged"))
 
 
@@ -58,18 +49,19 @@ def favourable_rate(df: DataFrame, target: str, positive: Any, attributes: Seque
     """Positive-outcome rate per group against the overall rate.
 
     The outcome is always ``target == positive`` (also for numeric targets).
+    The overall rate covers every row (null groups included), the same for
+    every attribute: a fitted scalar from one narrow aggregate.
     """
     cols = list(attributes)
     y = binarize(target, positive)
+    o = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("p")).first()
+    overall = F.lit(float(o["p"] or 0) / float(o["n"] or 1))
     long = df.select(y.alias("_y"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ["_y"], cols, "attribute", "group")
-    g = _with_totals(long, "attribute", "group", {"n": None, "_pos": "_y"})
-    g = g.withColumn("overall_rate", F.col("_tot__pos") / F.col("_tot_n"))
-    g = g.where(F.col("group").isNotNull())
+        ["_y"], cols, "attribute", "group").where(F.col("group").isNotNull())
+    g = long.groupBy("attribute", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_pos"))
     rate = F.col("_pos") / F.col("n")
-    return g.select("attribute", "group", "n", rate.alias("rate"), "overall_rate",
-                    F.abs(rate - F.col("overall_rate")).alias("gap"),
-                    (F.abs(rate - F.col("overall_rate")) > signal_gap).alias("bias_signal"))
+    return g.select("attribute", "group", "n", rate.alias("rate"), overall.alias("overall_rate"),
+                    F.abs(rate - overall).alias("gap"), (F.abs(rate - overall) > signal_gap).alias("bias_signal"))
 
 
 def dataset_summary(df: DataFrame, target: str, positive: Any) -> DataFrame:
