@@ -284,3 +284,13 @@ from evenkeel.plans.detect_queries import PROXY_SQL as _PROXY_SQL  # noqa: E402
 ORACLE["top_proxies"] = _PROXY_SQL.replace(
     "v >= 0.20 AS flagged_as_proxy FROM vv",
     "v >= 0.20 AS flagged_as_proxy FROM vv WHERE v >= 0.20 ORDER BY v DESC, feature LIMIT 10")
+
+
+def q_tree_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 for trees: impurity importance of a random forest, ranked (doc view)."""
+    p = _doc_prepared(spark, sf)
+    m, _ = models.fit("random_forest", p.train)
+    return report_round(explain.feature_importance(m, p.feature_names, top_n=20, spark=spark))
+
+
+QUERIES["tree_feature_importance"] = q_tree_feature_importance
