@@ -160,29 +160,38 @@ def full_audit(pred: DataFrame, attributes: Sequence[str],
     return gs, pw, summary(gs, pw, thresholds)
 
 
-def binary_fairness(pred: DataFrame, attribute: str, privileged: str) -> DataFrame:
-    """Privileged group against ALL other rows pooled (nulls count as other).
-
-    One global aggregation per model with conditional sums; distinct from
-    the worst-pair metrics of ``pairwise``.
-    """
+def binary_counts(attribute: str, privileged: str) -> list:
+    """Aggregate expressions of A8: privileged vs all other rows pooled
+    (nulls count as other)."""
     is_p = F.coalesce(F.col(attribute).cast("string") == F.lit(str(privileged)), F.lit(False))
     yt, yp = F.col("y_true"), F.col("y_pred")
-    a = pred.groupBy("model").agg(
+    return [
         F.count_if(is_p).alias("n_p"), F.count_if(~is_p).alias("n_u"),
         F.sum(F.when(is_p, yp)).alias("pp_p"), F.sum(F.when(~is_p, yp)).alias("pp_u"),
         F.count_if(is_p & (yp == 1) & (yt == 1)).alias("tp_p"),
         F.count_if(is_p & (yp == 0) & (yt == 1)).alias("fn_p"),
         F.count_if(~is_p & (yp == 1) & (yt == 1)).alias("tp_u"),
-        F.count_if(~is_p & (yp == 0) & (yt == 1)).alias("fn_u"))
+        F.count_if(~is_p & (yp == 0) & (yt == 1)).alias("fn_u")]
+
+
+def binary_metrics() -> list:
+    """DPD, EOD, DIR columns over the ``binary_counts`` aggregate."""
     rate_p = safe_div(F.coalesce("pp_p", F.lit(0)), "n_p")
     rate_u = safe_div(F.coalesce("pp_u", F.lit(0)), "n_u")
     tpr_p = safe_div("tp_p", F.col("tp_p") + F.col("fn_p"))
     tpr_u = safe_div("tp_u", F.col("tp_u") + F.col("fn_u"))
-    return a.select(
-        "model", F.lit(attribute).alias("attribute"),
-        (rate_p - rate_u).alias("dpd"), (tpr_p - tpr_u).alias("eod"),
-        F.when(rate_p > 0, rate_u / rate_p).otherwise(0.0).alias("dir"))
+    return [(rate_p - rate_u).alias("dpd"), (tpr_p - tpr_u).alias("eod"),
+            F.when(rate_p > 0, rate_u / rate_p).otherwise(0.0).alias("dir")]
+
+
+def binary_fairness(pred: DataFrame, attribute: str, privileged: str) -> DataFrame:
+    """Privileged group against ALL other rows pooled (nulls count as other).
+
+    One global aggregation per model with conditional sums; distinct from
+    the worst-pair metrics of ``pairwise``.
+    """
+    a = pred.groupBy("model").agg(*binary_counts(attribute, privileged))
+    return a.select("model", F.lit(attribute).alias("attribute"), *binary_metrics())
 
 
 def compare_models(summary_df: DataFrame) -> DataFrame:

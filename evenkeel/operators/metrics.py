@@ -10,21 +10,28 @@ from evenkeel.functions.scalar import safe_div
 AUC_BINS = 1 << 16
 
 
-def confusion_metrics(pred: DataFrame, keys=("model",)) -> DataFrame:
-    """Confusion counts, accuracy, precision, recall, F1 (0 when undefined)."""
+def confusion_counts() -> list:
+    """Aggregate expressions of the confusion matrix."""
     yt, yp = F.col("y_true"), F.col("y_pred")
-    a = pred.groupBy(*keys).agg(
-        F.count_if((yp == 1) & (yt == 1)).alias("tp"),
-        F.count_if((yp == 1) & (yt == 0)).alias("fp"),
-        F.count_if((yp == 0) & (yt == 0)).alias("tn"),
-        F.count_if((yp == 0) & (yt == 1)).alias("fn"))
+    return [F.count_if((yp == 1) & (yt == 1)).alias("tp"),
+            F.count_if((yp == 1) & (yt == 0)).alias("fp"),
+            F.count_if((yp == 0) & (yt == 0)).alias("tn"),
+            F.count_if((yp == 0) & (yt == 1)).alias("fn")]
+
+
+def confusion_rates() -> list:
+    """Accuracy, precision, recall, F1 over ``confusion_counts`` (0 when undefined)."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    return a.select(
-        *keys, "tp", "fp", "tn", "fn",
-        safe_div(tp + tn, tp + fp + tn + fn).alias("accuracy"),
-        safe_div(tp, tp + fp).alias("precision"),
-        safe_div(tp, tp + fn).alias("recall"),
-        safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return [safe_div(tp + tn, tp + fp + tn + fn).alias("accuracy"),
+            safe_div(tp, tp + fp).alias("precision"),
+            safe_div(tp, tp + fn).alias("recall"),
+            safe_div(2 * tp, 2 * tp + fp + fn).alias("f1")]
+
+
+def confusion_metrics(pred: DataFrame, keys=("model",)) -> DataFrame:
+    """Confusion counts, accuracy, precision, recall, F1 (0 when undefined)."""
+    a = pred.groupBy(*keys).agg(*confusion_counts())
+    return a.select(*keys, "tp", "fp", "tn", "fn", *confusion_rates())
 
 
 def roc_auc(pred: DataFrame, keys=("model",), score: str = "score",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.operators import metrics, mitigate, models
-from evenkeel.operators.audit import binary_fairness
+from evenkeel.operators.audit import binary_counts, binary_metrics
 from evenkeel.spec import FairnessThresholds
 
 # Strategy names in the order they are run.
@@ -25,10 +25,15 @@ ROW_SCHEMA = ("strategy string, accuracy double, f1 double, roc_auc double, dpd
 
 def evaluate(pred: DataFrame, attribute: str, privileged: str, strategy: str,
              th: FairnessThresholds = FairnessThresholds(), detail: Optional[str] = None) -> DataFrame:
-    """One metrics row: accuracy, F1, AUC and privileged-vs-rest fairness."""
-    m = metrics.model_metrics(pred.withColumn("model", F.lit(strategy)))
-    b = binary_fairness(pred.withColumn("model", F.lit(strategy)), attribute, privileged)
-    j = m.join(b, "model")
+    """One metrics row: accuracy, F1, AUC and privileged-vs-rest fairness.
+
+    Confusion counts and the privileged/other counts come from ONE
+    aggregation over the scored rows; the AUC is the only other pass.
+    """
+    p = pred.withColumn("model", F.lit(strategy))
+    a = p.groupBy("model").agg(*metrics.confusion_counts(), *binary_counts(attribute, privileged))
+    m = a.select("model", *metrics.confusion_rates(), *binary_metrics())
+    j = m.join(metrics.roc_auc(p), "model", "left")
     biased = (F.abs("dpd") > th.dpd) | (F.abs("eod") > th.eod) | (F.col("dir") < th.dir)
     return j.select(F.col("model").alias("strategy"), "accuracy", "f1", "roc_auc", "dpd", "eod", "dir",
                     biased.alias("biased"), F.lit("ok").alias("status"),
