@@ -67,6 +67,7 @@ def fit_fair(train: DataFrame, attribute: str, label: str = "y_true", features:
     eta = 2.0 / B
     theta = {(a, s): 0.0 for a in counts for s in (1, -1)}
     members: List[Tuple[List[float], float]] = []
+    member_rates: List[Tuple[Dict[str, float], float]] = []
     history = []
     x = vector_to_array(features)
     for t in range(max_rounds):
@@ -84,14 +85,15 @@ def fit_fair(train: DataFrame, attribute: str, label: str = "y_true", features:
         m = est.fit(d)
         w, b = [float(v) for v in m.coefficients.toArray()], float(m.intercept)
         members.append((w, b))
-        # member's and mixture's positive rates per group in one aggregate
+        # the new member's positive rate per group (one aggregate); the
+        # mixture's rates are the mean of its members' rates (linearity)
         h = F.when(_margin(x, w, b) > 0, 1.0).otherwise(0.0)
-        q = mixture_score(members, features)
-        agg = tr.groupBy("_a").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"), F.sum(q).alias("q")).collect()
+        agg = tr.groupBy("_a").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).collect()
         rh = {r["_a"]: r["h"] / r["n"] for r in agg}
-        rq = {r["_a"]: r["q"] / r["n"] for r in agg}
         oh = sum(r["h"] for r in agg) / n
-        oq = sum(r["q"] for r in agg) / n
+        member_rates.append((rh, oh))
+        rq = {a: sum(m[0].get(a, 0.0) for m in member_rates) / len(member_rates) for a in counts}
+        oq = sum(m[1] for m in member_rates) / len(member_rates)
         g = _violations(rh, oh)
         gq = _violations(rq, oq)
         worst = max(gq.values())
