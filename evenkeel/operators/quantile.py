@@ -24,14 +24,16 @@ def _melt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
               .unpivot([], list(cols), "column", "x").where(F.col("x").isNotNull()))
 
 
-def exact_kth(df: DataFrame, targets: Dict[str, list]) -> Dict[str, list]:
-    """targets: column -> list of 0-based ranks; returns column -> values."""
+def exact_kth(df: DataFrame, targets: Dict[str, list],
+              ranges: Dict[str, tuple] = None) -> Dict[str, list]:
+    """targets: column -> list of 0-based ranks; returns column -> values.
+    ``ranges`` (column -> (min, max)) skips the range pass when known."""
     cols = list(targets)
     if not cols:
         return {}
     long = _melt(df, cols)
-    rng = {r["column"]: (r["lo"], r["hi"]) for r in
-           long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    rng = ranges or {r["column"]: (r["lo"], r["hi"]) for r in
+                     long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
     # state per (column, rank): lo, hi, rank within [lo, hi]
     state = {(c, k): [rng[c][0], rng[c][1], k] for c in cols for k in targets[c] if c in rng}
     result: Dict[tuple, float] = {}
@@ -91,9 +93,14 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> Dict[str, float]:
     cols = list(cols)
     if not cols:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    # one pass: non-null count and range of every column
+    r = df.agg(*[x for c in cols for x in (F.count(c).alias(f"n_{c}"),
+                                             F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
+                                             F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).first()
+    counts = {c: r[f"n_{c}"] for c in cols}
     targets = {c: sorted({(n - 1) // 2, n // 2}) for c, n in counts.items() if n}
-    vals = exact_kth(df, targets)
+    ranges = {c: (r[f"lo_{c}"], r[f"hi_{c}"]) for c in targets}
+    vals = exact_kth(df, targets, ranges)
     out = {}
     for c in cols:
         n = counts[c]
