@@ -1,8 +1,11 @@
-"""Session helpers: a local session for tests/bench and checkpoint handling."""
+"""Session helpers: a local session for tests/bench, shared-folder tables and checkpoints."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -33,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the folder must be configured (shared storage). Only a
     local-mode session without the setting gets a private scratch folder,
-    the way tests run.
+    the way tests run; it is removed when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,12 +45,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; iterative operators need a "
                 "shared checkpoint folder on a cluster")
         conf = tempfile.mkdtemp(prefix="evenkeel-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
@@ -55,3 +59,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table, inside the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, but compressed, column-pruned on
+    every later read and with a file size the planner can check before it
+    decides to broadcast.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

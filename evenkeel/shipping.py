@@ -10,7 +10,9 @@ nothing is staged here.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -24,7 +26,9 @@ def ensure_shipped(spark) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    path = os.path.join(tempfile.mkdtemp(prefix="evenkeel-pkg-"), "evenkeel.zip")
+    folder = tempfile.mkdtemp(prefix="evenkeel-pkg-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "evenkeel.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(pkg):
             if "__pycache__" in d:
