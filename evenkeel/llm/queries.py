@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import (chat_events, feistel_shards, grouping_packer, id_files, line_rules, pareto_mix,
-                          quadratic_classifier)
+from evenkeel.llm import (chat_events, feistel_shards, grouping_packer, id_files, line_rules, lsh_forest,
+                          pareto_mix, quadratic_classifier)
 from evenkeel.llm.common import table
 
 
@@ -51,7 +51,12 @@ def op8_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and links of every document."""
+    return lsh_forest.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_mixing_coder, op3_event_sourced_chats, op4_feistel_shards, op5_pareto_mix,
-    op6_quadratic_discriminant, op8_grouping_genetic)}
+    op6_quadratic_discriminant, op8_grouping_genetic, op10_lsh_forest)}
 ORACLE = {"op1_line_frequency": line_rules.ORACLE, "op5_pareto_mix": pareto_mix.oracle()}
