@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = state.select("v").distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+
+
+def spanning_forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (x, y) of positions: a spanning forest of a symmetric boolean matrix."""
+    forest, seen = [], np.zeros(len(link), bool)
+    for start in np.flatnonzero(link.any(axis=1)).tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            more = np.flatnonzero(link[x] & ~seen).tolist()
+            seen[more] = True
+            forest += [(x, y) for y in more]
+            todo += more
+    return forest

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import slices, texts_of
-from evenkeel.llm.components import components
+from evenkeel.llm.components import components, spanning_forest
 from evenkeel.session import written
 
 SHINGLE = 5
@@ -261,18 +261,7 @@ def verify(reps: list[int], blocks: list[int], copies: list[int], sets: list[np.
         link &= side[:, None] != side[None, :]
     weight = np.array(copies, np.int64)
     counts = link @ weight
-    forest, seen = [], np.zeros(len(reps), bool)
-    for start in np.flatnonzero(link.any(axis=1)).tolist():
-        if seen[start]:
-            continue
-        seen[start] = True
-        todo = [start]
-        while todo:
-            x = todo.pop()
-            more = np.flatnonzero(link[x] & ~seen).tolist()
-            seen[more] = True
-            forest += [(reps[x], reps[y]) for y in more]
-            todo += more
+    forest = [(reps[x], reps[y]) for x, y in spanning_forest(link)]
     return {reps[i]: int(c) for i, c in enumerate(counts) if c}, forest
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import (chat_events, feistel_shards, grouping_packer, id_files, line_rules, lsh_forest,
-                          pareto_mix, quadratic_classifier)
+                          pareto_mix, pseudo_likelihood, quadratic_classifier, spherical_cells)
 from evenkeel.llm.common import table
 
 
@@ -45,12 +45,22 @@ def op6_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quadratic_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document."""
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op8_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 2048 ids."""
     return grouping_packer.pack_documents(table(spark, sf_dir, "documents"),
                                           public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group and links of every embedding."""
+    return spherical_cells.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document."""
     return lsh_forest.join(table(spark, sf_dir, "documents"))
@@ -58,5 +68,5 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_mixing_coder, op3_event_sourced_chats, op4_feistel_shards, op5_pareto_mix,
-    op6_quadratic_discriminant, op8_grouping_genetic, op10_lsh_forest)}
+    op6_quadratic_discriminant, op7_pseudo_likelihood, op8_grouping_genetic, op9_spherical_cells, op10_lsh_forest)}
 ORACLE = {"op1_line_frequency": line_rules.ORACLE, "op5_pareto_mix": pareto_mix.oracle()}
