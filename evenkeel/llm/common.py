@@ -47,8 +47,18 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         at = stop
 
 
-def arrow_schema(ddl: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema([pa.field(k, t) for k, t in ddl])
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in the one column of ``ids`` (null matches null)."""
+    name = fresh(docs, "wanted")
+    return docs.join(ids.toDF(name), docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def n_words(text: F.Column) -> F.Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import ASCII_SPACE, slices, texts_of
+from evenkeel.llm.common import ASCII_SPACE, slices, texts_of, with_ids
 from evenkeel.session import written
 
 SYMBOLS = b"#*$%&|<>"
@@ -180,9 +180,8 @@ def kept_documents(docs: DataFrame, **limits) -> DataFrame:
 
     Verdicts join back on doc_id; a doc_id stays if every row under it passes.
     """
-    verdict = (apply_rules(docs, **limits).groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"))
-               .where("_kept").select(F.col("doc_id").alias("_passed")))
-    return docs.join(verdict, docs["doc_id"].cast("long").eqNullSafe(F.col("_passed")), "left_semi")
+    verdict = apply_rules(docs, **limits).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
+    return with_ids(docs, verdict.where("kept").select("doc_id"))
 
 
 #: DuckDB form of the whole operator over ``documents``.

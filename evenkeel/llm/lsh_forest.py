@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import slices, texts_of
+from evenkeel.llm.common import slices, texts_of, with_ids
 from evenkeel.llm.components import components, spanning_forest
 from evenkeel.session import written
 
@@ -373,6 +373,6 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     Verdicts join back on doc_id; rows that share a doc_id are one document, of which one row stays.
     """
     verdict = (join(docs, **options).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    verdict = written(verdict.where("kept").select(F.col("doc_id").alias("_doc"), "n"), "verdict")
-    out = docs.join(verdict.select("_doc"), docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    verdict = written(verdict.where("kept").select("doc_id", "n"), "verdict")
+    out = with_ids(docs, verdict.select("doc_id"))
     return out.dropDuplicates(["doc_id"]) if verdict.where("n > 1").limit(1).count() else out

@@ -8,8 +8,8 @@ weight. Inside a source a document's expected number of copies is
 the target. The whole part of it is taken for certain; for the fraction
 ``pi`` documents are ranked by random odds over inclusion odds,
 ``u/(1-u) * (1-pi)/pi`` with ``u`` a hash of doc_id and seed, and taken in
-that order up to a sample size fixed in words. One document per source
-then settles what the last one over- or undershot, if that helps.
+that order up to a sample size fixed in words. A few documents per source
+then settle what the last one over- or undershot, where that helps.
 
 The ranking never sorts a whole source in one task: words are summed in
 4096 bins of the rank first, and only the bin that the sample ends in is
@@ -26,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import n_words
+from evenkeel.llm.common import fresh, n_words
 from evenkeel.session import written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 11
 BINS = 4096
+#: Documents per source that may settle what the sample over- or undershot.
+SETTLE = 3
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -115,25 +117,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     ends = ends.where(F.col("upto") - F.col("size") / 2 <= F.col("quota")).select(F.col("row").alias("_row"))
     drawn = placed.join(ends, F.col("row") == F.col("_row"), "left").withColumn(
         "extra", (F.coalesce(F.col("end") <= F.col("quota"), F.lit(False)) | F.col("_row").isNotNull()).cast("long"))
-    drawn = written(drawn.select("doc_id", "source", "size", "whole", "extra", "u", "row"), "drawn")
-
-    # What each source is short of (or over), and the one document that settles it best.
-    got = (drawn.groupBy("source").agg(F.sum(F.col("size") * (F.col("whole") + F.col("extra"))).alias("got"))
-           .join(goal.select(F.col("source").alias("_source"), "source_size", "target"), F.expr("source <=> _source"))
-           .drop("_source").withColumn("gap", F.col("target") - F.col("got")))
-    got = written(got.withColumnRenamed("source", "_s"), "gaps")
-    fits = drawn.join(got, F.expr("source <=> _s")).where(
-        F.when(F.col("gap") > 0, F.col("whole") + F.col("extra") < cap).otherwise(F.col("extra") == 1)
-        & (F.abs(F.col("size") - F.abs("gap")) < F.abs("gap")))
+    state = written(drawn.select("doc_id", "source", "size", "whole", (F.col("whole") + F.col("extra")).alias("copies"),
+                                 "u", "row"), "drawn")
+    for _ in range(SETTLE):
+        state = written(_settled(state, goal, cap), "settled")
+    return (state.join(goal.withColumnRenamed("source", "_s"), F.expr("source <=> _s"))
+            .select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"),
+                    (F.col("copies") * F.col("size")).cast("long").alias("taken")))
+
+
+def _settled(state: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
+    """One copy more or less of the one document per source that best closes the gap to its target."""
+    got = (state.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
+           .join(goal.select(F.col("source").alias("_source"), "target"), F.expr("source <=> _source"))
+           .select(F.col("source").alias("_s"), (F.col("target") - F.col("got")).alias("gap")))
+    got = written(got, "gaps")
+    miss = F.abs(F.col("size") - F.abs("gap"))
+    fits = state.join(got, F.expr("source <=> _s")).where(
+        F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > F.col("whole"))
+        & (miss < F.abs("gap")))
     best = fits.groupBy("source").agg(F.min(F.struct(
-        F.abs(F.col("size") - F.abs("gap")).alias("miss"), "u", "doc_id", "size", "row",
-        F.signum("gap").cast("long").alias("step"))).alias("b"))
-    settled = written(best.select(F.col("b.row").alias("_row"), "b.step"), "settled")
-    copies = F.col("whole") + F.col("extra") + F.coalesce("step", F.lit(0))
-    return (drawn.join(settled, F.col("row") == F.col("_row"), "left")
-            .join(got.select("_s", "source_size", "target"), F.expr("source <=> _s"))
-            .select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"),
-                    (copies * F.col("size")).cast("long").alias("taken")))
+        miss.alias("miss"), "u", "doc_id", "size", "row", F.signum("gap").cast("long").alias("step"))).alias("b"))
+    chosen = written(best.select(F.col("b.row").alias("_row"), "b.step"), "chosen")
+    return (state.join(chosen, F.col("row") == F.col("_row"), "left").drop("_row")
+            .withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -141,15 +148,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Counts join back on doc_id; rows that share a doc_id all follow its largest count.
     """
-    copies = (mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-              .where(F.col("_copies") > 0).withColumnRenamed("doc_id", "_doc"))
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")))
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*[docs[c] for c in docs.columns]))
+    doc, times = fresh(docs, "mixed_doc"), fresh(docs, "mixed_times")
+    copies = (mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+              .select(F.col("doc_id").alias(doc), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times)))
+    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias(times)).drop(times)
 
 
 def oracle(table: str = "documents", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> str:
     """DuckDB form of ``mix`` over a table."""
+    settle = "".join(f""",
+gaps{i} AS (SELECT source, target - sum(size * copies) AS gap FROM drawn{i} GROUP BY source, target),
+fits{i} AS (
+  SELECT rid, sign(gap)::BIGINT AS step, row_number() OVER (
+      PARTITION BY d.source ORDER BY abs(size - abs(gap)), u, doc_id, size, rid) AS k
+  FROM drawn{i} d JOIN gaps{i} g ON d.source IS NOT DISTINCT FROM g.source
+  WHERE CASE WHEN gap > 0 THEN copies < {cap} ELSE copies > whole END AND abs(size - abs(gap)) < abs(gap)),
+drawn{i + 1} AS (
+  SELECT d.* EXCLUDE (copies), copies + coalesce(step, 0) AS copies
+  FROM drawn{i} d LEFT JOIN (SELECT rid, step FROM fits{i} WHERE k = 1) f USING (rid))""" for i in range(SETTLE))
     return f"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -193,13 +210,6 @@ drawn AS (
       sum(CASE WHEN key IS NOT NULL THEN size END) OVER (PARTITION BY k.source ORDER BY key NULLS LAST, doc_id, size, rid
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE <= q THEN 1 ELSE 0 END AS extra
   FROM keyed k JOIN quota t ON k.source IS NOT DISTINCT FROM t.source),
-gaps AS (SELECT source, target - sum(size * (whole + extra)) AS gap FROM drawn GROUP BY source, target),
-fits AS (
-  SELECT rid, sign(gap)::BIGINT AS step, row_number() OVER (
-      PARTITION BY d.source ORDER BY abs(size - abs(gap)), u, doc_id, size, rid) AS k
-  FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source
-  WHERE CASE WHEN gap > 0 THEN whole + extra < {cap} ELSE extra = 1 END AND abs(size - abs(gap)) < abs(gap)),
-final AS (
-  SELECT d.*, whole + extra + coalesce(step, 0) AS n FROM drawn d LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (rid))
-SELECT doc_id, size, source_size, target, (n * size)::BIGINT AS taken FROM final
+drawn0 AS (SELECT * EXCLUDE (copies), whole + extra AS copies FROM drawn){settle}
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM drawn{SETTLE}
 """

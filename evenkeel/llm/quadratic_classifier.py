@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import slices, texts_of
+from evenkeel.llm.common import slices, texts_of, with_ids
 from evenkeel.llm.line_rules import text_stats
 from evenkeel.session import written
 
@@ -166,6 +166,5 @@ def held_out(doc_id):
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` predicted good, with their own columns (a doc_id stays if every row under it is)."""
-    good = (classify(docs, labels, **options).groupBy("doc_id").agg(F.min("predicted").alias("_good"))
-            .where(F.col("_good") == 1).select(F.col("doc_id").alias("_doc")))
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    verdict = classify(docs, labels, **options).groupBy("doc_id").agg(F.min("predicted").alias("good"))
+    return with_ids(docs, verdict.where("good = 1").select("doc_id"))
