@@ -5,15 +5,16 @@ from __future__ import annotations
 from itertools import chain
 from typing import Any, Mapping, Optional, Union
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnOrName = Union[Column, str]
 
 __all__ = ["col_of", "clean_label", "recode", "two_way_bucket", "binarize",
            "null_category", "effect_label", "safe_div", "privileged_marker",
            "privileged_lookup", "compound_cell", "direction_label", "strategy_short_name",
-           "clip01"]
+           "clip01", "is_missing", "nan_as_null"]
 
 
 def col_of(c: ColumnOrName) -> Column:
@@ -26,9 +27,11 @@ def clean_label(c: ColumnOrName) -> Column:
 
 
 def recode(c: ColumnOrName, mapping: Mapping[Any, Any]) -> Column:
-    """Map lookup; unmapped values become null."""
-    m = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-    return m[col_of(c)]
+    """Map lookup; unmapped values become null. A null key gives null its own value."""
+    known = {k: v for k, v in mapping.items() if k is not None}
+    m = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
+    out = m[col_of(c)] if known else F.lit(None)
+    return F.when(col_of(c).isNull(), F.lit(mapping[None])).otherwise(out) if None in mapping else out
 
 
 def two_way_bucket(c: ColumnOrName, cut: float, at_or_above: str, below: str) -> Column:
@@ -46,6 +49,21 @@ def null_category(c: ColumnOrName, label: str = "MISSING") -> Column:
     return F.coalesce(col_of(c).cast("string"), F.lit(label))
 
 
+def is_missing(df: DataFrame, c: str) -> Column:
+    """Null, or NaN in a floating-point column."""
+    t = df.schema[c].dataType
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return F.col(c).isNull() | F.isnan(c)
+    return F.col(c).isNull()
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """``df`` with NaN replaced by null in floating-point columns."""
+    return df.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
+                       if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def effect_label(v: ColumnOrName) -> Column:
     """Effect size words; fixed cut points 0.10 / 0.20 / 0.40."""
     v = col_of(v)

@@ -18,20 +18,44 @@ from pyspark.sql import types as T
 
 _EPS = 1e-15
 _TINY = 1e-300
-_MAXIT = 500
+
+
+def _steps(size: float) -> int:
+    """Enough terms: near x = a both forms need a small multiple of sqrt(a)."""
+    return 500 + int(40 * math.sqrt(max(size, 1.0)))
+
+
+def _power_over_gamma(a: float, x: float) -> float:
+    """x^a e^-x / Gamma(a); for large a through Stirling, so that nothing large cancels."""
+    if a < 50:
+        return math.exp(-x + a * math.log(x) - math.lgamma(a))
+    mu = (x - a) / a
+    small = 1 / (12 * a) - 1 / (360 * a ** 3) + 1 / (1260 * a ** 5)
+    return math.exp(a * _log1p_minus(mu) - small) * math.sqrt(a / (2 * math.pi))
+
+
+def _log1p_minus(u: float) -> float:
+    """log(1 + u) - u without cancellation near 0."""
+    if abs(u) > 0.01:
+        return math.log1p(u) - u
+    total, power = 0.0, u
+    for k in range(2, 12):
+        power *= u
+        total += -power / k if k % 2 == 0 else power / k
+    return total
 
 
 def _gamma_p_series(a: float, x: float) -> float:
     term = 1.0 / a
     total = term
     ap = a
-    for _ in range(_MAXIT):
+    for _ in range(_steps(a)):
         ap += 1.0
         term *= x / ap
         total += term
         if abs(term) < abs(total) * _EPS:
-            break
-    return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
+            return total * _power_over_gamma(a, x)
+    raise ArithmeticError(f"incomplete gamma series did not converge for a={a}, x={x}")
 
 
 def _gamma_q_fraction(a: float, x: float) -> float:
@@ -39,7 +63,7 @@ def _gamma_q_fraction(a: float, x: float) -> float:
     c = 1.0 / _TINY
     d = 1.0 / b
     h = d
-    for i in range(1, _MAXIT):
+    for i in range(1, _steps(a)):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -50,8 +74,8 @@ def _gamma_q_fraction(a: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
+            return _power_over_gamma(a, x) * h
+    raise ArithmeticError(f"incomplete gamma fraction did not converge for a={a}, x={x}")
 
 
 def gamma_q(a: float, x: float) -> float:
@@ -81,7 +105,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     d = _TINY if abs(d) < _TINY else d
     d = 1.0 / d
     h = d
-    for m in range(1, _MAXIT):
+    for m in range(1, _steps(a + b)):
         m2 = 2 * m
         aa = m * (b - m) * x / ((qam + m2) * (a + m2))
         d = 1.0 + aa * d
@@ -99,8 +123,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < _EPS:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta fraction did not converge for a={a}, b={b}, x={x}")
 
 
 def beta_inc(a: float, b: float, x: float) -> float:

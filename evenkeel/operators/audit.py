@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.scalar import privileged_lookup, privileged_marker, safe_div
+from evenkeel.session import written
 from evenkeel.spec import FairnessThresholds
 
 GROUP_KEYS = ["model", "attribute", "group"]
@@ -84,21 +85,20 @@ def annotate_pairs(stats: DataFrame) -> DataFrame:
     group, that group's rates and DPD / EOD / DIR against it.
 
     ``stats`` is small (one row per model x attribute x group) but is needed
-    twice (privileged rows, all rows), so it is first written once as a
-    reliable checkpoint in the shared folder: the source is read once, not
-    once per branch. The privileged table has one row per (model,
-    attribute), a size bounded by the call's arguments, so it is broadcast
-    and the group rows never move (no partition holds all groups of an
-    attribute).
+    twice (privileged rows, all rows), so it is first written once in the
+    shared folder: the source is read once, not once per branch. The
+    privileged rows (one per model and attribute) are written too: the
+    planner knows their size and broadcasts them when they are small, so
+    the group rows don't move; else it is a shuffle join.
     """
-    from evenkeel.session import cut_lineage
-    st = cut_lineage(stats)
-    pg = privileged_groups(st)
-    prow = (st.join(F.broadcast(pg), ["model", "attribute"])
-              .where(F.col("group") == F.col("privileged_group"))
-              .select("model", "attribute", "privileged_group",
-                      F.col("pos_pred_rate").alias("_ppr_p"), F.col("true_pos_rate").alias("_tpr_p")))
-    a = st.join(F.broadcast(prow), ["model", "attribute"])
+    st = written(stats, "group_stats")
+    rates = F.struct("group", "pos_pred_rate", "true_pos_rate")
+    best = F.struct(-F.col("pos_pred_rate"), F.col("group"))
+    pick = F.coalesce(F.max(F.when(F.col("is_privileged"), rates)), F.min_by(rates, best))
+    prow = written(st.groupBy("model", "attribute").agg(pick.alias("p")).select(
+        "model", "attribute", F.col("p.group").alias("privileged_group"),
+        F.col("p.pos_pred_rate").alias("_ppr_p"), F.col("p.true_pos_rate").alias("_tpr_p")), "privileged")
+    a = st.join(prow, ["model", "attribute"])
     is_p = F.col("group") == F.col("privileged_group")
     dpd = F.col("_ppr_p") - F.col("pos_pred_rate")
     eod = F.col("_tpr_p") - F.col("true_pos_rate")

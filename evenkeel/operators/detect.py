@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.scalar import binarize, effect_label, null_category
+from evenkeel.functions.scalar import binarize, effect_label, is_missing, null_category
 from evenkeel.functions.stats import chi2_p_udf, corr_p_udf
+from evenkeel.session import written
 from evenkeel.spec import DetectionThresholds
 
-# Method names and confidence words as reported.
+# Method names, confidence words and reason formats as reported.
 CHI2_METHOD = "Chi-squared + Cramer's V"
 CORR_METHOD = "Point-biserial correlation"
 CONFIDENCE_WORDS = ["Low", "Medium", "High"]
@@ -67,22 +68,30 @@ def encode_target(df: DataFrame, target: str, positive: Any = None) -> Column:
 
     ``positive`` wins when given. Otherwise (T3, T4): 0/1 columns pass
     through; strings -> 1 unless the most frequent value (ties: smallest);
-    other numbers -> 1 when above the exact median.
+    other numbers -> 1 when above the exact median. A target that is null
+    throughout or has a single value is an error (T3); null and NaN are 0 in
+    numbers and, as in the string rule, "not the most frequent" in strings.
     """
     if positive is not None:
         return binarize(target, positive)
     t = df.schema[target].dataType
     if isinstance(t, T.StringType):
         top = (df.where(F.col(target).isNotNull()).groupBy(target).count()
-               .orderBy(F.desc("count"), F.asc(target)).first())
-        return F.coalesce((F.col(target) != F.lit(top[0])).cast("int"), F.lit(1))
-    vals = df.agg(F.min(target).alias("lo"), F.max(target).alias("hi"),
-                  F.count_distinct(target).alias("k")).first()
-    if vals["k"] <= 2 and vals["lo"] in (0, 1) and vals["hi"] in (0, 1):
-        return F.coalesce(F.col(target).cast("int"), F.lit(0))
+               .orderBy(F.desc("count"), F.asc(target)).limit(2).collect())
+        nulls = df.where(F.col(target).isNull()).limit(1).count()
+        if len(top) + nulls < 2:
+            raise ValueError(f"target {target} has a single value: nothing to audit")
+        return F.coalesce((F.col(target) != F.lit(top[0][0])).cast("int"), F.lit(1))
+    missing = is_missing(df, target)
+    x = F.when(~missing, F.col(target))
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count_if(~missing & ~x.isin(0, 1)).alias("others")).first()
+    if r["lo"] is None or r["lo"] == r["hi"]:
+        raise ValueError(f"target {target} has a single value: nothing to audit")
+    if not r["others"]:
+        return F.coalesce(x.cast("int"), F.lit(0))
     from evenkeel.operators.quantile import exact_medians
     med = exact_medians(df, [target])[target]
-    return F.coalesce((F.col(target) > F.lit(med)).cast("int"), F.lit(0))
+    return F.coalesce((x > F.lit(med)).cast("int"), F.lit(0))
 
 
 def contingency(df: DataFrame, features: Sequence[str], class_col: Column,
@@ -117,6 +126,9 @@ def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True,
         cm = margins
     cmk = cm.groupBy(*mk).agg(F.count(F.lit(1)).alias("C"), F.sum(1.0 / F.col("c_j")).alias("inv_c")) \
         if mk else None
+    # Written, so that the planner knows their size: class totals small enough are broadcast and the
+    # contingency rows stay where they are; otherwise it is a shuffle join that AQE splits.
+    cm = written(cm, "margins")
     cells = ct.join(cm, mk + ["class"])
     rows = cells.groupBy(*keys, "value").agg(
         F.sum("n").alias("r_i"),
@@ -152,7 +164,7 @@ def categorical_association(df: DataFrame, features: Sequence[str], y: Column,
     """Chi-squared + Cramer's V of each categorical feature against y."""
     if not features:
         return None
-    # the reference skips columns that are entirely null
+    # columns that are entirely null are skipped
     nonnull = df.agg(*[F.count(c).alias(c) for c in features]).first()
     feats = [c for c in features if nonnull[c] > 0]
     if not feats:
@@ -192,8 +204,9 @@ def target_association(df: DataFrame, target: str, positive: Any = None,
     y = encode_target(df, target, positive)
     parts = [p for p in (categorical_association(df, roles.categorical, y, th),
                          numeric_association(df, roles.numeric, y, th)) if p is not None]
-    out = parts[0]
-    for p in parts[1:]:
+    out = df.sparkSession.createDataFrame([], "feature string, type string, method string, statistic double, "
+                                              "p_value double")
+    for p in parts:
         out = out.unionByName(p)
     sig = F.coalesce(F.col("p_value") < th.p_value, F.lit(False))
     return out.select("*", sig.alias("significant"),
@@ -261,7 +274,7 @@ def flagged_features(assoc: DataFrame, proxies: DataFrame, di: DataFrame) -> Dat
     place of three lookups per feature.
     """
     r1 = assoc.where("flagged").select(
-        "feature", F.lit(1).alias("ord"), F.format_string("target_corr=%.4f", "statistic").alias("reason"))
+        "feature", F.lit(1).alias("ord"), F.format_string("target_corr=%.3f", "statistic").alias("reason"))
     px = proxies.where("flagged_as_proxy").groupBy("feature").agg(
         F.sort_array(F.collect_list(F.struct(-F.col("cramers_v"), F.col("sensitive_attr")))).alias("a"))
     r2 = px.select("feature", F.lit(2).alias("ord"), F.concat(
@@ -269,7 +282,7 @@ def flagged_features(assoc: DataFrame, proxies: DataFrame, di: DataFrame) -> Dat
         F.array_join(F.transform("a", lambda x: F.concat(F.lit("'"), x["sensitive_attr"], F.lit("'"))), ", "),
         F.lit("]")).alias("reason"))
     r3 = di.where("flagged").select(
-        "feature", F.lit(3).alias("ord"), F.format_string("DI=%.4f", "disparate_impact").alias("reason"))
+        "feature", F.lit(3).alias("ord"), F.format_string("DI=%.3f", "disparate_impact").alias("reason"))
     u = r1.unionByName(r2).unionByName(r3)
     g = u.groupBy("feature").agg(F.count(F.lit(1)).alias("methods_flagged"),
                                  F.sort_array(F.collect_list(F.struct("ord", "reason"))).alias("_r"))

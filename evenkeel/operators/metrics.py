@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.scalar import safe_div
+from evenkeel.session import written
 
-AUC_BINS = 1 << 16
+AUC_BINS = 64
 
 
 def confusion_counts() -> list:
@@ -40,34 +41,24 @@ def roc_auc(pred: DataFrame, keys=("model",), score: str = "score",
 
     AUC = sum_s p_s * (negatives below s + n_s / 2) / (P * N), over distinct
     scores s. Rows are first collapsed to distinct scores (partial
-    aggregation). The running count of negatives below each score is
-    computed in two levels so that no window spans all scores of a model:
-    scores fall into ``bins`` equal-width, order-preserving bins between the
-    model's min and max (fitted scalars, one row per model); a window over
-    the bin totals (at most ``bins`` rows per model) gives the negatives
-    before each bin, and a window partitioned by (model, bin) adds the
-    negatives of lower scores inside the bin. Both branches read the same
-    distinct-score aggregate, so its exchange is reused. The result is
-    exact; binning only spreads the work. Null for a single class.
+    aggregation), written once. The running count of negatives below each
+    score is computed in two levels so that no window spans all scores of a
+    model: scores fall into ``bins`` bins between approximate quantiles of
+    the model's distinct scores (so outliers can't crowd them); a window
+    over the bin totals gives the negatives before each bin, and a window
+    partitioned by (model, bin) adds the negatives of lower scores inside
+    the bin. The result is exact; binning only spreads the work. NaN scores
+    count as missing. Null for a single class.
     """
     keys = list(keys)
     yt = F.col("y_true")
-    valid = pred.where(F.col(score).isNotNull())
-    rng = {tuple(r[k] for k in keys): (r["lo"], r["hi"]) for r in
-           valid.groupBy(*keys).agg(F.min(score).alias("lo"), F.max(score).alias("hi")).collect()}
-    d = valid.groupBy(*keys, score).agg(F.sum(yt).cast("double").alias("p_s"),
-                                        F.sum(1 - yt).cast("double").alias("n_s"))
-    lo = F.lit(None).cast("double")
-    hi = F.lit(None).cast("double")
-    for kv, (l, h) in rng.items():
-        match = F.lit(True)
-        for k, v in zip(keys, kv):
-            match = match & (F.col(k) == F.lit(v))
-        lo = F.when(match, F.lit(float(l))).otherwise(lo)
-        hi = F.when(match, F.lit(float(h))).otherwise(hi)
-    span = hi - lo
-    d = d.withColumn("_bin", F.when(span > 0, F.least(F.floor((F.col(score) - lo) / span * bins),
-                                                       F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
+    x = F.col(score).cast("double")
+    valid = pred.where(F.col(score).isNotNull() & ~F.isnan(x)).withColumn(score, x)
+    d = written(valid.groupBy(*keys, score).agg(F.sum(yt).cast("double").alias("p_s"),
+                                                F.sum(1 - yt).cast("double").alias("n_s")), "scores")
+    cuts = d.groupBy(*keys).agg(F.percentile_approx(score, [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts"))
+    cuts = written(cuts, "cuts")  # one row per model, sized by the planner from its file
+    d = (d.join(cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts"))
     bt = d.groupBy(*keys, "_bin").agg(F.sum("n_s").alias("_bn"), F.sum("p_s").alias("_bp"))
     wk = Window.partitionBy(*keys)
     bt = bt.select(*keys, "_bin",

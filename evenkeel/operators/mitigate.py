@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.session import written
+
 GRID_LO, GRID_HI = 10, 90          # fixed values: thresholds 0.10 .. 0.90 step 0.01
 DEFAULT_T = 0.5
 WEIGHT_EPS = 1e-8
@@ -66,9 +68,17 @@ def tpr_curve(scored: DataFrame, group: str, score: str = "score", y: str = "y_t
     TP(t) = #positives with score >= t and the group's positives. Groups
     without positives still get all 81 rows (TPR 0).
     """
+    return _curve_of(_grid_counts(scored, group, score, y))
+
+
+def _grid_counts(scored: DataFrame, group: str, score: str, y: str) -> DataFrame:
+    """(group, k, c): rows per group and grid cell."""
     g = F.col(group).cast("string")
     k = F.when(F.col(y) == 1, F.coalesce(_grid_cell(F.col(score)), F.lit(-1))).otherwise(F.lit(-2))
-    a = scored.groupBy(g.alias("group"), k.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    return scored.groupBy(g.alias("group"), k.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _curve_of(a: DataFrame) -> DataFrame:
     e = a.select("group", "k", "c", F.explode(F.sequence(F.lit(GRID_LO), F.lit(GRID_HI))).alias("i"))
     t = e.groupBy("group", "i").agg(
         F.sum(F.when(F.col("k") >= F.col("i"), F.col("c")).otherwise(0)).alias("tp"),
@@ -83,9 +93,12 @@ def group_thresholds(scored: DataFrame, group: str, privileged: str, score: str
     the privileged group's TPR at 0.5 (lowest threshold on ties); the
     privileged group keeps 0.5. Target is 0.5 if it has no positives.
     """
-    curve = tpr_curve(scored, group, score, y)
+    counts = written(_grid_counts(scored, group, score, y), "grid")  # the only pass over the scored rows
+    curve = _curve_of(counts)
     priv = str(privileged)
-    target = target_tpr(scored, group, priv, score, y)
+    r = counts.where((F.col("group") == priv) & (F.col("k") >= -1)).agg(
+        F.sum("c").alias("p"), F.sum(F.when(F.col("k") >= int(DEFAULT_T * 100), F.col("c"))).alias("tp")).first()
+    target = (r["tp"] or 0) / r["p"] if r["p"] else DEFAULT_T
     c = curve.where(F.col("group") != priv).withColumn("target_tpr", F.lit(target))
     c = c.withColumn("gap", F.abs(F.col("tpr") - F.col("target_tpr")))
     best = c.groupBy("group").agg(
@@ -99,24 +112,16 @@ def group_thresholds(scored: DataFrame, group: str, privileged: str, score: str
     return others.unionByName(p)
 
 
-def target_tpr(scored: DataFrame, group: str, privileged: str, score: str = "score",
-               y: str = "y_true") -> float:
-    """Fitted scalar: the privileged group's TPR at the default 0.5 cut
-    (0.5 when it has no positives). One filtered global aggregate."""
-    r = scored.where((F.col(group).cast("string") == str(privileged)) & (F.col(y) == 1)).agg(
-        F.count(F.lit(1)).alias("p"), F.count_if(F.col(score) >= DEFAULT_T).alias("tp")).first()
-    return r["tp"] / r["p"] if r["p"] else DEFAULT_T
-
-
 def apply_thresholds(scored: DataFrame, thresholds: DataFrame, group: str, score: str = "score",
                      out: str = "y_pred") -> DataFrame:
     """y_pred = score >= threshold of the row's group (0 if none).
 
-    The threshold table has one row per group; the planner broadcasts it
-    when its runtime size is under the broadcast limit (AQE), otherwise it
-    is a shuffle join whose hot groups AQE splits.
+    The threshold table has one row per group. It is written first, so the
+    planner knows its size: under the broadcast limit it is broadcast and
+    the scored rows stay where they are, otherwise it is a shuffle join
+    whose hot groups AQE splits.
     """
-    t = thresholds.select(F.col("group").alias("_g"), F.col("threshold").alias("_t"))
+    t = written(thresholds.select(F.col("group").alias("_g"), F.col("threshold").alias("_t")), "thresholds")
     d = scored.join(t, F.col(group).cast("string") == F.col("_g"), "left")
     return d.withColumn(out, F.coalesce((F.col(score) >= F.col("_t")).cast("int"), F.lit(0))) \
             .withColumnRenamed("_t", "threshold").drop("_g")

@@ -49,7 +49,7 @@ def build(name: str, total_weight: float, weight_col: Optional[str] = None,
     if name == "random_forest":
         return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=TREE_DEPTH,
                                       featureSubsetStrategy="sqrt", seed=SEED, **common)
-    raise ValueError(f"Model '{name}' not found. Available: {MODEL_NAMES}")
+    raise ValueError(f"unknown model {name!r}; known: {', '.join(MODEL_NAMES)}")
 
 
 def fit(name: str, train: DataFrame, weight_col: Optional[str] = None):
@@ -80,12 +80,12 @@ class TrainResult:
 
     def get_model(self, name: str):
         if name not in self.models:
-            raise ValueError(f"Model '{name}' not found. Available: {list(self.models)}")
+            raise ValueError(f"model {name!r} was not fitted; fitted: {', '.join(self.models)}")
         return self.models[name]
 
     def get_predictions(self, name: str) -> DataFrame:
         if name not in self.models:
-            raise ValueError(f"Model '{name}' not found. Available: {list(self.models)}")
+            raise ValueError(f"model {name!r} was not fitted; fitted: {', '.join(self.models)}")
         return self.predictions.where(F.col("model") == name)
 
 

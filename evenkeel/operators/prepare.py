@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.scalar import binarize
+from evenkeel.functions.scalar import binarize, nan_as_null
 from evenkeel.operators.quantile import exact_medians
 from evenkeel.spec import AuditSpec
 
@@ -55,9 +55,11 @@ class Imputer:
 
     @classmethod
     def fit(cls, df: DataFrame, categorical: Sequence[str], continuous: Sequence[str]) -> "Imputer":
+        df = nan_as_null(df)
         return cls(column_modes(df, categorical), exact_medians(df, continuous))
 
     def transform(self, df: DataFrame) -> DataFrame:
+        df = nan_as_null(df)
         types = {f.name: f.dataType for f in df.schema.fields}
         cols = []
         for c in df.columns:
@@ -315,7 +317,7 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
     ``'train'`` fits it on the training split only.
     """
     spec.validate(df)
-    d = df.drop(*[c for c in spec.drop if c in df.columns])
+    d = nan_as_null(df.drop(*[c for c in spec.drop if c in df.columns]))
     key_cols = list(key_cols or ([spec.row_id] if spec.row_id else d.columns))
     cat = [c for c in spec.categorical if c in d.columns]
     cont = [c for c in spec.continuous if c in d.columns]

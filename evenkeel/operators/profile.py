@@ -13,14 +13,14 @@ from typing import Any, Mapping, Optional, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.scalar import binarize, privileged_lookup, safe_div
+from evenkeel.functions.scalar import binarize, is_missing, privileged_lookup, safe_div
 
 
 def missing_profile(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
-    """Nulls and percent missing per column."""
+    """Nulls (and NaN) and percent missing per column."""
     cols = list(columns or df.columns)
     a = df.agg(F.count(F.lit(1)).alias("_rows"),
-               *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+               *[F.count_if(is_missing(df, c)).alias(c) for c in cols])
     long = a.unpivot(["_rows"], cols, "column", "n_missing")
     return long.select("column", F.col("n_missing").cast("long").alias("n_missing"),
                        (100.0 * safe_div("n_missing", "_rows")).alias("pct_missing"))
@@ -67,7 +67,7 @@ def favourable_rate(df: DataFrame, target: str, positive: Any, attributes: Seque
 def dataset_summary(df: DataFrame, target: str, positive: Any) -> DataFrame:
     """Rows, feature count, missing cells, positive rate (one scan)."""
     cols = df.columns
-    missing = sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0))
+    missing = sum((F.count_if(is_missing(df, c)) for c in cols), F.lit(0))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(cols) - 1).cast("long").alias("n_features"),

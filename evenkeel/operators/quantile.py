@@ -21,7 +21,7 @@ DIRECT = 4096
 
 def _melt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot([], list(cols), "column", "x").where(F.col("x").isNotNull()))
+              .unpivot([], list(cols), "column", "x").where(F.abs("x") < float("inf")))
 
 
 def exact_kth(df: DataFrame, targets: Dict[str, list],
@@ -60,7 +60,8 @@ def exact_kth(df: DataFrame, targets: Dict[str, list],
             hi_c = F.when((F.col("column") == c) & (F.col("x") >= lo) & (F.col("x") <= hi),
                           F.lit(hi)).otherwise(hi_c)
         part = long.where(sel).withColumn("_lo", lo_c).withColumn("_hi", hi_c)
-        b = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS),
+        # halves: the width of a finite range stays finite; its ends fall into different bins
+        b = F.least(F.floor((F.col("x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * BINS),
                     F.lit(BINS - 1)).cast("int")
         hist = (part.groupBy("column", "_lo", "_hi", b.alias("bin"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
@@ -89,24 +90,37 @@ def exact_kth(df: DataFrame, targets: Dict[str, list],
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> Dict[str, float]:
-    """Exact median of each column over its non-null values (None if empty)."""
+    """Exact median of each column (None if empty).
+
+    NaN is missing; infinities count as the least and greatest values, and
+    only the finite ones between them are searched.
+    """
     cols = list(cols)
     if not cols:
         return {}
-    # one pass: non-null count and range of every column
-    r = df.agg(*[x for c in cols for x in (F.count(c).alias(f"n_{c}"),
-                                             F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-                                             F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).first()
-    counts = {c: r[f"n_{c}"] for c in cols}
-    targets = {c: sorted({(n - 1) // 2, n // 2}) for c, n in counts.items() if n}
-    ranges = {c: (r[f"lo_{c}"], r[f"hi_{c}"]) for c in targets}
+    inf = float("inf")
+    aggs = []
+    for c in cols:  # one pass: counts and finite range of every column
+        x = F.col(c).cast("double")
+        finite = F.when(F.abs(x) < inf, x)
+        aggs += [F.count(finite).alias(f"n_{c}"), F.count_if(x == -inf).alias(f"neg_{c}"),
+                 F.count_if(x == inf).alias(f"pos_{c}"), F.min(finite).alias(f"lo_{c}"), F.max(finite).alias(f"hi_{c}")]
+    r = df.agg(*aggs).first()
+    wanted, targets, ranges = {}, {}, {}
+    for c in cols:
+        neg, n = r[f"neg_{c}"], r[f"n_{c}"]
+        total = neg + n + r[f"pos_{c}"]
+        wanted[c] = [k - neg for k in ((total - 1) // 2, total // 2)] if total else None
+        inside = sorted({k for k in wanted[c] or [] if 0 <= k < n})
+        if inside:
+            targets[c], ranges[c] = inside, (r[f"lo_{c}"], r[f"hi_{c}"])
     vals = exact_kth(df, targets, ranges)
     out = {}
     for c in cols:
-        n = counts[c]
-        if not n:
+        if wanted[c] is None:
             out[c] = None
             continue
-        v = dict(zip(targets[c], vals[c]))
-        out[c] = (v[(n - 1) // 2] + v[n // 2]) / 2.0
+        known = dict(zip(targets.get(c, []), vals.get(c, [])))
+        a, b = (known.get(k, -inf if k < 0 else inf) for k in wanted[c])
+        out[c] = a if a == b else a / 2.0 + b / 2.0
     return out

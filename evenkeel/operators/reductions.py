@@ -14,6 +14,7 @@ new literals, so the lineage does not grow with the rounds.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from typing import Dict, List, Tuple
 
 from pyspark import StorageLevel
@@ -21,12 +22,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.scalar import recode
+from evenkeel.functions.scalar import null_category, recode
 from evenkeel.operators import models
 
-BOUND = 0.05        # fixed values: difference bound, eps and round limit of the reference
+BOUND = 0.05        # fixed values: difference bound, eps and round limit as published
 EPS = 0.05
 MAX_ROUNDS = 50
+GAP = 0.01          # duality gap at which the game is solved
+MAX_GROUPS = 10_000  # the driver keeps two multipliers per group
 
 
 def _margin(x: Column, w: List[float], b: float) -> Column:
@@ -44,77 +47,120 @@ def mixture_score(members: List[Tuple[List[float], float]], features: str = "fea
     return total / float(len(members))
 
 
+@dataclass
+class FairFit:
+    """members: (weights, intercept) pairs of the chosen mixture, weighed equally; history: one entry
+    per round (round, violation and duality gap of the mixture so far); status: ``ok``, or
+    ``bound_not_met`` when no mixture kept the bound."""
+    members: List[Tuple[List[float], float]]
+    history: List[Tuple[int, float, float]]
+    status: str
+    violation: float
+    gap: float
+
+
 def _violations(rates: Dict[str, float], overall: float) -> Dict[Tuple[str, int], float]:
-    g = {}
-    for a, r in rates.items():
-        g[(a, 1)] = (r - overall) - BOUND
-        g[(a, -1)] = -(r - overall) - BOUND
-    return g
+    return {(a, s): s * (r - overall) - BOUND for a, r in rates.items() for s in (1, -1)}
+
+
+def _mean(parts: List[dict]) -> dict:
+    return {k: sum(p[k] for p in parts) / len(parts) for k in parts[0]}
 
 
 def fit_fair(train: DataFrame, attribute: str, label: str = "y_true", features: str = "features",
-             max_rounds: int = MAX_ROUNDS):
-    """Returns (members, history); members are (weights, intercept) pairs."""
-    tr = train.select(F.col(attribute).cast("string").alias("_a"), F.col(label).cast("int").alias("_y"),
-                      features).persist(StorageLevel.MEMORY_AND_DISK)
+             max_rounds: int = MAX_ROUNDS, gap: float = GAP) -> FairFit:
+    """Play the game between a learner and the multipliers until its duality gap closes.
+
+    A round answers the current multipliers with a weighted fit, adds it to
+    the mixture and raises the multipliers of violated constraints. The gap
+    of a mixture compares its Lagrangian at the average multipliers with
+    the best the multipliers could still do against it, and with the best
+    answer to them (found among the members, and confirmed by one more fit
+    before the game ends). The mixture returned is the best iterate: of
+    those within the bound the one with the least error, else the one that
+    violates it least. Null groups are the group MISSING.
+    """
+    tr = train.select(null_category(attribute).alias("_a"), F.col(label).cast("int").alias("_y"), features)
+    n_groups = tr.agg(F.approx_count_distinct("_a").alias("k")).first()["k"]
+    if n_groups > MAX_GROUPS:
+        raise ValueError(f"{attribute} has about {n_groups} groups; the reduction keeps state for at most {MAX_GROUPS}")
+    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _play(tr, features, max_rounds, gap)
+    finally:
+        tr.unpersist()
+
+
+def _play(tr: DataFrame, features: str, max_rounds: int, gap: float) -> FairFit:
     cells = {(r["_a"], r["_y"]): r["n"] for r in
              tr.groupBy("_a", "_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts: Dict[str, int] = {}
     for (a, _), c in cells.items():
         counts[a] = counts.get(a, 0) + c
     n = float(sum(counts.values()))
-    B = 1.0 / EPS
-    eta = 2.0 / B
+    top = 1.0 / EPS                     # bound on the sum of multipliers
+    eta = 2.0 / top
     theta = {(a, s): 0.0 for a in counts for s in (1, -1)}
-    members: List[Tuple[List[float], float]] = []
-    member_rates: List[Tuple[Dict[str, float], float]] = []
-    history = []
-    x = vector_to_array(features)
-    for t in range(max_rounds):
-        z = 1.0 + sum(math.exp(v) for v in theta.values())
-        lam = {k: B * math.exp(v) / z for k, v in theta.items()}
-        L = {a: lam[(a, 1)] - lam[(a, -1)] for a in counts}
-        sum_l = sum(L.values())
-        per_row = {a: L[a] / counts[a] - sum_l / n for a in counts}
+
+    def answer(lam: dict):
+        """The learner's best answer to multipliers: (member, error, group rates)."""
+        push = {a: lam[(a, 1)] - lam[(a, -1)] for a in counts}
+        per_row = {a: push[a] / counts[a] - sum(push.values()) / n for a in counts}
         cost = (1 - 2 * F.col("_y")) / F.lit(n) + recode("_a", per_row)
-        d = tr.select(features, (cost < 0).cast("double").alias("_lbl"),
-                      (F.abs(cost) * F.lit(n)).alias("_w"))
+        d = tr.select(features, (cost < 0).cast("double").alias("_lbl"), (F.abs(cost) * F.lit(n)).alias("_w"))
         # the cost depends on (group, label) only: total weight from the cell counts
         total_w = sum(c * abs((1 - 2 * y) / n + per_row[a]) * n for (a, y), c in cells.items())
-        est = models.build("logistic_regression", total_w or 1.0, "_w", label="_lbl")
-        m = est.fit(d)
+        m = models.build("logistic_regression", total_w or 1.0, "_w", label="_lbl").fit(d)
         w, b = [float(v) for v in m.coefficients.toArray()], float(m.intercept)
-        members.append((w, b))
-        # the new member's positive rate per group (one aggregate); the
-        # mixture's rates are the mean of its members' rates (linearity)
-        h = F.when(_margin(x, w, b) > 0, 1.0).otherwise(0.0)
-        agg = tr.groupBy("_a").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).collect()
-        rh = {r["_a"]: r["h"] / r["n"] for r in agg}
-        oh = sum(r["h"] for r in agg) / n
-        member_rates.append((rh, oh))
-        rq = {a: sum(m[0].get(a, 0.0) for m in member_rates) / len(member_rates) for a in counts}
-        oq = sum(m[1] for m in member_rates) / len(member_rates)
-        g = _violations(rh, oh)
-        gq = _violations(rq, oq)
-        worst = max(gq.values())
-        history.append((t, worst))
-        if worst <= 0:
+        h = F.when(_margin(vector_to_array(features), w, b) > 0, 1.0).otherwise(0.0)
+        got = tr.groupBy("_a").agg(F.sum(h).alias("h"), F.sum(F.abs(h - F.col("_y"))).alias("wrong")).collect()
+        rates = {r["_a"]: r["h"] / counts[r["_a"]] for r in got}
+        return (w, b), sum(r["wrong"] for r in got) / n, _violations(rates, sum(r["h"] for r in got) / n)
+
+    def lagrangian(error: float, g: dict, lam: dict) -> float:
+        return error + sum(lam[k] * g[k] for k in g)
+
+    members, errors, slacks, lams, history = [], [], [], [], []
+    best = None
+    for t in range(max_rounds):
+        z = 1.0 + sum(math.exp(v) for v in theta.values())
+        lam = {k: top * math.exp(v) / z for k, v in theta.items()}
+        member, error, g = answer(lam)
+        members.append(member)
+        errors.append(error)
+        slacks.append(g)
+        lams.append(lam)
+        # the mixture's error and rates are the means of its members' (linearity)
+        mix_error, mix_g, mean_lam = sum(errors) / len(errors), _mean(slacks), _mean(lams)
+        worst = max(mix_g.values())
+        here = lagrangian(mix_error, mix_g, mean_lam)
+        high = mix_error + top * max(0.0, worst)
+        low = min(lagrangian(e, s, mean_lam) for e, s in zip(errors, slacks))
+        if max(high - here, here - low) <= gap:
+            low = min(low, lagrangian(*answer(mean_lam)[1:], mean_lam))
+        width = max(high - here, here - low)
+        history.append((t, worst, width))
+        rank = (worst > 0, mix_error if worst <= 0 else worst, t)
+        if best is None or rank < best[0]:
+            best = (rank, t + 1, worst, width)
+        if width <= gap:
             break
         for k in theta:
             theta[k] += eta * g[k]
-    tr.unpersist()
-    return members, history
+    _, size, worst, width = best
+    return FairFit(members[:size], history, "ok" if worst <= 0 else "bound_not_met", worst, width)
 
 
 def fair_classifier(ctx):
     """M15 strategy: (members, predictions, metrics row)."""
     from evenkeel.operators.strategies import evaluate
-    members, history = fit_fair(ctx.train, ctx.attribute)
-    score = mixture_score(members)
+    fit = fit_fair(ctx.train, ctx.attribute)
+    score = mixture_score(fit.members)
     keys = [k for k in ctx.keep]
     u = (F.pmod(F.xxhash64(*[F.col(k) for k in keys if k != "y_true"], F.lit(42)), F.lit(1 << 30))
          / float(1 << 30))
     pred = ctx.test.select(*keys, score.alias("score")).withColumn(
         "y_pred", (u < F.col("score")).cast("int")).withColumn("model", F.lit("fair_classifier"))
-    detail = f"rounds={len(members)}; final_violation={history[-1][1]:.4f}"
-    return members, pred, evaluate(pred, ctx.attribute, ctx.privileged, "fair_classifier", detail=detail)
+    detail = f"members={len(fit.members)}; violation={fit.violation:.4f}; gap={fit.gap:.4f}"
+    row = evaluate(pred, ctx.attribute, ctx.privileged, "fair_classifier", detail=detail)
+    return fit, pred, row.withColumn("status", F.lit(fit.status))

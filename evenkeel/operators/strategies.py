@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import metrics, mitigate, models
 from evenkeel.operators.audit import binary_counts, binary_metrics
+from evenkeel.session import written
 from evenkeel.spec import FairnessThresholds
 
-# Strategy names in the order they are run.
-STRATEGIES = ["baseline", "resampling", "reweighing", "fair_classifier", "thresholds"]
+# Strategy names in the order they are run (group-balanced oversampling is not built, see README).
+STRATEGIES = ["baseline", "reweighing", "fair_classifier", "thresholds"]
 
 ROW_SCHEMA = ("strategy string, accuracy double, f1 double, roc_auc double, dpd double, "
               "eod double, dir double, biased boolean, status string, error string, detail string")
@@ -28,9 +29,10 @@ def evaluate(pred: DataFrame, attribute: str, privileged: str, strategy: str,
     """One metrics row: accuracy, F1, AUC and privileged-vs-rest fairness.
 
     Confusion counts and the privileged/other counts come from ONE
-    aggregation over the scored rows; the AUC is the only other pass.
+    aggregation over the scored rows; the AUC is the only other pass. Both
+    read one written narrow table, so a model scores every row once.
     """
-    p = pred.withColumn("model", F.lit(strategy))
+    p = written(pred.select(F.lit(strategy).alias("model"), attribute, "y_true", "y_pred", "score"), "scored")
     a = p.groupBy("model").agg(*metrics.confusion_counts(), *binary_counts(attribute, privileged))
     m = a.select("model", *metrics.confusion_rates(), *binary_metrics())
     j = m.join(metrics.roc_auc(p), "model", "left")
@@ -43,7 +45,7 @@ def evaluate(pred: DataFrame, attribute: str, privileged: str, strategy: str,
 def failed_row(spark: SparkSession, strategy: str, error: str) -> DataFrame:
     """A failed strategy is a row with status and error, no fake predictions."""
     return spark.createDataFrame([(strategy, None, None, None, None, None, None, None, "failed",
-                                   error[:500], None)], ROW_SCHEMA)
+                                   error, None)], ROW_SCHEMA)
 
 
 @dataclass
@@ -79,51 +81,44 @@ def reweighing(ctx: Context):
 
 
 def thresholds(ctx: Context, base_model, fit_on: Optional[DataFrame] = None):
-    """Equal-opportunity thresholds on the baseline scores.
+    """Equal-opportunity thresholds on the baseline scores; the first result is their table.
 
     Fitting and applying are separate; by default the thresholds are
     fitted on the rows they are applied to, as in the reference (T15).
     """
-    scored = models.score(base_model, ctx.test, "thresholds", ctx.keep)
+    scored = written(models.score(base_model, ctx.test, "thresholds", ctx.keep), "scored")
     fit_rows = scored if fit_on is None else models.score(base_model, fit_on, "thresholds", ctx.keep)
     t = mitigate.group_thresholds(fit_rows, ctx.attribute, ctx.privileged)
     pred = mitigate.apply_thresholds(scored.drop("y_pred"), t, ctx.attribute).drop("threshold")
-    # one row per group of the attribute: report them only when few
-    few = t.select("group", "threshold").limit(51).collect()
-    detail = ("thresholds={" + ", ".join(f"{r['group']}: {r['threshold']:.2f}" for r in sorted(few)) + "}"
-              if len(few) <= 50 else f"thresholds for {t.count()} groups")
-    return t, pred, evaluate(pred, ctx.attribute, ctx.privileged, "thresholds", detail=detail)
+    return t, pred, evaluate(pred, ctx.attribute, ctx.privileged, "thresholds")
 
 
 def run_all(ctx: Context, include: Sequence[str] = STRATEGIES) -> DataFrame:
-    """Every strategy in the fixed order, one row each (failures kept)."""
+    """Every strategy in the fixed order, one row each.
+
+    A fair classifier that fails becomes a row with its error (T14); any
+    other failure is raised.
+    """
     rows: List[DataFrame] = []
     base_model = None
     for name in include:
-        try:
-            if name == "baseline":
-                base_model, _, row = baseline(ctx)
-            elif name == "reweighing":
-                _, _, row = reweighing(ctx)
-            elif name == "thresholds":
-                if base_model is None:
-                    base_model, _ = models.fit("logistic_regression", ctx.train)
-                _, _, row = thresholds(ctx, base_model)
-            elif name == "resampling":
-                # group-balanced oversampling needs exact k-NN inside each (group, label)
-                # cell; not built yet (see README), reported as its own status
-                rows.append(ctx.spark.createDataFrame(
-                    [(name, None, None, None, None, None, None, None, "not_built",
-                      "exact per-cell k-nearest-neighbour search not built yet", None)], ROW_SCHEMA))
-                continue
-            elif name == "fair_classifier":
-                from evenkeel.operators.reductions import fair_classifier
+        if name == "baseline":
+            base_model, _, row = baseline(ctx)
+        elif name == "reweighing":
+            _, _, row = reweighing(ctx)
+        elif name == "thresholds":
+            if base_model is None:
+                base_model, _ = models.fit("logistic_regression", ctx.train)
+            _, _, row = thresholds(ctx, base_model)
+        elif name == "fair_classifier":
+            from evenkeel.operators.reductions import fair_classifier
+            try:
                 _, _, row = fair_classifier(ctx)
-            else:
-                raise ValueError(f"unknown strategy {name}")
-            rows.append(row.select(*[c.split()[0] for c in ROW_SCHEMA.split(", ")]))
-        except Exception as e:  # a failed strategy is reported, not raised
-            rows.append(failed_row(ctx.spark, name, f"{type(e).__name__}: {e}"))
+            except Exception as e:
+                row = failed_row(ctx.spark, name, f"{type(e).__name__}: {e}")
+        else:
+            raise ValueError(f"unknown strategy {name}")
+        rows.append(row.select(*[c.split()[0] for c in ROW_SCHEMA.split(", ")]))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

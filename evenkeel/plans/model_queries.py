@@ -46,7 +46,7 @@ def q_train_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_mitigation_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Baseline, resampling, reweighing, fair classifier, thresholds."""
+    """Baseline, reweighing, fair classifier, thresholds."""
     p = _order_prepared(spark, sf)
     ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
                              ["row_id", "y_true", "c_mktsegment"])
@@ -81,8 +81,7 @@ def q_recommended(spark: SparkSession, sf: str) -> DataFrame:
     p = _order_prepared(spark, sf)
     ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
                              ["row_id", "y_true", "c_mktsegment"])
-    return report_round(report.recommended(strategies.run_all(
-        ctx, ["baseline", "reweighing", "thresholds"])))
+    return report_round(report.recommended(strategies.run_all(ctx)))
 
 
 # ---- report tables over the rule-based order models (SQL oracles) ----
@@ -265,7 +264,7 @@ def q_before_after(spark: SparkSession, sf: str) -> DataFrame:
     p = _order_prepared(spark, sf)
     ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
                              ["row_id", "y_true", "c_mktsegment"])
-    return report_round(report.before_after(strategies.run_all(ctx, ["baseline", "reweighing", "thresholds"])))
+    return report_round(report.before_after(strategies.run_all(ctx)))
 
 
 def q_top_attribution_magnitude(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,6 +44,10 @@ CREDIT_SEX_CODES = {"A91": "male", "A92": "female", "A93": "male", "A94": "male"
 CREDIT_LABELS = {1: 1, 2: 0}
 
 
+#: Raw text of lines that don't have the expected fields.
+CORRUPT = "_corrupt_record"
+
+
 def _schema(cols) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in cols])
 
@@ -53,19 +57,27 @@ def read_census_csv(spark: SparkSession, path: str, skip_first_line: bool = Fals
 
     The second split of the census data starts with one junk line; it is
     dropped by reading that file with ``header=True`` (explicit schema, so
-    the header line is discarded, never parsed).
+    the header line is discarded, never parsed). Every other line is kept:
+    numbers are read as text and cast, so ``40.0`` is 40 and what is no
+    number is null; a line with too few or too many fields keeps its raw
+    text in ``_corrupt_record``.
     """
-    df = (spark.read.schema(_schema(CENSUS_COLUMNS))
+    raw = [(n, T.StringType()) for n, _ in CENSUS_COLUMNS] + [(CORRUPT, T.StringType())]
+    df = (spark.read.schema(_schema(raw))
           .option("sep", ",").option("ignoreLeadingWhiteSpace", True)
           .option("ignoreTrailingWhiteSpace", True).option("nullValue", "?")
-          .option("header", skip_first_line).option("mode", "DROPMALFORMED")
+          .option("header", skip_first_line).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", CORRUPT)
           .csv(path))
-    return df.withColumn("income", clean_label("income")).where(F.col("age").isNotNull())
+    cols = [F.col(n) if isinstance(t, T.StringType) else F.expr(f"try_cast({n} AS DOUBLE)").cast(t).alias(n)
+            for n, t in CENSUS_COLUMNS]
+    return df.select(*cols, CORRUPT).withColumn("income", clean_label("income"))
 
 
 def read_credit_csv(spark: SparkSession, path: str) -> DataFrame:
     """S3: space separated credit file; derives sex and age_group."""
-    df = spark.read.schema(_schema(CREDIT_COLUMNS)).option("sep", " ").csv(path)
+    df = (spark.read.schema(_schema(CREDIT_COLUMNS)).option("sep", " ")
+          .option("ignoreLeadingWhiteSpace", True).csv(path))
     return (df.withColumn("sex", recode("personal_status_sex", CREDIT_SEX_CODES))
               .withColumn("age_group", two_way_bucket("age", 25, "adult", "young"))
               .withColumn("credit_risk", recode("credit_risk", CREDIT_LABELS))

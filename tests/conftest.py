@@ -15,7 +15,7 @@ def spark():
          .config("spark.driver.memory", "6g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="evenkeel-test-ckpt-"))
+    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evenkeel-test-ckpt-"))
     yield s
     s.stop()

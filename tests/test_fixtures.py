@@ -176,6 +176,6 @@ def test_c9_confidence(spark):
     assert fl["f1"].methods_flagged == 3 and fl["f1"].confidence == "High"
     assert fl["f2"].methods_flagged == 2 and fl["f2"].confidence == "Medium"
     assert fl["f4"].methods_flagged == 1 and fl["f4"].confidence == "Low"
-    assert fl["f1"].reasons == "target_corr=0.3000 | proxy_for=['sex', 'race'] | DI=0.5000"
+    assert fl["f1"].reasons == "target_corr=0.300 | proxy_for=['sex', 'race'] | DI=0.500"
     s = detect.detection_summary(detect.flagged_features(assoc, px, di), 4).first()
     assert (s.features_flagged, s.high_confidence, s.medium_confidence, s.low_confidence) == (3, 1, 1, 1)
