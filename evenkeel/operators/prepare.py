@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.scalar import binarize, nan_as_null
 from evenkeel.operators.quantile import exact_medians
+from evenkeel.session import written
 from evenkeel.spec import AuditSpec
 
 DIRECT_HASHES = 1 << 16
@@ -250,16 +251,28 @@ def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], test_si
         at = at | ((F.col(label) == F.lit(c)) & (F.col("_h") == F.lit(t)))
     if all(n_at <= need for _, need, n_at in cut.values()):
         return d.withColumn("is_test", below | at).drop("_h")
-    # rare: identical keys straddle the cut; rank only those few rows
-    rn = F.row_number().over(Window.partitionBy(label, "_h").orderBy(*key_cols))
+    # rare: identical keys straddle the cut; they are interchangeable, so any of them may be the test rows
     need_c = F.lit(0)
     for c, (_, need, _) in cut.items():
         need_c = F.when(F.col(label) == F.lit(c), F.lit(need)).otherwise(need_c)
     rest = d.where(~at).withColumn("is_test", below)
-    edge = d.where(at).withColumn("is_test", rn <= need_c)
+    edge = _ranked_by_partition(d.where(at), label).withColumn("is_test", F.col("_rank") <= need_c).drop("_rank")
     return rest.unionByName(edge).drop("_h")
 
 
+def _ranked_by_partition(rows: DataFrame, label: str) -> DataFrame:
+    """Number the rows of each class from 1, in any order: numbers inside a partition plus the counts
+    of the partitions before it, so a class of any size is never in one task."""
+    held = written(rows.withColumn("_at", F.monotonically_increasing_id()), "edge").withColumn(
+        "_part", F.shiftright("_at", 33))
+    counts = held.groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_part")) - F.col("_n")
+    counts = written(counts.withColumn("_before", before).drop("_n"), "edge_counts")
+    local = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_at"))
+    return (held.withColumn("_local", local).join(counts, [label, "_part"])
+            .withColumn("_rank", F.col("_local") + F.col("_before")).drop("_local", "_before", "_part", "_at"))
+
+
 @dataclass
 class Scaler:
     """M4: z-score with train mean and POPULATION deviation (0 -> 1)."""
@@ -325,9 +338,8 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
     base = d.select(*[F.col(c) for c in dict.fromkeys(key_cols + cat + cont)],
                     *[F.col(s).cast("string").alias(f"sens_{s}") for s in sens],
                     binarize(spec.target, spec.positive).alias("y_true"))
-    from pyspark import StorageLevel
-    # one read of the source for all fits and split passes (recomputable if lost)
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # one read of the source for all fits and split passes
+    base = written(base, "base")
     # the reference imputes only when something is missing; fit only those columns
     # one aggregate: null counts of all columns + cardinality guard of the categoricals
     prof = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cat + cont],

@@ -126,3 +126,11 @@ def test_census_reader_keeps_every_row(spark, tmp_path):
     assert len(rows) == 5
     assert [r["age"] for r in rows[:4]] == [39, None, 50, 40] and {r["income"] for r in rows[:4]} == {"<=50K"}
     assert rows[4]["_corrupt_record"] == "1, short line" and rows[0]["_corrupt_record"] is None
+
+
+def test_split_of_identical_keys(spark):
+    from evenkeel.operators.prepare import stratified_split
+    df = spark.range(1000).select(F.lit(7).alias("k"), (F.col("id") % 2).cast("int").alias("y")).repartition(6)
+    got = {r["y"]: (r["n"], r["t"]) for r in stratified_split(df, "y", ["k"]).groupBy("y").agg(
+        F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert got == {0: (500, 100), 1: (500, 100)}
