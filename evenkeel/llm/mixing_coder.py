@@ -94,7 +94,7 @@ class _Model:
         p1 = self.p1[:n]
         hit1, hit2 = self.c1 == x, self.c2 == x
         outcome = np.where(hit1, 0, np.where(hit2 & ~self.same, 1, 2))
-        np.add.at(self.hits, (self.bucket, outcome), 1)
+        self.hits += np.bincount(self.bucket * 3 + outcome, minlength=self.hits.size).reshape(self.hits.shape)
         if self.steps % 64 == 63:
             self.hits = np.maximum(1, self.hits - (self.hits >> 3))
         for at, cand, conf, hit in ((p1, self.cand1, self.conf1, hit1), (self.at2, self.cand2, self.conf2, hit2)):
