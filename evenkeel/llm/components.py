@@ -15,7 +15,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round links every neighbour to the least one it knows of, first
     among larger neighbours, then among smaller ones; the number of edges
     never grows, minima are taken by partial aggregation, and every round
-    is a written table. Ends when a round changes nothing.
+    is a written table. The minima are written before they are joined back,
+    so that the join has exchanges of its own and AQE can split the edges
+    of a hub. Ends when a round changes nothing.
     """
     def fingerprint(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
@@ -25,12 +27,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = fingerprint(state)
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            F.col("u").alias("w"), F.least("u", "m").alias("m")), "minima")
         large = (both.join(least, F.col("u") == F.col("w")).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         large = written(large, "large")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         moved = (large.join(small.select(F.col("u").alias("w"), "m"), F.col("u") == F.col("w"))
                  .where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         state = written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
