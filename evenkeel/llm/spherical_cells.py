@@ -9,8 +9,8 @@ linked unit vectors are at most ``sqrt(2 - 2 cos)`` apart. So every link of
 a vector is found in its home cell, and none is lost between cells.
 
 Cells are cut into blocks; a pair of blocks is a task that multiplies the
-two blocks and returns link counts of the vectors at home there and a
-spanning forest of the links. Components of the forests give one
+vectors at home in the one with all members of the other and returns link
+counts of the former and a spanning forest of the links. Components of the forests give one
 representative per group.
 
 Defined results: vectors that are null, empty, zero or hold null or
@@ -36,10 +36,10 @@ COSINE = 0.98
 #: Vectors that the centres are fitted on, at most about so many (chosen by a hash).
 SAMPLE = 20_000
 #: Vectors of the largest label per centre, and the most centres (bounds what a task is sent).
-PER_CENTRE = 1000
+PER_CENTRE = 2000
 MAX_CENTRES = 4096
 ITERATIONS = 8
-BLOCK = 1024
+BLOCK = 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -103,6 +103,11 @@ def _assign(centres: dict[int, np.ndarray], reach: float):
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
+def linked(left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
+    """Boolean matrix of the pairs of unit rows with at least this cosine."""
+    return left @ right.T >= cosine
+
+
 def _compare(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stream members sorted by task (cell, pair of blocks); one task is held at a time."""
@@ -110,34 +115,43 @@ def _compare(cosine: float):
         found: list[tuple] = []
 
         def close() -> None:
-            if len(held) < 2:
+            left = [r for r in held if r[1] == at[3] and r[3]]
+            right = [r for r in held if r[1] == at[4]]
+            if not left or not right:
+                return
+            link = linked(unit(np.array([r[4] for r in left], np.float32)),
+                          unit(np.array([r[4] for r in right], np.float32)), cosine)
+            if at[3] == at[4]:
+                mine = {r[0]: k for k, r in enumerate(right)}
+                link[np.arange(len(left)), [mine[r[0]] for r in left]] = False
+            rows, cols = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+            if not len(rows):
                 return
-            x = unit(np.array([r[4] for r in held], np.float32))
-            link = x @ x.T >= cosine
-            np.fill_diagonal(link, False)
-            home = np.array([r[3] for r in held])
-            if at[4] != at[5]:
-                side = np.array([r[1] for r in held])
-                link &= side[:, None] != side[None, :]
-            counts = link @ np.array([r[2] for r in held], np.int64)
-            found.extend((held[i][0], None, int(counts[i])) for i in np.flatnonzero(home & (counts > 0)))
-            found.extend((held[i][0], held[j][0], 0)
-                         for i, j in spanning_forest(link & (home[:, None] | home[None, :])))
+            link = link[np.ix_(rows, cols)]
+            names = [left[k][0] for k in rows] + [right[k][0] for k in cols]
+            counts = link @ np.array([right[k][2] for k in cols], np.float64)
+            found.extend((names[k], None, int(c)) for k, c in enumerate(counts))
+            n = len(rows)
+            both = np.zeros((len(names), len(names)), bool)
+            both[:n, n:], both[n:, :n] = link, link.T
+            found.extend((names[i], names[j], 0) for i, j in spanning_forest(both))
 
         for batch in batches:
             cols = [batch.column(c).to_pylist()
-                    for c in ("label", "dim", "cell", "blocks", "first", "second", "rep", "block", "copies", "home")]
+                    for c in ("label", "dim", "cell", "first", "second", "rep", "block", "copies", "home")]
             vectors = batch.column("vector")
             flat = vectors.flatten().to_numpy(zero_copy_only=False)
             base = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
             for i, (*task, rep, block, copies, home) in enumerate(zip(*cols)):
                 if task != at:
-                    close()
+                    if at is not None:
+                        close()
                     at, held = task, []
                 held.append((rep, block, copies, home, flat[base[i]:base[i + 1]]))
             yield _rows(found)
             found.clear()
-        close()
+        if at is not None:
+            close()
         yield _rows(found)
     return run
 
@@ -180,11 +194,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_centre: int
     tasks = (placed.join(cells, ["label", "dim", "cell"])
              .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
              .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    # Task (first, second): the vectors at home in the first block against all members of the second.
+    as_left = tasks.where("home").withColumn("first", F.col("block")).withColumn("second", F.col("other"))
+    as_right = tasks.where("NOT (home AND block = other)").withColumn("first", F.col("other")).withColumn(
+        "second", F.col("block"))
     key = ["label", "dim", "cell", "first", "second"]
-    found = written(tasks.repartition(*key).sortWithinPartitions(*key, "rep")
-                    .select("label", "dim", "cell", "blocks", "first", "second", "rep", "block", "copies", "home", "vector")
+    cols = [*key, "rep", "block", "copies", "home", "vector"]
+    found = written(as_left.select(*cols).unionByName(as_right.select(*cols))
+                    .repartition(*key).sortWithinPartitions(*key, "rep")
                     .mapInArrow(_compare(cosine), "a long, b long, links long"), "vector_links")
 
     links = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
