@@ -61,6 +61,18 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.toDF(name), docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
+def mark(*names: str) -> F.Column:
+    """Digest of the named columns: rows with the same one are equal in all of them.
+
+    Names a row by what its verdict depends on, alike in every read and without a copy of the table.
+    """
+    def part(name: str) -> F.Column:
+        text = F.col(name).cast("string")
+        return F.when(text.isNull(), F.lit("-")).otherwise(
+            F.concat(F.octet_length(text).cast("string"), F.lit(":"), text))
+    return F.unhex(F.md5(F.concat(*map(part, names)).cast("binary")))
+
+
 def n_words(text: F.Column) -> F.Column:
     """Words of a text column as a JVM expression (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,8 @@ its five-word windows) and the count of a line is the effective number of
 distinct documents, ``n^2 / sum(n_s^2)`` over the signatures ``s`` of the
 ``n`` documents with the line: n for unrelated documents, about one for
 copies and near copies of one text. Lines above the limit are removed; a
-document that keeps too few of its words is depleted and rejected.
+document that keeps too few of its words is depleted and rejected, and
+``kept_documents`` returns the others without these lines.
 
 Defined results: null and empty texts have no words (all counts 0, base
 rule failed, not kept); null hosts form a host of their own; repeated rows
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import ASCII_SPACE, slices, texts_of, with_ids
+from evenkeel.llm.common import ASCII_SPACE, fresh, mark, slices, texts_of
 from evenkeel.session import written
 
 SYMBOLS = b"#*$%&|<>"
@@ -41,6 +42,8 @@ LINE_LIMIT = 10.0
 #: A document is depleted when fewer words, or a smaller share of them, remain.
 LEFT_WORDS = 10
 LEFT_SHARE = 0.2
+#: The columns that the verdict of a row is made of.
+JUDGED = ("doc_id", "source", "text")
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
@@ -97,23 +100,40 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _tag(host: bytes | None) -> bytes:
+    return b"\x01\x00" if host is None else b"\x02" + host + b"\x00"
+
+
+def _line_hash(tag: bytes, words: list[bytes]) -> int:
+    return _signed(_first8(tag + b" ".join(words).translate(_FOLD)))
+
+
 def distinct_lines(text: bytes, host: bytes | None) -> tuple[list[int], list[int], list[int]]:
     """Hashes of (host, normalised line) of the distinct lines with a word, their words, their counts."""
-    tag = b"\x01\x00" if host is None else b"\x02" + host + b"\x00"
+    tag = _tag(host)
     lines: dict[int, list[int]] = {}
     for line in text.split(b"\n"):
         words = line.split()
         if words:
-            key = _signed(_first8(tag + b" ".join(words).translate(_FOLD)))
-            lines.setdefault(key, [len(words), 0])[1] += 1
+            lines.setdefault(_line_hash(tag, words), [len(words), 0])[1] += 1
     return list(lines), [n for n, _ in lines.values()], [c for _, c in lines.values()]
 
 
+def without_lines(text: bytes, host: bytes | None, gone: list[int]) -> bytes:
+    """The text without the lines whose hashes are in ``gone``; all other lines as they are."""
+    tag, hashes = _tag(host), set(gone)
+
+    def stays(line: bytes) -> bool:
+        words = line.split()
+        return not words or _line_hash(tag, words) not in hashes
+    return b"\n".join(filter(stays, text.split(b"\n")))
+
+
 _STATS = pa.schema([
-    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
+    ("mark", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
     ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("sig", pa.int64()),
     ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32())), ("line_counts", pa.list_(pa.int32()))])
-_DDL = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+_DDL = ("mark binary, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "sig long, lines array<long>, line_words array<int>, line_counts array<int>")
 
 
@@ -122,10 +142,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             cols: list[list] = [[] for _ in _STATS]
             hosts = part.column("source").cast(pa.large_binary()).to_pylist()
-            for doc, host, text in zip(part.column("doc_id").to_pylist(), hosts, texts_of(part.column("text"))):
+            marks, docs = part.column("mark").to_pylist(), part.column("doc_id").to_pylist()
+            for name, doc, host, text in zip(marks, docs, hosts, texts_of(part.column("text"))):
                 stats = text_stats(text)
                 lines, words, counts = distinct_lines(text, host)
-                row = (doc, *stats, _signed(signature(text.split())), lines, words, counts)
+                row = (name, doc, *stats, _signed(signature(text.split())), lines, words, counts)
                 for c, v in zip(cols, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STATS)], schema=_STATS)
@@ -133,8 +154,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """Statistics and line hashes of every text; one written row per input row, ``row`` names it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       F.col("text").cast("string").alias("text"))
+    rows = docs.select(mark(*JUDGED).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(_measure, _DDL)
     return written(out.withColumn("row", F.monotonically_increasing_id()), "lines")
 
@@ -150,12 +171,9 @@ def frequent_lines(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame:
             .select("line"))
 
 
-def apply_rules(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LEFT_WORDS,
-                left_share: float = LEFT_SHARE) -> DataFrame:
-    """doc_id, statistics, base_failed, removed_words, kept for every row of ``docs``.
-
-    ``docs`` needs doc_id, source (the host) and text.
-    """
+def _judge(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LEFT_WORDS,
+           left_share: float = LEFT_SHARE) -> DataFrame:
+    """Verdicts of ``apply_rules`` with the row's mark and ``gone``, the hashes of its frequent lines (null: none)."""
     measured = measure(docs)
     # Written, so that the planner knows the size of the frequent lines before it picks the join.
     frequent = written(frequent_lines(measured, limit), "frequent")
@@ -164,7 +182,7 @@ def apply_rules(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LE
                .select("row", F.col("p.lines").alias("line"),
                        (F.col("p.line_words") * F.col("p.line_counts")).alias("w"))
                .join(frequent, "line")
-               .groupBy("row").agg(F.sum("w").alias("removed_words")))
+               .groupBy("row").agg(F.sum("w").alias("removed_words"), F.collect_list("line").alias("gone")))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < left_words) | (left < F.lit(left_share) * F.col("n_words")))
@@ -175,13 +193,43 @@ def apply_rules(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LE
             .withColumn("kept", ~F.col("base_failed") & ~depleted))
 
 
+def apply_rules(docs: DataFrame, **limits) -> DataFrame:
+    """doc_id, statistics, base_failed, removed_words, kept for every row of ``docs``.
+
+    ``docs`` needs doc_id, source (the host) and text.
+    """
+    return _judge(docs, **limits).drop("mark", "gone")
+
+
+def _cleaner(gone: str, mark_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                at = part.schema.get_field_index("text")
+                lines = part.column(gone).to_pylist()
+                if any(lines):
+                    hosts = part.column("source").cast(pa.large_binary()).to_pylist()
+                    left = [without_lines(t, h, g) if g else t
+                            for t, h, g in zip(texts_of(part.column(at)), hosts, lines)]
+                    kind = part.schema.field(at).type
+                    part = part.set_column(at, part.schema.field(at),
+                                           pa.array(left, pa.large_binary()).cast(kind, safe=False))
+                yield part.drop_columns([gone, mark_name])
+    return run
+
+
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns.
+    """The rows of ``docs`` that pass, their text without its frequent lines; other columns as given.
 
-    Verdicts join back on doc_id; a doc_id stays if every row under it passes.
+    A verdict follows from the row's doc_id, source and text (and the table), so rows that are equal in
+    these share it, and all others have their own.
     """
-    verdict = apply_rules(docs, **limits).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
-    return with_ids(docs, verdict.where("kept").select("doc_id"))
+    verdict = _judge(docs, **limits).where("kept").select("mark", "gone").dropDuplicates(["mark"])
+    name = fresh(docs, "mark")
+    gone = fresh(docs.withColumn(name, F.lit(1)), "gone")
+    rows = docs.withColumn(name, mark(*JUDGED)).join(written(verdict, "verdict").toDF(name, gone), name)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), name, gone).mapInArrow(
+        _cleaner(gone, name), docs.schema)
 
 
 #: DuckDB form of the whole operator over ``documents``.

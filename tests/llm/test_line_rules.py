@@ -52,3 +52,18 @@ def test_stage_keeps_columns_and_empty_tables(odd_docs, no_docs):
     out = R.kept_documents(odd_docs)
     assert out.columns == odd_docs.columns and {r["doc_id"] for r in out.collect()} >= set(range(40))
     assert R.apply_rules(no_docs).count() == 0 and R.kept_documents(no_docs).count() == 0
+
+
+def test_kept_documents_lose_their_frequent_lines(spark):
+    own = "own words of document {0} number {0} with enough of them to stay {0} after all is done {0}"
+    notice, other = "All rights reserved by the host in the year 2021", "ALL rights  reserved by the host in the year 1999"
+    rows = [(i, own.format("abcdef"[i % 6] * (i + 1)) + f"\n\n{notice}\n  end é {'ghij'[i % 4] * (i + 1)}", "h", i) for i in range(30)]
+    rows += [(100, own.format("upper") + "\n" + other + "\nend", "h", 100), (101, own.format("far") + "\n" + notice, "g", 101),
+             (None, own.format("null one") + "\n" + notice, "h", 102), (None, own.format("null two") + "\nend", None, 103)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place int").repartition(3)
+    out = R.kept_documents(df)
+    assert out.schema == df.schema
+    want = {place: t if source != "h" else "\n".join(x for x in t.split("\n") if x not in (notice, other))
+            for _, t, source, place in rows}
+    assert {r["place"]: r["text"] for r in out.collect()} == want
+    assert not any("reserved" in t for p, t in want.items() if p != 101) and "reserved" in want[101]
