@@ -55,12 +55,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in the one column of ``ids`` (null matches null)."""
-    name = fresh(docs, "wanted")
-    return docs.join(ids.toDF(name), docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
-
-
 def mark(*names: str) -> F.Column:
     """Digest of the named columns: rows with the same one are equal in all of them.
 
@@ -73,6 +67,13 @@ def mark(*names: str) -> F.Column:
     return F.unhex(F.md5(F.concat(*map(part, names)).cast("binary")))
 
 
+def with_marks(docs: DataFrame, marks: DataFrame, *names: str) -> DataFrame:
+    """The rows of ``docs`` whose mark over ``names`` is in the one column of ``marks``."""
+    name, wanted = fresh(docs, "mark"), fresh(docs, "wanted")
+    out = docs.withColumn(name, mark(*names)).join(marks.toDF(wanted), F.col(name) == F.col(wanted), "left_semi")
+    return out.drop(name)
+
+
 def n_words(text: F.Column) -> F.Column:
     """Words of a text column as a JVM expression (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import slices, texts_of, with_ids
+from evenkeel.llm.common import fresh, mark, slices, texts_of, with_marks
 from evenkeel.llm.components import components, spanning_forest
 from evenkeel.session import written
 
@@ -46,6 +46,8 @@ RECALL = 0.999
 #: A text linked (0.8) with a member near a leader (0.85) has similarity 0.65 or more with that leader.
 NEAR, RELATED = 0.85, 0.45
 BLOCK = 256
+#: The columns that name a row of a class.
+JUDGED = ("doc_id", "text")
 
 _U = np.uint64
 
@@ -85,7 +87,8 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(_mix(h + _U(width)))
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("nodes", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SKETCH = pa.schema([("mark", pa.binary()), ("doc_id", pa.int64()), ("key", pa.binary()), ("nodes", pa.list_(pa.int64())),
+                     ("sig", pa.binary())])
 
 
 def _sketcher(trees: int, depth: int, prefix: int):
@@ -123,8 +126,8 @@ def _sketcher(trees: int, depth: int, prefix: int):
                     for k, i in enumerate(full):
                         sigs[i] = low[k].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(nodes, pa.list_(pa.int64())),
-                     pa.array(sigs, pa.binary())], schema=_SKETCH)
+                    [part.column("mark"), part.column("doc_id"), pa.array(keys, pa.binary()),
+                     pa.array(nodes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], schema=_SKETCH)
     return sketch
 
 
@@ -303,16 +306,23 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- the join
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES,
-         depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links, kept of every row of ``docs`` (doc_id, text).
 
     ``n_links``: other rows with similarity at or above the threshold; ``class_id``: the least doc_id
     reachable by links; ``kept``: true for one row of each class.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _judge(docs, **options).drop("mark", "blank")
+
+
+def _judge(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES,
+           depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """Verdicts of ``join`` with the row's mark and whether it is blank (has no words)."""
+    rows = docs.select(mark(*JUDGED).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
     prefix = prefix_length(depth, trees, threshold, recall)
-    sketch = rows.mapInArrow(_sketcher(trees, depth, prefix), "doc_id long, key binary, nodes array<long>, sig binary")
+    sketch = rows.mapInArrow(_sketcher(trees, depth, prefix),
+                             "mark binary, doc_id long, key binary, nodes array<long>, sig binary")
     sketch = written(sketch.withColumn("row", F.monotonically_increasing_id()), "sketch")
 
     first = F.struct("row", "doc_id")
@@ -335,7 +345,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
     placed = written(placed.select("root", "rep", "doc", "key", "copies", "blocks", "block"), "placed")
     wanted = placed.select(F.col("doc").alias("_doc")).distinct()
-    sets = (rows.join(wanted, F.expr("doc_id <=> _doc"), "left_semi").withColumnRenamed("doc_id", "doc")
+    sets = (rows.drop("mark").join(wanted, F.expr("doc_id <=> _doc"), "left_semi").withColumnRenamed("doc_id", "doc")
             .mapInArrow(_shingle_sets, "doc long, text_key binary, set binary")
             .withColumnRenamed("doc", "set_doc"))
     # Every text goes to the tasks that pair its block with another (or itself).
@@ -358,21 +368,28 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     per_class = named.groupBy("root").agg(F.min("least").alias("class_id"))
     per_text = named.join(per_class, "root").select("key", "root", "class_id", (F.col("links") + F.col("copies") - 1)
                                                     .alias("n_links"))
-    out = sketch.select("row", "doc_id", "key").join(per_text, "key", "left")
+    out = sketch.select("row", "mark", "doc_id", "key").join(per_text, "key", "left")
     out = out.withColumn("class_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     stays = (out.where(F.col("key").isNotNull() & F.expr("doc_id <=> class_id")).groupBy("root")
              .agg(F.min("row").alias("stays")).select(F.col("stays").alias("_row")))
     return (out.join(stays, F.col("row") == F.col("_row"), "left")
-            .select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            .select("mark", F.col("key").isNull().alias("blank"), "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     (F.col("key").isNull() | F.col("_row").isNotNull()).alias("kept")))
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, with the columns of ``docs``.
+    """One row of each class, with the columns of ``docs``; blank rows are classes of their own and stay.
 
-    Verdicts join back on doc_id; rows that share a doc_id are one document, of which one row stays.
+    Verdicts join back on doc_id and text. Rows that share both are copies, of which one stays if
+    ``join`` keeps any of them; all others have a verdict of their own.
     """
-    verdict = (join(docs, **options).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    verdict = written(verdict.where("kept").select("doc_id", "n"), "verdict")
-    out = with_ids(docs, verdict.select("doc_id"))
-    return out.dropDuplicates(["doc_id"]) if verdict.where("n > 1").limit(1).count() else out
+    verdict = (_judge(docs, **options).groupBy("mark")
+               .agg(F.bool_or("kept").alias("kept"), F.first("blank").alias("blank"), F.count(F.lit(1)).alias("n")))
+    verdict = written(verdict.where("kept").select("mark", "blank", "n"), "verdict")
+    out = with_marks(docs, verdict.where("blank OR n = 1").select("mark"), *JUDGED)
+    again = verdict.where("NOT blank AND n > 1").select("mark")
+    if not again.limit(1).count():
+        return out
+    name = fresh(docs, "mark")
+    return out.unionByName(with_marks(docs, again, *JUDGED).withColumn(name, mark(*JUDGED))
+                           .dropDuplicates([name]).drop(name))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import slices, texts_of, with_ids
+from evenkeel.llm.common import mark, slices, texts_of, with_marks
 from evenkeel.llm.line_rules import text_stats
 from evenkeel.session import written
 
@@ -69,21 +69,24 @@ def features(text: bytes) -> list[float]:
 
 
 DIM = len(features(b""))
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+#: The columns that the verdict of a row is made of (doc_id only spreads copies of one text).
+JUDGED = ("doc_id", "text")
+_SCHEMA = pa.schema([("mark", pa.binary()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             xs = [features(t) for t in texts_of(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(xs, pa.list_(pa.float64()))],
-                                             schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([part.column("mark"), part.column("doc_id"),
+                                              pa.array(xs, pa.list_(pa.float64()))], schema=_SCHEMA)
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id, x: one written row per row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(_featurise, "doc_id long, x array<double>"), "features")
+    """mark, doc_id, x: one written row per row of ``docs``."""
+    rows = docs.select(mark(*JUDGED).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(_featurise, "mark binary, doc_id long, x array<double>"), "features")
 
 
 @dataclass
@@ -139,32 +142,41 @@ def fit(learn: DataFrame, to_pooled: float = TO_POOLED, to_diagonal: float = TO_
     return Quadratic(prior, np.array(means), np.array(whiten), np.array(logdet))
 
 
-def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text); ``labels``: doc_id, quality.
-
-    Rows whose crc32 of doc_id (as text) mod 4 is 2 are held out and never learned from.
-    """
+def _judge(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """Verdicts of ``classify`` with the mark of the row."""
     table = feature_table(docs).withColumn("held_out", held_out(F.col("doc_id")))
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where(F.col("quality").isin(0, 1)).distinct())
     model = fit(table.where(~F.col("held_out")).join(marks, "doc_id"))
-    spec = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
+    spec = pa.schema([("mark", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(model.score(x), pa.float64())], schema=spec)
+                [b.column("mark"), b.column("doc_id"), b.column("held_out"), pa.array(model.score(x), pa.float64())],
+                schema=spec)
 
-    return (table.mapInArrow(scores, "doc_id long, held_out boolean, score double")
+    return (table.mapInArrow(scores, "mark binary, doc_id long, held_out boolean, score double")
             .withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0)))
 
 
+def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text); ``labels``: doc_id, quality.
+
+    Rows whose crc32 of doc_id (as text) mod 4 is 2 are held out and never learned from.
+    """
+    return _judge(docs, labels, cut).drop("mark")
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` predicted good, with their own columns (a doc_id stays if every row under it is)."""
-    verdict = classify(docs, labels, **options).groupBy("doc_id").agg(F.min("predicted").alias("good"))
-    return with_ids(docs, verdict.where("good = 1").select("doc_id"))
+    """The rows of ``docs`` predicted good, with their own columns.
+
+    A prediction follows from the text (and the model), so rows that share doc_id and text share it, and
+    all others have their own.
+    """
+    return with_marks(docs, _judge(docs, labels, **options).where("predicted = 1").select("mark"), *JUDGED)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from evenkeel.llm import lsh_forest, queries
+from evenkeel.llm import line_rules, lsh_forest, quadratic_classifier, queries
 from evenkeel.plans.compare import compare
 from evenkeel.session import written
 
@@ -47,6 +47,28 @@ def test_stages_take_odd_and_empty_documents(spark, odd_docs, no_docs, tmp_path)
                 assert out.count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_each_row_follows_its_own_verdict(spark, doc_id):
+    """Rows without a doc_id, or with the same one, are as many documents as they have different texts."""
+    good = [" ".join(f"{name}{'abcdefgh'[i % 8]}{'stuvwxyz'[i // 8]}" for i in range(30)) + "." for name in "mnop"]
+    rows = [(doc_id, t, "s") for t in good] + [(doc_id, good[0], "s"), (doc_id, "too short", "s"), (doc_id, None, "s"),
+                                               (doc_id, None, "s"), (1 if doc_id else 0, good[1], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [r["text"] for r in line_rules.kept_documents(docs).collect()]
+    assert sorted(kept) == sorted([*good, good[0], good[1]])
+    out = lsh_forest.distinct_documents(docs).collect()
+    assert sorted(r["text"] for r in out if r["text"]) == sorted([*good, "too short"])
+    assert sum(r["text"] is None for r in out) == 2 and {r["doc_id"] for r in out if r["text"] == good[1]} == {1 if doc_id else 0}
+    bad = "| $$$ !!! ||| ### 12 99\n" * 9
+    learn = [(1000 + i, t + f" {i}", "s") for i, t in enumerate(good * 5)] + [(2000 + i, bad + f"{i}", "s") for i in range(20)]
+    docs = docs.unionByName(spark.createDataFrame([*learn, (doc_id, bad, "s")], docs.schema))
+    labels = spark.createDataFrame([(i, int(i < 2000)) for i, *_ in learn], "doc_id long, quality int")
+    same = F.col("doc_id").eqNullSafe(doc_id)
+    assert {r["predicted"] for r in quadratic_classifier.classify(docs, labels).where(same).collect()} == {0, 1}
+    got = [r["text"] for r in quadratic_classifier.accepted_documents(docs, labels).where(same).collect()]
+    assert bad not in got and {*good} <= {*got} and got.count(good[0]) == 2
+
+
 def test_the_reading_folder_is_the_argument(spark):
     df = queries.op5_pareto_mix(spark, SF)
     assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").agg(F.count("*")).first()[0]
