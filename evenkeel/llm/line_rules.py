@@ -7,8 +7,10 @@ like boilerplate, every document carries a signature (the least hash over
 its five-word windows) and the count of a line is the effective number of
 distinct documents, ``n^2 / sum(n_s^2)`` over the signatures ``s`` of the
 ``n`` documents with the line: n for unrelated documents, about one for
-copies and near copies of one text. Lines above the limit are removed; a
-document that keeps too few of its words is depleted and rejected, and
+copies and near copies of one text. That count misses a line where copies of
+one text dominate the documents that hold it, so ``kept_documents`` also counts
+documents with their copies collapsed (``lines_of_groups``). Lines above the
+limit are removed; a document that keeps too few of its words is depleted and rejected, and
 ``kept_documents`` returns the others without these lines.
 
 Defined results: null and empty texts have no words (all counts 0, base
@@ -34,6 +36,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: Content-defined sample for the signature: windows whose byte length is a multiple of this.
 SAMPLE = 16
+#: Independent signatures of a document: it is a copy where it shares any of them.
+SIGNATURES = 4
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -73,8 +77,8 @@ def repeat_words(words: list[bytes]) -> int:
     return int(np.count_nonzero(np.cumsum(cover[:-1])))
 
 
-def signature(words: list[bytes]) -> int:
-    """Least hash over the sampled five-word windows; of all words if none is sampled."""
+def signatures(words: list[bytes]) -> list[int]:
+    """Least values of independent hashes over the sampled five-word windows; over all words if none is sampled."""
     n = len(words) - WINDOW + 1
     if n > 0:
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -82,8 +86,22 @@ def signature(words: list[bytes]) -> int:
         length = total[WINDOW:] - total[:n] + (WINDOW - 1)
         picked = np.flatnonzero(length % SAMPLE == 0)
         if len(picked):
-            return min(_first8(b" ".join(words[i:i + WINDOW])) for i in picked)
-    return _first8(b" ".join(words))
+            return _least([_first8(b" ".join(words[i:i + WINDOW])) for i in picked])
+    return _least([_first8(b" ".join(words))])
+
+
+def signature(words: list[bytes]) -> int:
+    """The first of the signatures, the least hash itself."""
+    return signatures(words)[0]
+
+
+def _least(hashes: list[int]) -> list[int]:
+    h = np.array(hashes, np.uint64)
+    out = [int(h.min())]
+    for m in _MULT[:SIGNATURES - 1]:
+        x = (h ^ (h >> np.uint64(31))) * m
+        out.append(int((x ^ (x >> np.uint64(29))).min()))
+    return out
 
 
 def text_stats(text: bytes) -> tuple[int, int, int, int, int]:
@@ -132,9 +150,9 @@ def without_lines(text: bytes, host: bytes | None, gone: list[int]) -> bytes:
 _STATS = pa.schema([
     ("mark", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
     ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("sig", pa.int64()),
-    ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32())), ("line_counts", pa.list_(pa.int32()))])
+    ("sigs", pa.list_(pa.int64())), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32())), ("line_counts", pa.list_(pa.int32()))])
 _DDL = ("mark binary, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "sig long, lines array<long>, line_words array<int>, line_counts array<int>")
+        "sig long, sigs array<long>, lines array<long>, line_words array<int>, line_counts array<int>")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +164,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, doc, host, text in zip(marks, docs, hosts, texts_of(part.column("text"))):
                 stats = text_stats(text)
                 lines, words, counts = distinct_lines(text, host)
-                row = (name, doc, *stats, _signed(signature(text.split())), lines, words, counts)
+                sigs = list(map(_signed, signatures(text.split())))
+                row = (name, doc, *stats, sigs[0], sigs, lines, words, counts)
                 for c, v in zip(cols, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STATS)], schema=_STATS)
@@ -171,12 +190,39 @@ def frequent_lines(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame:
             .select("line"))
 
 
+def lines_of_groups(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame:
+    """Hashes of (host, line) held by more than ``limit`` documents, copies and near copies collapsed.
+
+    Documents equal in all signatures are one unit. A unit weighs one over the units with the line
+    that share a signature with it, by the signature that most of them share: any number of copies
+    adds nothing, a group of near copies about one, and unrelated documents one each. No links are
+    chained, so documents that have a boilerplate passage in common do not all become one.
+    """
+    # No line of so few documents can pass; the others are few. Written before the join, as above.
+    often = (measured.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") > F.lit(float(limit))).select("line"))
+    often = written(often, "often")
+    units = written(measured.select("sigs", F.explode("lines").alias("line")).join(often, "line")
+                    .select("line", "sigs").distinct(), "units")
+    shared = units.select("line", "sigs", F.posexplode("sigs").alias("k", "v"))
+    sizes = written(shared.groupBy("line", "k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    alike = shared.join(sizes, ["line", "k", "v"], "left")
+    weight = alike.groupBy("line", "sigs").agg(F.max(F.coalesce("n", F.lit(1))).alias("n"))
+    return (weight.groupBy("line").agg(F.round(F.sum(1 / F.col("n")), 6).alias("w"))
+            .where(F.col("w") > F.lit(float(limit))).select("line"))
+
+
+def any_frequent(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame:
+    """Lines above the limit by either count."""
+    return frequent_lines(measured, limit).unionByName(lines_of_groups(measured, limit)).distinct()
+
+
 def _judge(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LEFT_WORDS,
-           left_share: float = LEFT_SHARE) -> DataFrame:
+           left_share: float = LEFT_SHARE, count=frequent_lines) -> DataFrame:
     """Verdicts of ``apply_rules`` with the row's mark and ``gone``, the hashes of its frequent lines (null: none)."""
     measured = measure(docs)
     # Written, so that the planner knows the size of the frequent lines before it picks the join.
-    frequent = written(frequent_lines(measured, limit), "frequent")
+    frequent = written(count(measured, limit), "frequent")
     pieces = F.arrays_zip("lines", "line_words", "line_counts")
     removed = (measured.select("row", F.explode(pieces).alias("p"))
                .select("row", F.col("p.lines").alias("line"),
@@ -186,7 +232,7 @@ def _judge(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LEFT_WO
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < left_words) | (left < F.lit(left_share) * F.col("n_words")))
-    return (measured.drop("lines", "line_words", "line_counts", "sig")
+    return (measured.drop("lines", "line_words", "line_counts", "sig", "sigs")
             .join(removed, "row", "left").drop("row")
             .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
             .withColumn("base_failed", base)
@@ -196,7 +242,7 @@ def _judge(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LEFT_WO
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, statistics, base_failed, removed_words, kept for every row of ``docs``.
 
-    ``docs`` needs doc_id, source (the host) and text.
+    ``docs`` needs doc_id, source (the host) and text. Lines are counted as in ``ORACLE``.
     """
     return _judge(docs, **limits).drop("mark", "gone")
 
@@ -224,7 +270,7 @@ def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     A verdict follows from the row's doc_id, source and text (and the table), so rows that are equal in
     these share it, and all others have their own.
     """
-    verdict = _judge(docs, **limits).where("kept").select("mark", "gone").dropDuplicates(["mark"])
+    verdict = _judge(docs, count=any_frequent, **limits).where("kept").select("mark", "gone").dropDuplicates(["mark"])
     name = fresh(docs, "mark")
     gone = fresh(docs.withColumn(name, F.lit(1)), "gone")
     rows = docs.withColumn(name, mark(*JUDGED)).join(written(verdict, "verdict").toDF(name, gone), name)

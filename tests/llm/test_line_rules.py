@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -67,3 +68,24 @@ def test_kept_documents_lose_their_frequent_lines(spark):
             for _, t, source, place in rows}
     assert {r["place"]: r["text"] for r in out.collect()} == want
     assert not any("reserved" in t for p, t in want.items() if p != 101) and "reserved" in want[101]
+
+
+def test_a_dominant_copy_group_hides_no_line(spark):
+    rng = random.Random(3)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    notice, own = "subscribe to our letter and never miss a story", words(60)
+    rows = [(i, own + "\n" + notice, "h") for i in range(100)] + [(1000 + i, words(60) + "\n" + notice, "h") for i in range(200)]
+    lines = [words(12) for _ in range(20)]  # near copies: a group of its own counts about one
+    for i in range(300):
+        changed = list(lines)
+        changed[i % 20] = words(12)
+        rows.append((2000 + i, "\n".join(changed), "near"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert R.frequent_lines(R.measure(df)).count() == 0  # 300^2 / (100^2 + 200) = 8.8
+    for copies in (0, 100, 3000):
+        more = spark.createDataFrame([(5000 + i, rows[0][1], "h") for i in range(copies)], df.schema)
+        assert R.lines_of_groups(R.measure(df.unionByName(more))).count() == 1
+    out = {r["doc_id"]: r["text"] for r in R.kept_documents(df).collect()}
+    assert out == {i: t.removesuffix("\n" + notice) for i, t, _ in rows}
