@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import (chat_events, feistel_shards, grouping_packer, id_files, line_rules, lsh_forest,
-                          pareto_mix, pseudo_likelihood, quadratic_classifier, spherical_cells)
+from evenkeel.llm import (angle_windows, chat_events, feistel_shards, grouping_packer, id_files, line_rules, lsh_forest,
+                          pareto_mix, pivotal_grams, pseudo_likelihood, quadratic_classifier, secret_scan,
+                          spherical_cells)
 from evenkeel.llm.common import table
 
 
@@ -66,7 +67,24 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.join(table(spark, sf_dir, "documents"))
 
 
+def op11_decoding_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, also inside nested encodings."""
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op12_angle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all embeddings."""
+    return angle_windows.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of the documents."""
+    return pivotal_grams.group(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_mixing_coder, op3_event_sourced_chats, op4_feistel_shards, op5_pareto_mix,
-    op6_quadratic_discriminant, op7_pseudo_likelihood, op8_grouping_genetic, op9_spherical_cells, op10_lsh_forest)}
-ORACLE = {"op1_line_frequency": line_rules.ORACLE, "op5_pareto_mix": pareto_mix.oracle()}
+    op6_quadratic_discriminant, op7_pseudo_likelihood, op8_grouping_genetic, op9_spherical_cells, op10_lsh_forest,
+    op11_decoding_worklist, op12_angle_windows, op13_pivotal_grams)}
+ORACLE = {"op1_line_frequency": line_rules.ORACLE, "op5_pareto_mix": pareto_mix.oracle(),
+          "op12_angle_windows": angle_windows.ORACLE}
