@@ -311,6 +311,11 @@ class Prepared:
     scaler: Scaler
     spec: AuditSpec
 
+    @property
+    def layout(self) -> tuple:
+        """Numbers that lead the feature vector, and the sizes of the one-hot blocks behind them."""
+        return len(self.scaler.stats), [max(len(v) - 1, 0) for v in self.onehot.categories.values()]
+
     def report(self, spark) -> DataFrame:
         """M6: the preparation decisions as a small table."""
         rows = [("dropped_columns", ",".join(self.spec.drop)),

@@ -28,6 +28,12 @@ def _order_prepared(spark: SparkSession, sf: str) -> prepare.Prepared:
     return prepare.persist_prepared(prepare.prepare(d, ORDER_SPEC))
 
 
+def _order_context(spark: SparkSession, sf: str) -> strategies.Context:
+    p = _order_prepared(spark, sf)
+    return strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING", ["row_id", "y_true", "c_mktsegment"],
+                              layout=p.layout)
+
+
 def _doc_prepared(spark: SparkSession, sf: str) -> prepare.Prepared:
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", "lang", "source")
@@ -46,10 +52,8 @@ def q_train_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_mitigation_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Baseline, reweighing, fair classifier, thresholds."""
-    p = _order_prepared(spark, sf)
-    ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
-                             ["row_id", "y_true", "c_mktsegment"])
+    """Baseline, resampling, reweighing, fair classifier, thresholds."""
+    ctx = _order_context(spark, sf)
     return report_round(strategies.run_all(ctx))
 
 
@@ -78,9 +82,7 @@ def q_group_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_recommended(spark: SparkSession, sf: str) -> DataFrame:
-    p = _order_prepared(spark, sf)
-    ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
-                             ["row_id", "y_true", "c_mktsegment"])
+    ctx = _order_context(spark, sf)
     return report_round(report.recommended(strategies.run_all(ctx)))
 
 
@@ -244,11 +246,10 @@ def q_sampled_attribution(spark: SparkSession, sf: str) -> DataFrame:
 def q_fair_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """The reduction's metrics row (order view, c_mktsegment)."""
     from evenkeel.operators.reductions import fair_classifier
-    p = _order_prepared(spark, sf)
-    ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
-                             ["row_id", "y_true", "c_mktsegment"])
-    _, _, row = fair_classifier(ctx)
-    return report_round(row)
+    ctx = _order_context(spark, sf)
+    fit, pred, detail = fair_classifier(ctx)
+    row = strategies.evaluate(pred, ctx.attribute, ctx.privileged, "fair_classifier", detail=detail)
+    return report_round(row.withColumn("status", F.lit(fit.status)))
 
 
 QUERIES.update({
@@ -261,9 +262,7 @@ QUERIES.update({
 
 def q_before_after(spark: SparkSession, sf: str) -> DataFrame:
     """R3 + P17: accuracy and DIR per strategy with short labels."""
-    p = _order_prepared(spark, sf)
-    ctx = strategies.Context(p.train, p.test, "c_mktsegment", "BUILDING",
-                             ["row_id", "y_true", "c_mktsegment"])
+    ctx = _order_context(spark, sf)
     return report_round(report.before_after(strategies.run_all(ctx)))
 
 

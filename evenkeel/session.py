@@ -77,3 +77,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Partitions for a stage whose work is compute, not bytes (AQE would merge it into few tasks)."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
