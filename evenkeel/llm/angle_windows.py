@@ -15,7 +15,7 @@ they only steer how much is filtered, never the result.
 
 Rows are range-partitioned by label, nearest reference and angle into slices,
 so a frequent label is many slices and a tile of neighbouring rows has narrow
-angles; anchors are partitioned alike into chunks. A task streams one slice
+angles; anchors are numbered in the same order and cut into chunks. A task streams one slice
 past one chunk: it holds the chunk, its best candidates, and one tile. Only
 those candidates, a few per anchor, leave a task.
 
@@ -44,7 +44,7 @@ SCALE, RELABEL, LABELS, ANCHORS = 256, 7, 10, 50
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score is at least this and at most that share (percent) of the positive's.
 LOW, HIGH = 50, 95
-REFERENCES = 16
+REFERENCES = 8
 #: Vectors that references are fitted on, at most about so many (chosen by a hash).
 SAMPLE = 4000
 #: Anchors held by a task, and slices that the rows are streamed in.
@@ -313,9 +313,16 @@ def hard_negatives(vectors: DataFrame) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
     rows = prepared(vectors)
     anchors = rows.where(F.col("vec_id") % ANCHORS == 0)
-    chunks = max(1, -(-anchors.count() // CHUNK))
-    anchors = written(anchors.repartitionByRange(chunks, "dim", "label", "home", "nearest", "row")
-                      .withColumn("chunk", F.spark_partition_id()), "anchors")
+    order = ["dim", "label", "home", "nearest", "row"]
+    held = written(anchors.repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("at", F.monotonically_increasing_id())
+                   .withColumn("part", F.shiftright("at", 33)), "anchors")
+    counts = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per task
+    offsets = written(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")),
+                      "anchor_counts")
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    anchors = written(held.join(offsets, "part").withColumn("chunk", F.floor(place / CHUNK))
+                      .drop("at", "part", "before"), "chunks")
 
     last_null = F.coalesce("vec_id", F.lit(2 ** 63 - 1))
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), last_null, "row")
