@@ -1,8 +1,10 @@
 """Automatic detection of bias-prone columns.
 
-One melt and one contingency aggregation cover every categorical column
-(the reference builds one crosstab per column); correlations of all
-numeric columns come from one global aggregate. The chi-squared
+``full_detection`` reads its source three times: distinct counts, one count of
+the distinct combinations of the categorical columns and the outcome, and one
+aggregate for the correlations of all numeric columns. Margins, contingency
+tables, proxies, disparate impact and exact category counts follow from the
+combinations, so unpivoting multiplies combinations, not rows. The chi-squared
 statistic is assembled from margins with aggregates and joins, so a
 high-cardinality column never puts its whole table into one task.
 """
@@ -43,6 +45,12 @@ def infer_roles(df: DataFrame, features: Sequence[str], max_categories: int = 10
     A cheap HyperLogLog pass screens out wide columns; exact distinct counts
     run only on the few candidates left (bounded state).
     """
+    cat, num_cands, cands = _role_candidates(df, features, max_categories)
+    return _roles(df, features, cat, num_cands, cands, max_categories)
+
+
+def _role_candidates(df: DataFrame, features: Sequence[str], max_categories: int):
+    """Sure categorical columns, numeric ones, and the numeric ones that may have few enough values."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cat, num_cands = [], []
     for c in features:
@@ -51,13 +59,19 @@ def infer_roles(df: DataFrame, features: Sequence[str], max_categories: int = 10
             cat.append(c)
         elif isinstance(t, _NUMERIC):
             num_cands.append(c)
+    if not num_cands:
+        return cat, [], []
+    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in num_cands]).first()
+    return cat, num_cands, [c for c in num_cands if approx[c] <= 4 * max_categories]
+
+
+def _roles(df: DataFrame, features: Sequence[str], cat: list, num_cands: list, cands: list,
+           max_categories: int) -> Roles:
+    """Roles after exact distinct counts of the candidates (in ``df`` or its combinations)."""
     small = set()
-    if num_cands:
-        approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in num_cands]).first()
-        cands = [c for c in num_cands if approx[c] <= 4 * max_categories]
-        if cands:
-            exact = df.agg(*[F.count_distinct(c).alias(c) for c in cands]).first()
-            small = {c for c in cands if exact[c] <= max_categories}
+    if cands:
+        exact = df.agg(*[F.count_distinct(c).alias(c) for c in cands]).first()
+        small = {c for c in cands if exact[c] <= max_categories}
     cat_set = set(cat) | small
     return Roles([c for c in features if c in cat_set],
                  [c for c in num_cands if c not in small])
@@ -94,14 +108,27 @@ def encode_target(df: DataFrame, target: str, positive: Any = None) -> Column:
     return F.coalesce((x > F.lit(med)).cast("int"), F.lit(0))
 
 
+def combinations(df: DataFrame, columns: Sequence[str], y: Optional[Column] = None) -> DataFrame:
+    """Distinct combinations of the columns (and ``_y``), ``_n`` rows each: what the scans below
+    take with ``weight="_n"`` in place of the rows."""
+    outcome = [] if y is None else [y.alias("_y")]
+    return df.groupBy(*[F.col(c) for c in dict.fromkeys(columns)], *outcome).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _rows(weight: Optional[str]) -> Column:
+    """Rows counted: each once, or as often as ``weight`` says."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
 def contingency(df: DataFrame, features: Sequence[str], class_col: Column,
-                missing: str = "MISSING") -> DataFrame:
+                missing: str = "MISSING", weight: Optional[str] = None) -> DataFrame:
     """Long-form counts (feature, value, class, n) for all columns at once."""
     cols = list(features)
-    long = df.select(class_col.cast("string").alias("class"),
+    kept = [] if weight is None else [weight]
+    long = df.select(class_col.cast("string").alias("class"), *kept,
                      *[null_category(c, missing).alias(c) for c in cols]).unpivot(
-        ["class"], cols, "feature", "value")
-    return long.groupBy("feature", "value", "class").agg(F.count(F.lit(1)).alias("n"))
+        ["class", *kept], cols, "feature", "value")
+    return long.groupBy("feature", "value", "class").agg(_rows(weight).alias("n"))
 
 
 def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True,
@@ -160,7 +187,8 @@ def chi2_stats(ct: DataFrame, keys: Sequence[str], yates: bool = True,
 
 
 def categorical_association(df: DataFrame, features: Sequence[str], y: Column,
-                            th: DetectionThresholds = DetectionThresholds()) -> DataFrame:
+                            th: DetectionThresholds = DetectionThresholds(),
+                            weight: Optional[str] = None) -> DataFrame:
     """Chi-squared + Cramer's V of each categorical feature against y."""
     if not features:
         return None
@@ -169,8 +197,8 @@ def categorical_association(df: DataFrame, features: Sequence[str], y: Column,
     feats = [c for c in features if nonnull[c] > 0]
     if not feats:
         return None
-    margins = df.groupBy(y.cast("string").alias("class")).agg(F.count(F.lit(1)).alias("c_j"))
-    st = chi2_stats(contingency(df, feats, y), ["feature"], margins=margins)
+    margins = df.groupBy(y.cast("string").alias("class")).agg(_rows(weight).alias("c_j"))
+    st = chi2_stats(contingency(df, feats, y, weight=weight), ["feature"], margins=margins)
     p = chi2_p_udf(F.col("chi2"), F.col("dof").cast("double"))
     return st.select("feature", F.lit("categorical").alias("type"), F.lit(CHI2_METHOD).alias("method"),
                      F.col("cramers_v").alias("statistic"), p.alias("p_value"))
@@ -197,12 +225,18 @@ def numeric_association(df: DataFrame, features: Sequence[str], y: Column,
 
 def target_association(df: DataFrame, target: str, positive: Any = None,
                        roles: Optional[Roles] = None,
-                       th: DetectionThresholds = DetectionThresholds()) -> DataFrame:
-    """Association of every feature with the outcome."""
+                       th: DetectionThresholds = DetectionThresholds(),
+                       combined: Optional[DataFrame] = None) -> DataFrame:
+    """Association of every feature with the outcome.
+
+    ``combined``: the ``combinations`` of the categorical features and the outcome, if at hand.
+    """
     feats = [c for c in df.columns if c != target]
     roles = roles or infer_roles(df, feats, th.max_categories)
     y = encode_target(df, target, positive)
-    parts = [p for p in (categorical_association(df, roles.categorical, y, th),
+    by_category = (categorical_association(df, roles.categorical, y, th) if combined is None else
+                   categorical_association(combined, roles.categorical, F.col("_y"), th, "_n"))
+    parts = [p for p in (by_category,
                          numeric_association(df, roles.numeric, y, th)) if p is not None]
     out = df.sparkSession.createDataFrame([], "feature string, type string, method string, statistic double, "
                                               "p_value double")
@@ -215,31 +249,37 @@ def target_association(df: DataFrame, target: str, positive: Any = None,
 
 
 def proxy_scan(df: DataFrame, features: Sequence[str], sensitive: Sequence[str],
-               th: DetectionThresholds = DetectionThresholds()) -> DataFrame:
+               th: DetectionThresholds = DetectionThresholds(), weight: Optional[str] = None) -> DataFrame:
     """A18 + J9: Cramer's V of each categorical feature with each known
     sensitive attribute (self pairs skipped). Empty when none is known.
+
+    Rows are first counted by combination of all these columns; only the
+    combinations are multiplied by features x attributes.
     """
     sens = [s for s in sensitive if s in df.columns]
     feats = [c for c in features if c not in sens]
     schema = "feature string, sensitive_attr string, cramers_v double, effect_size string, flagged_as_proxy boolean"
     if not sens or not feats:
         return df.sparkSession.createDataFrame([], schema)
-    base = df.select(*[null_category(c).alias(f"f__{c}") for c in feats],
-                     *[null_category(s).alias(f"s__{s}") for s in sens])
-    by_feat = base.unpivot([f"s__{s}" for s in sens], [f"f__{c}" for c in feats], "feature", "value")
-    by_both = by_feat.unpivot(["feature", "value"], [f"s__{s}" for s in sens], "sensitive_attr", "class")
-    ct = by_both.groupBy("feature", "sensitive_attr", "value", "class").agg(F.count(F.lit(1)).alias("n"))
-    ct = ct.select(F.expr("substring(feature, 4)").alias("feature"),
-                   F.expr("substring(sensitive_attr, 4)").alias("sensitive_attr"), "value", "class", "n")
-    sm = df.select(*[null_category(s).alias(s) for s in sens]).unpivot([], sens, "sensitive_attr", "class")
-    margins = sm.groupBy("sensitive_attr", "class").agg(F.count(F.lit(1)).alias("c_j"))
+    base = df.groupBy(*[null_category(c).alias(f"f__{c}") for c in feats],
+                      *[null_category(s).alias(f"s__{s}") for s in sens]).agg(_rows(weight).alias("_n"))
+    fs, ss = [f"f__{c}" for c in feats], [f"s__{s}" for s in sens]
+    by_feat = base.unpivot(["_n", *ss], fs, "feature", "value")
+    by_both = by_feat.unpivot(["_n", "feature", "value"], ss, "sensitive_attr", "class")
+    ct = by_both.groupBy("feature", "sensitive_attr", "value", "class").agg(F.sum("_n").alias("n"))
+    ct = written(ct.select(F.expr("substring(feature, 4)").alias("feature"),
+                           F.expr("substring(sensitive_attr, 4)").alias("sensitive_attr"), "value", "class", "n"),
+                 "proxies")
+    # Every feature counts every row, so one feature's table holds the attributes' margins.
+    margins = ct.where(F.col("feature") == feats[0]).groupBy("sensitive_attr", "class").agg(F.sum("n").alias("c_j"))
     st = chi2_stats(ct, ["feature", "sensitive_attr"], margins=margins, margin_keys=["sensitive_attr"])
     return st.select("feature", "sensitive_attr", "cramers_v", effect_label("cramers_v").alias("effect_size"),
                      (F.col("cramers_v") >= th.proxy).alias("flagged_as_proxy"))
 
 
 def disparate_impact_scan(df: DataFrame, features: Sequence[str], y: Column,
-                          th: DetectionThresholds = DetectionThresholds()) -> DataFrame:
+                          th: DetectionThresholds = DetectionThresholds(),
+                          weight: Optional[str] = None) -> DataFrame:
     """Outcome rate per value (>= min rows, nulls dropped) and the
     min / max rate groups per column; ties go to the first value in the
     column's own sort order (numeric order for numbers).
@@ -247,13 +287,13 @@ def disparate_impact_scan(df: DataFrame, features: Sequence[str], y: Column,
     cols = list(features)
     types = {f.name: f.dataType for f in df.schema.fields}
     is_num = {c: isinstance(types[c], _NUMERIC) for c in cols}
-    packed = df.select(y.cast("double").alias("_y"), *[
+    packed = df.select(y.cast("double").alias("_y"), (F.lit(1) if weight is None else F.col(weight)).alias("_w"), *[
         F.struct(F.col(c).cast("string").alias("s"),
                  (F.col(c).cast("double") if is_num[c] else F.lit(None).cast("double")).alias("d")
                  ).alias(c) for c in cols])
-    long = packed.unpivot(["_y"], cols, "feature", "v").where(F.col("v.s").isNotNull())
+    long = packed.unpivot(["_y", "_w"], cols, "feature", "v").where(F.col("v.s").isNotNull())
     g = long.groupBy("feature", F.col("v.d").alias("vd"), F.col("v.s").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate"))
+        F.sum("_w").alias("n"), (F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("rate"))
     g = g.where(F.col("n") >= th.min_group_rows)
     s = g.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_groups"),
@@ -308,11 +348,14 @@ def full_detection(df: DataFrame, target: str, positive: Any = None,
                    th: DetectionThresholds = DetectionThresholds()):
     """All three scans + consolidation; returns a dict of DataFrames."""
     feats = [c for c in df.columns if c != target]
-    roles = infer_roles(df, feats, th.max_categories)
+    cat, num_cands, cands = _role_candidates(df, feats, th.max_categories)
     y = encode_target(df, target, positive)
-    assoc = target_association(df, target, positive, roles, th)
-    px = proxy_scan(df, roles.categorical, known_sensitive, th)
-    di = disparate_impact_scan(df, roles.categorical, y, th)
+    known = [s for s in known_sensitive if s in df.columns]
+    combined = written(combinations(df, [*cat, *cands, *known], y), "combinations")
+    roles = _roles(combined, feats, cat, num_cands, cands, th.max_categories)
+    assoc = target_association(df, target, positive, roles, th, combined)
+    px = proxy_scan(combined, roles.categorical, known, th, "_n")
+    di = disparate_impact_scan(combined, roles.categorical, F.col("_y"), th, "_n")
     fl = flagged_features(assoc, px, di)
     return {"target_correlation": assoc, "proxies": px, "disparate_impact": di,
             "flagged_features": fl, "summary": detection_summary(fl, len(feats)), "roles": roles}

@@ -251,3 +251,66 @@ QUERIES["column_roles"] = q_column_roles
 QUERIES["target_encoding"] = q_target_encoding
 ORACLE["column_roles"] = ROLES_SQL
 ORACLE["target_encoding"] = TARGET_ENC_SQL
+
+# p-values by series of positive terms. Chi-squared: 1 - P(dof/2, chi2/2). Correlation: with a = (n - 2)/2 and
+# s = r^2, 1 - I_s(1/2, a). Term k is a product of ratios, summed as logarithms; past 700 the p-value is 0.
+P_VALUE_SQL = """,
+step AS (SELECT CAST(i AS DOUBLE) AS i FROM (SELECT unnest(range(0, 3000)) AS i)),
+gterm AS (SELECT feature, dof / 2.0 AS a, chi2 / 2.0 AS x, i,
+                 sum(CASE WHEN i = 0 THEN 0 ELSE ln((chi2 / 2.0) / (dof / 2.0 + i)) END)
+                   OVER (PARTITION BY feature ORDER BY i) AS t
+          FROM vv, step WHERE dof > 0 AND chi2 > 0 AND chi2 / 2.0 < 700),
+gp AS (SELECT feature, greatest(1 - sum(exp(a * ln(x) - x - lgamma(a + 1) + t)), 0) AS p FROM gterm GROUP BY feature),
+bterm AS (SELECT feature, (n - 2) / 2.0 AS a, r * r AS s, i,
+                 sum(CASE WHEN i = 0 THEN 0 ELSE ln(((n - 2) / 2.0 + i - 0.5) / (0.5 + i) * r * r) END)
+                   OVER (PARTITION BY feature ORDER BY i) AS t
+          FROM num, step WHERE r > 0 AND r < 1 AND n >= 10 AND r * r * n / 2.0 < 700),
+bp AS (SELECT feature, greatest(1 - sum(exp(0.5 * ln(s) + a * ln(1 - s) + lgamma(a + 0.5) - lgamma(a) - lgamma(0.5)
+                                            - ln(0.5) + t)), 0) AS p FROM bterm GROUP BY feature),
+joined AS (
+  SELECT vv.feature, 'categorical' AS type, 'Chi-squared + Cramer''s V' AS method, v AS statistic,
+         CASE WHEN dof = 0 OR chi2 = 0 THEN 1.0 ELSE coalesce(gp.p, 0) END AS p
+  FROM vv LEFT JOIN gp ON vv.feature = gp.feature
+  UNION ALL
+  SELECT num.feature, 'continuous', 'Point-biserial correlation', r,
+         CASE WHEN r = 0 THEN 1.0 WHEN r IS NOT NULL THEN coalesce(bp.p, 0) END
+  FROM num LEFT JOIN bp ON num.feature = bp.feature WHERE n >= 10)
+SELECT feature, type, method, round(statistic, 6) AS statistic, round(p, 6) AS p_value,
+       coalesce(p < 0.05, false) AS significant, """ + EFFECT_SQL.format(v="coalesce(statistic, 0.0)") + """ AS effect_size,
+       coalesce(statistic >= 0.15, false) AND coalesce(p < 0.05, false) AS flagged
+FROM joined"""
+
+
+def _num_sql(src: str, cols: list[str]) -> str:
+    return "\n  UNION ALL ".join(
+        f"SELECT '{c}' AS feature, abs(corr(CAST({c} AS DOUBLE), CAST(y_true AS DOUBLE))) AS r, count({c}) AS n FROM {src}"
+        for c in cols)
+
+
+ORDER_CAT = ["c_mktsegment", "r_name", "o_orderstatus", "o_orderpriority", "n_name"]
+
+
+def _association_sql(views_sql: str, src: str, cats: list[str], nums: list[str]) -> str:
+    return (views_sql + ",\nm AS (" + _melt_sql(src, "y_true", cats) + ")," + _chi2_sql(
+        "SELECT feature, value, cls, count(*) AS n FROM m GROUP BY ALL", ["feature"])
+        + ",\nnum AS (" + _num_sql(src, nums) + ")" + P_VALUE_SQL)
+
+
+def q_line_target_association(spark: SparkSession, sf: str) -> DataFrame:
+    """A14-A17 over the lines: wide columns, one 2x2 table, several numeric columns."""
+    return report_round(detect.target_association(views.line_detect(spark, sf), "y_true", 1))
+
+
+def q_combined_association(spark: SparkSession, sf: str) -> DataFrame:
+    """The association scan of ``full_detection``, from combinations counted once."""
+    r = detect.full_detection(views.order_detect(spark, sf), "y_true", 1, ORDER_SENS)
+    return report_round(r["target_correlation"])
+
+
+QUERIES["line_target_association"] = q_line_target_association
+QUERIES["combined_association"] = q_combined_association
+ORACLE["target_association"] = _association_sql(with_views(ORDER_AUDIT, ORDER_DETECT), "order_detect", ORDER_CAT,
+                                                ["c_acctbal"])
+ORACLE["combined_association"] = ORACLE["target_association"]
+ORACLE["line_target_association"] = _association_sql(with_views(LINE_AUDIT, LINE_DETECT), "line_detect", LINE_CAT,
+                                                     LINE_NUM)
