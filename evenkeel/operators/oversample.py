@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.scalar import compound_cell
 from evenkeel.operators.mitigate import is_privileged
 from evenkeel.operators.neighbours import nearest
+from evenkeel.operators.numbering import rank_within, sorted_table
 from evenkeel.session import written
 
 K_NEIGHBOURS = 5          # fixed values of the reference: k, and k of the class-level fallback
@@ -52,17 +53,6 @@ def signature(x: Column, n_numbers: int, blocks: Sequence[int]) -> Column:
     return F.array(*codes) if codes else F.array().cast("array<int>")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds ``rank``: the row's place from 1 within its cell; ``row`` numbers rows that are sorted by cell
-    within their partitions, so no row moves."""
-    held = rows.withColumn("part", F.shiftright("row", 33))
-    counts = held.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")  # one row per task
-    offsets = written(counts.select("cell", "part", "first", before.alias("before")), "cell_counts")
-    return (held.join(offsets, ["cell", "part"])
-            .withColumn("rank", F.col("row") - F.col("first") + F.col("before") + 1).drop("part", "first", "before"))
-
-
 def _plan(rows: DataFrame, k: int) -> Optional[dict]:
     """Deficit per cell, or None if a cell with a deficit has too few rows for k neighbours."""
     sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -88,15 +78,14 @@ def synthesise(train: DataFrame, attribute: str, privileged: str, key: Sequence[
         plan = _plan(train.select(cell.alias("cell")), k)
         if plan is None:
             raise ValueError(f"a class to be oversampled has at most {k} rows")
-    held = written(train.select(cell.cast("long").alias("cell"), label.alias("y"), ip.alias("is_priv"), x.alias("all"),
-                                F.xxhash64(*key, F.lit(SEED)).alias("h"))
-                   .repartitionByRange("cell", "h", "all").sortWithinPartitions("cell", "h", "all")
-                   .withColumn("row", F.monotonically_increasing_id()), "cells")
+    held = sorted_table(train.select(cell.cast("long").alias("cell"), label.alias("y"), ip.alias("is_priv"),
+                                     x.alias("all"), F.xxhash64(*key, F.lit(SEED)).alias("h")),
+                        ["cell"], ["h", "all"], "cells")
     times = F.lit(0)
     for c, (need, n) in plan.items():  # at most four cells
         more = F.when(F.col("rank") <= need % n, 1).otherwise(0)
         times = F.when(F.col("cell") == c, F.lit(need // n) + more).otherwise(times)
-    ranked = written(_numbered(held.select("cell", "row")).withColumn("times", times.cast("long")), "ranks")
+    ranked = written(rank_within(held.select("cell", "row"), ["cell"]).withColumn("times", times.cast("long")), "ranks")
 
     width = held.select(F.size("all").alias("d")).first()
     n_numbers, blocks = layout if layout is not None else (width["d"] if width else 0, ())

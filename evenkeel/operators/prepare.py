@@ -1,10 +1,10 @@
 """Feature preparation.
 
 Order as in the reference: drop, binarise target, keep sensitive strings,
-impute, one-hot encode, split, scale. Fitted values (modes, medians,
-category lists, means, deviations) are small driver-side scalars; every
-row-level step is a column expression, so preparation is a single
-narrow projection per split after the fits.
+impute, one-hot encode, split, scale. Modes, medians, means and deviations
+are scalars on the driver, and their row-level steps column expressions;
+category vocabularies and the cuts of the split are written tables, joined to
+the rows (the planner broadcasts what is small).
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.scalar import binarize, nan_as_null
+from evenkeel.operators.numbering import rank_within, sorted_table
 from evenkeel.operators.quantile import exact_medians
 from evenkeel.session import written
 from evenkeel.spec import AuditSpec
 
-DIRECT_HASHES = 1 << 16
-MAX_ONE_HOT = 100_000
 SEED = 42
 
 
@@ -86,44 +85,50 @@ def _native(s: str, t):
     return s
 
 
-@dataclass
 class OneHot:
-    """M2: one dummy per category except the alphabetically (or numerically)
-    first; category lists are fitted on the data (bounded by cardinality)."""
-    categories: Dict[str, List[Any]] = field(default_factory=dict)
+    """M2: one dummy per category except the alphabetically (or numerically) first.
+
+    The vocabulary is a written table (column, value, place from 0), numbered by partition counts;
+    only the number of values per column comes to the driver. ``categories`` and ``names`` fetch the
+    values themselves, for reports on models of that size.
+    """
+
+    def __init__(self, sizes: Dict[str, int], vocabulary: Optional[DataFrame] = None, types: Optional[dict] = None) -> None:
+        self.sizes, self.vocabulary, self._types, self._lists = sizes, vocabulary, types or {}, None
 
     @classmethod
-    def fit(cls, df: DataFrame, categorical: Sequence[str],
-            max_categories: int = MAX_ONE_HOT, approx_counts: Optional[dict] = None) -> "OneHot":
-        """Distinct values of every categorical column in one job (an
-        unpivot + distinct whose output is bounded by the cardinalities).
-
-        A HyperLogLog pass first refuses columns with more than
-        ``max_categories`` values (an error, never a silent cut), so an id
-        column declared categorical cannot pull its values to the driver.
-        """
+    def fit(cls, df: DataFrame, categorical: Sequence[str]) -> "OneHot":
+        """Distinct values of every categorical column in one job: an unpivot and a distinct, then a
+        sort by (column, value), numeric for numbers."""
         cats = list(categorical)
         if not cats:
             return cls({})
-        approx = approx_counts or df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
-        wide = [c for c in cats if approx[c] > max_categories]
-        if wide:
-            raise ValueError(f"categorical columns with more than {max_categories} values: {wide}")
         types = {f.name: f.dataType for f in df.schema.fields}
         packed = df.select(*[F.struct(F.col(c).cast("string").alias("s"),
                                       (F.col(c).cast("double") if not isinstance(types[c], T.StringType)
                                        else F.lit(None).cast("double")).alias("d")).alias(c)
                              for c in cats])
-        vals = (packed.unpivot([], cats, "column", "v").where(F.col("v.s").isNotNull())
-                .select("column", "v.s", "v.d").distinct().collect())
-        out = {c: [] for c in cats}
-        for r in vals:
-            out[r["column"]].append((r["d"], r["s"]))
-        for c in cats:
-            native = isinstance(types[c], T.StringType)
-            key = (lambda t: t[1]) if native else (lambda t: (t[0], t[1]))
-            out[c] = [t[1] if native else _native(t[1], types[c]) for t in sorted(out[c], key=key)]
-        return cls(out)
+        values = (packed.unpivot([], cats, "column", "v").where(F.col("v.s").isNotNull())
+                  .select("column", F.col("v.d").alias("d"), F.col("v.s").alias("value")).distinct())
+        placed = rank_within(sorted_table(values, ["column"], ["d", "value"], "values"), ["column"], "place")
+        vocabulary = written(placed.select("column", "value", (F.col("place") - 1).alias("place")), "vocabulary")
+        found = {r["column"]: r["n"] for r in vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return cls({c: found.get(c, 0) for c in cats}, vocabulary, types)
+
+    @property
+    def categories(self) -> Dict[str, List[Any]]:
+        """Values per column in order, fetched from the vocabulary."""
+        if self._lists is None:
+            self._lists = {c: [] for c in self.sizes}
+            if self.vocabulary is not None:
+                for r in self.vocabulary.orderBy("column", "place").collect():
+                    self._lists[r["column"]].append(_native(r["value"], self._types.get(r["column"])))
+        return self._lists
+
+    @property
+    def blocks(self) -> List[int]:
+        """Dummies per column."""
+        return [max(n - 1, 0) for n in self.sizes.values()]
 
     def names(self) -> List[str]:
         return [f"{c}_{v}" for c, vals in self.categories.items() for v in vals[1:]]
@@ -136,28 +141,34 @@ class OneHot:
                 out.append(F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}_{v}"))
         return out
 
-    def index_columns(self) -> List[Column]:
-        """Category index per column: categories[1:] -> 0..n-2; the first
-        category and nulls -> n-1, the slot OneHotEncoder drops. Carries ML
-        nominal metadata so the encoder needs no scan to size itself."""
-        out = []
-        for c, vals in self.categories.items():
-            n = max(len(vals), 1)
-            pairs = [x for i, v in enumerate(vals) for x in (F.lit(str(v)), F.lit(float((i - 1) % n)))]
-            m = F.create_map(*pairs) if pairs else F.create_map()
+    @property
+    def encoded(self) -> List[str]:
+        """Columns with dummies: a column of one value or none has no other category to tell."""
+        return [c for c, n in self.sizes.items() if n > 1]
+
+    def indexed(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` and, per encoded column, ``<column>__idx``: values after the first -> 0..n-2; the
+        first and nulls -> n-1, the slot OneHotEncoder drops. Carries ML nominal metadata so the
+        encoder needs no scan to size itself."""
+        out = df
+        for c in self.encoded:
+            n = self.sizes[c]
             meta = {"ml_attr": {"type": "nominal", "num_vals": n, "name": f"{c}__idx"}}
-            out.append(F.coalesce(m[F.col(c).cast("string")], F.lit(float(n - 1)))
-                       .alias(f"{c}__idx", metadata=meta))
-        return out
+            v = self.vocabulary.where((F.col("column") == c) & (F.col("place") > 0)).select(
+                F.col("value").alias(f"{c}__value"), (F.col("place") - 1).cast("double").alias(f"{c}__place"))
+            out = out.join(v, out[c].cast("string") == v[f"{c}__value"], "left").withColumn(
+                f"{c}__idx", F.coalesce(f"{c}__place", F.lit(float(n - 1))).alias(f"{c}__idx", metadata=meta)).drop(
+                f"{c}__value", f"{c}__place")
+        return out.select(*keep, *[f"{c}__idx" for c in self.encoded])
 
     def vector_names(self) -> List[str]:
-        return [f"{c}__vec" for c in self.categories]
+        return [f"{c}__vec" for c in self.encoded]
 
     def encode(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """Sparse one-hot vectors ``<col>__vec`` (slot j = categories[j+1])."""
+        """Sparse one-hot vectors ``<col>__vec`` (slot j = category j + 1)."""
         from pyspark.ml.feature import OneHotEncoder
-        cols = list(self.categories)
-        x = df.select(*[F.col(k) for k in keep], *self.index_columns())
+        cols = self.encoded
+        x = self.indexed(df, keep)
         if not cols:
             return x
         enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=self.vector_names(),
@@ -165,71 +176,31 @@ class OneHot:
         return enc.transform(x).drop(*[f"{c}__idx" for c in cols])
 
 
-def _split_cuts(d: DataFrame, label: str, test_size: float):
-    """Per class: (cut-off hash, rows needed at the cut-off, rows at the cut-off).
+def _split_cuts(d: DataFrame, label: str, test_size: float) -> DataFrame:
+    """(class, cut, need, at): per class the cut-off hash, rows needed at it, rows that have it.
 
-    Radix refinement over the signed 64-bit hash: each pass counts rows per
-    16-bit digit under the prefix fixed so far (one scan, at most 2^16
-    groups per class) and keeps the digit holding the wanted rank; the
-    first pass also yields the class sizes. As soon as the kept bucket holds
-    at most 2^16 rows, their hashes are read directly (a bounded fetch) and
-    the cut is finished on the driver: at most four passes plus one fetch,
-    whatever the data size; two jobs when buckets are small.
+    Rows are counted by class and first 16 bits of their hash, then, in the bucket that holds the
+    wanted rank, by class and whole hash: two reads, both collapsed by partial aggregation. The
+    tables stay in Spark, so any number of classes will do; a class's window sorts at most 2^16
+    buckets, then the distinct hashes of one.
     """
-    h = F.col("_h")
-    state: Dict[Any, dict] = {}
-    for shift in (48, 32, 16, 0):
-        digit = (F.shiftright(h, shift) if shift == 48
-                 else F.shiftright(h, shift).bitwiseAND(0xFFFF)).alias("_dig")
-        if shift == 48:
-            src = d
-        else:
-            cond = None
-            for c, st in state.items():
-                if st.get("done"):
-                    continue
-                term = (F.col(label) == F.lit(c)) & (F.shiftright(h, shift + 16) == F.lit(st["lo"]))
-                cond = term if cond is None else cond | term
-            src = d.where(cond)
-        rows = src.groupBy(label, digit).agg(F.count(F.lit(1)).alias("n")).collect()
-        by: Dict[Any, list] = {}
-        for r in rows:
-            by.setdefault(r[label], []).append((r["_dig"], r["n"]))
-        if shift == 48:
-            for c, lst in by.items():
-                k = int(math.ceil(sum(n for _, n in lst) * test_size - 1e-9))
-                if k > 0:
-                    state[c] = {"lo": None, "rank": k}
-        for c, st in state.items():
-            if st.get("done"):
-                continue
-            acc = 0
-            for dig, n in sorted(by[c]):
-                if st["rank"] <= acc + n:
-                    st["lo"] = dig if st["lo"] is None else (st["lo"] << 16) | dig
-                    st["rank"], st["at"], st["shift"] = st["rank"] - acc, n, shift
-                    break
-                acc += n
-        # a bucket small enough is read directly (bounded) and finished here
-        small = {c: st for c, st in state.items() if not st.get("done") and st["shift"] > 0
-                 and st["at"] <= DIRECT_HASHES}
-        if small:
-            cond = None
-            for c, st in small.items():
-                term = (F.col(label) == F.lit(c)) & (F.shiftright(h, st["shift"]) == F.lit(st["lo"]))
-                cond = term if cond is None else cond | term
-            got: Dict[Any, list] = {}
-            for r in d.where(cond).select(label, "_h").collect():
-                got.setdefault(r[label], []).append(r["_h"])
-            for c, st in small.items():
-                hs = sorted(got[c])
-                t = hs[st["rank"] - 1]
-                first = hs.index(t)
-                st["lo"], st["rank"], st["at"], st["done"] = t, st["rank"] - first, hs.count(t), True
-        state_open = {c: st for c, st in state.items() if not st.get("done")}
-        if not state_open:
-            break
-    return {c: (st["lo"], st["rank"], st["at"]) for c, st in state.items()}
+    def holding(counts: DataFrame, rank: Column, by: str) -> DataFrame:
+        """The row of each class that holds its wanted rank, and how far into it the rank lies."""
+        upto = F.sum("n").over(Window.partitionBy("class").orderBy(by))
+        return (counts.withColumn("want", rank).withColumn("upto", upto)
+                .where((F.col("want") > F.col("upto") - F.col("n")) & (F.col("want") <= F.col("upto")))
+                .withColumn("need", F.col("want") - F.col("upto") + F.col("n")))
+
+    rows = d.select(F.col(label).alias("class"), "_h").withColumn("digit", F.shiftright("_h", 48))
+    total = F.sum("n").over(Window.partitionBy("class"))
+    first = holding(rows.groupBy("class", "digit").agg(F.count(F.lit(1)).alias("n")),
+                    F.ceil(total * test_size - 1e-9), "digit")
+    first = written(first.select(F.col("class").alias("_c"), F.col("digit").alias("_d"), F.col("need").alias("_need")),
+                    "split_digits")
+    bucket = rows.join(first, rows["class"].eqNullSafe(first["_c"]) & (F.col("digit") == F.col("_d")))
+    hashes = bucket.groupBy("class", "_h", "_need").agg(F.count(F.lit(1)).alias("n"))
+    cut = holding(hashes, F.col("_need"), "_h")
+    return written(cut.select("class", F.col("_h").alias("cut"), "need", F.col("n").alias("at")), "split_cuts")
 
 
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], test_size: float = 0.2,
@@ -237,40 +208,22 @@ def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], test_si
     """M3: exact stratified split; adds boolean ``is_test``.
 
     Test rows of class c are the ceil(test_size * n_c) rows with the
-    smallest ``xxhash64(keys, seed)`` (rows sharing a hash have equal keys;
-    among those, ties go by the keys). The cut-off hash of each class is
-    found exactly by radix refinement over four bounded aggregations, so
-    assigning rows is a narrow projection: no shuffle or sort of the rows.
+    smallest ``xxhash64(keys, seed)`` (rows sharing a hash have equal keys and are interchangeable).
+    The cut-off hashes are a written table with a row per class, joined to the rows: where the
+    planner broadcasts it, no row moves.
     """
     d = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)))
-    cut = _split_cuts(d, label, test_size)
-    below = F.lit(False)
-    at = F.lit(False)
-    for c, (t, _, _) in cut.items():
-        below = below | ((F.col(label) == F.lit(c)) & (F.col("_h") < F.lit(t)))
-        at = at | ((F.col(label) == F.lit(c)) & (F.col("_h") == F.lit(t)))
-    if all(n_at <= need for _, need, n_at in cut.values()):
-        return d.withColumn("is_test", below | at).drop("_h")
+    cuts = _split_cuts(d, label, test_size)
+    joined = d.join(cuts, F.col(label).eqNullSafe(F.col("class")), "left")
+    below = F.coalesce(F.col("_h") < F.col("cut"), F.lit(False))
+    at = F.coalesce(F.col("_h") == F.col("cut"), F.lit(False))
+    if not cuts.where(F.col("at") > F.col("need")).limit(1).count():
+        return joined.withColumn("is_test", below | at).select(*df.columns, "is_test")
     # rare: identical keys straddle the cut; they are interchangeable, so any of them may be the test rows
-    need_c = F.lit(0)
-    for c, (_, need, _) in cut.items():
-        need_c = F.when(F.col(label) == F.lit(c), F.lit(need)).otherwise(need_c)
-    rest = d.where(~at).withColumn("is_test", below)
-    edge = _ranked_by_partition(d.where(at), label).withColumn("is_test", F.col("_rank") <= need_c).drop("_rank")
-    return rest.unionByName(edge).drop("_h")
-
-
-def _ranked_by_partition(rows: DataFrame, label: str) -> DataFrame:
-    """Number the rows of each class from 1, in any order: numbers inside a partition plus the counts
-    of the partitions before it, so a class of any size is never in one task."""
-    held = written(rows.withColumn("_at", F.monotonically_increasing_id()), "edge").withColumn(
-        "_part", F.shiftright("_at", 33))
-    counts = held.groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_part")) - F.col("_n")
-    counts = written(counts.withColumn("_before", before).drop("_n"), "edge_counts")
-    local = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_at"))
-    return (held.withColumn("_local", local).join(counts, [label, "_part"])
-            .withColumn("_rank", F.col("_local") + F.col("_before")).drop("_local", "_before", "_part", "_at"))
+    rest = joined.where(~at).withColumn("is_test", below)
+    edge = rank_within(sorted_table(joined.where(at), [label], ["_h"], "edge"), [label], "_rank")
+    edge = edge.withColumn("is_test", F.col("_rank") <= F.col("need"))
+    return rest.select(*df.columns, "is_test").unionByName(edge.select(*df.columns, "is_test"))
 
 
 @dataclass
@@ -305,7 +258,6 @@ class Prepared:
     row key and the raw sensitive strings kept beside the features (P7)."""
     train: DataFrame
     test: DataFrame
-    feature_names: List[str]
     imputer: Imputer
     onehot: OneHot
     scaler: Scaler
@@ -314,7 +266,12 @@ class Prepared:
     @property
     def layout(self) -> tuple:
         """Numbers that lead the feature vector, and the sizes of the one-hot blocks behind them."""
-        return len(self.scaler.stats), [max(len(v) - 1, 0) for v in self.onehot.categories.values()]
+        return len(self.scaler.stats), self.onehot.blocks
+
+    @property
+    def feature_names(self) -> List[str]:
+        """Names in vector order (fetches the vocabulary)."""
+        return list(self.scaler.stats) + self.onehot.names()
 
     def report(self, spark) -> DataFrame:
         """M6: the preparation decisions as a small table."""
@@ -323,7 +280,7 @@ class Prepared:
                 ("encoding", "one_hot (first category dropped)"),
                 ("scaling", "z-score, population deviation, fit on train"),
                 ("train_test_split", "test_size=0.2; stratified; seed=42"),
-                ("total_features", str(len(self.feature_names)))]
+                ("total_features", str(len(self.scaler.stats) + sum(self.onehot.blocks)))]
         return spark.createDataFrame(rows, "decision string, value string")
 
 
@@ -346,12 +303,7 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
     # one read of the source for all fits and split passes
     base = written(base, "base")
     # the reference imputes only when something is missing; fit only those columns
-    # one aggregate: null counts of all columns + cardinality guard of the categoricals
-    prof = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cat + cont],
-                    *[F.approx_count_distinct(c).alias(f"_acd_{c}") for c in cat],
-                    F.lit(1).alias("_one")).first()
-    nulls = prof
-    approx = {c: prof[f"_acd_{c}"] for c in cat}
+    nulls = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cat + cont], F.lit(1).alias("_one")).first()
     cat_n = [c for c in cat if nulls[c]]
     cont_n = [c for c in cont if nulls[c]]
     split = stratified_split(base, "y_true", key_cols, test_size, seed)
@@ -359,10 +311,9 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
         imputer = Imputer.fit(base, cat_n, cont_n)
     else:
         imputer = Imputer.fit(split.where(~F.col("is_test")), cat_n, cont_n)
-    onehot = OneHot.fit(base, cat, approx_counts=approx)
+    onehot = OneHot.fit(base, cat)
     imp = imputer.transform(split)
     scaler = Scaler.fit(imp.where(~F.col("is_test")), cont)
-    feats = [c for c in cont] + onehot.names()
     keep = list(dict.fromkeys(key_cols)) + [f"sens_{s}" for s in sens] + ["y_true", "is_test"]
     scaled = imp.select(*[F.col(k) for k in keep], *scaler.columns(), *[F.col(c) for c in cat])
     enc = onehot.encode(scaled, keep + cont)
@@ -371,14 +322,11 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
     out = assembler.transform(enc).select(*keep, "features")
     for s in sens:
         out = out.withColumnRenamed(f"sens_{s}", s)
-    return Prepared(out.where(~F.col("is_test")), out.where(F.col("is_test")), feats, imputer,
-                    onehot, scaler, spec)
+    return Prepared(out.where(~F.col("is_test")), out.where(F.col("is_test")), imputer, onehot, scaler, spec)
 
 
-def persist_prepared(p: Prepared) -> Prepared:
-    """Keep both splits for the iterative fits (MEMORY_AND_DISK: a lost
-    executor's blocks are recomputed from lineage)."""
-    from pyspark import StorageLevel
-    p.train = p.train.persist(StorageLevel.MEMORY_AND_DISK)
-    p.test = p.test.persist(StorageLevel.MEMORY_AND_DISK)
+def write_prepared(p: Prepared) -> Prepared:
+    """Both splits as written tables for the iterative fits: nothing is left persisted, and a lost
+    executor costs only its tasks."""
+    p.train, p.test = written(p.train, "train"), written(p.test, "test")
     return p

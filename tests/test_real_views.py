@@ -38,5 +38,5 @@ def test_nation_is_flagged_as_region_proxy(spark):
 
 def test_mitigation_rows_have_status(spark):
     rows = {r.strategy: r for r in E.queries()["before_after"](spark, SF).collect()}
-    assert set(rows) == {"baseline", "reweighing", "fair_classifier", "thresholds"}
+    assert set(rows) == {"baseline", "resampling", "reweighing", "fair_classifier", "thresholds"}
     assert all(r.accuracy is not None for r in rows.values())
