@@ -3,12 +3,11 @@
 The fitted trees are read through Spark ML's public persistence format
 (saved to the session's shared checkpoint folder), giving a node table
 whose size is bounded by the model, not the data. Rows are explained in
-Arrow batches with ``mapInPandas``: the tree recursion of the
-path-dependent TreeSHAP algorithm (Lundberg et al., 2018) runs once per
-tree per batch with NumPy arrays over the batch's rows, so Python work
-is per node, not per row. Values are in probability units of class 1; a
-forest's attribution is the mean over its trees. Per row,
-sum(phi) = f(x) - E[f] (local accuracy).
+Arrow batches with ``mapInPandas``, leaf by leaf: a leaf's share of a row
+depends only on which of the (at most depth) features on its path the row
+agrees with, so it is computed once per such pattern and looked up per row.
+Values are in probability units of class 1; a forest's attribution is the
+mean over its trees. Per row, sum(phi) = f(x) - E[f] (local accuracy).
 """
 
 from __future__ import annotations
@@ -79,74 +78,71 @@ class Tree:
             out[k] = (X[k, f] in self.cats[nd]) if nd in self.cats else X[k, f] <= self.thr[nd]
         return out
 
-
-def _extend(path, pz, po, pi, B):
-    l = len(path)
-    new = [[e[0], e[1], e[2], e[3].copy()] for e in path]
-    new.append([pi, pz, po, np.ones(B) if l == 0 else np.zeros(B)])
-    for i in range(l - 1, -1, -1):
-        new[i + 1][3] = new[i + 1][3] + po * new[i][3] * (i + 1) / (l + 1)
-        new[i][3] = pz * new[i][3] * (l - i) / (l + 1)
-    return new
-
-
-def _unwound_sum(path, i):
-    depth = len(path) - 1
-    o, z = path[i][2], path[i][1]
-    nz = o != 0
-    o_safe = np.where(nz, o, 1.0)
-    nxt = path[depth][3].copy()
-    total = np.zeros_like(nxt)
-    for j in range(depth - 1, -1, -1):
-        tmp = nxt * (depth + 1) / ((j + 1) * o_safe)
-        alt = (path[j][3] / z) / ((depth - j) / (depth + 1)) if z != 0 else np.zeros_like(nxt)
-        total = total + np.where(nz, tmp, alt)
-        nxt = np.where(nz, path[j][3] - tmp * z * ((depth - j) / (depth + 1)), nxt)
-    return total
-
-
-def _unwind(path, i):
-    depth = len(path) - 1
-    o, z = path[i][2], path[i][1]
-    nz = o != 0
-    o_safe = np.where(nz, o, 1.0)
-    nxt = path[depth][3].copy()
-    weights = [None] * depth
-    for j in range(depth - 1, -1, -1):
-        cur = path[j][3]
-        w_one = nxt * (depth + 1) / ((j + 1) * o_safe)
-        w_zero = cur * (depth + 1) / (z * (depth - j)) if z != 0 else np.zeros_like(cur)
-        w = np.where(nz, w_one, w_zero)
-        nxt = np.where(nz, cur - w * z * (depth - j) / (depth + 1), nxt)
-        weights[j] = w
-    rest = [e for k, e in enumerate(path) if k != i]
-    return [[rest[k][0], rest[k][1], rest[k][2], weights[k]] for k in range(depth)]
+    def paths(self) -> list:
+        """Per leaf: value, its features, their cover ratios, and per feature the (node, left?) steps."""
+        if not hasattr(self, "_paths"):
+            self._paths, work = [], [(0, [])]
+            while work:
+                node, steps = work.pop()
+                if self.left[node] < 0:
+                    by: Dict[int, list] = {}
+                    for at, left, ratio in steps:
+                        by.setdefault(int(self.feat[at]), []).append((at, left, ratio))
+                    self._paths.append((float(self.value[node]), list(by),
+                                        np.array([np.prod([r for _, _, r in v]) for v in by.values()]),
+                                        [[(at, left) for at, left, _ in v] for v in by.values()]))
+                    continue
+                for child, left in ((self.left[node], True), (self.right[node], False)):
+                    if self.cover[child] > 0:  # no row ever came here: no share
+                        work.append((child, [*steps, (node, left, self.cover[child] / self.cover[node])]))
+        return self._paths
+
+
+#: Rows explained at once; patterns of more features than this are found by sorting.
+STRETCH, TABLE_BITS = 4096, 14
+
+
+def pattern_shares(agrees: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Shapley values (patterns x features) of a leaf of value 1.
+
+    A feature in the coalition leads to the leaf if the row ``agrees`` with its conditions, one
+    outside it with probability ``ratios``. Averaged over all orders, feature i adds
+    (agrees_i - ratio_i) * integral over t in [0, 1] of the product over the others j of
+    (ratio_j (1 - t) + agrees_j t): a polynomial, which Gauss-Legendre points integrate exactly.
+    """
+    n = agrees.shape[1]
+    points, weights = np.polynomial.legendre.leggauss(n // 2 + 1)
+    t, weights = (points + 1) / 2, weights / 2
+    factor = ratios[None, :, None] * (1 - t) + agrees[:, :, None] * t  # above 0, as ratios are and t < 1
+    others = factor.prod(axis=1, keepdims=True) / factor
+    return (agrees - ratios) * (others @ weights)
 
 
 def tree_shap(tree: Tree, X: np.ndarray) -> np.ndarray:
     """Attributions (rows x features) of one tree for a batch of rows."""
-    B, d = X.shape
-    phi = np.zeros((B, d))
-
-    def recurse(node, path, pz, po, pi):
-        path = _extend(path, pz, po, pi, B)
-        if tree.left[node] < 0:
-            for i in range(1, len(path)):
-                w = _unwound_sum(path, i)
-                phi[:, path[i][0]] += w * (path[i][2] - path[i][1]) * tree.value[node]
-            return
-        f = tree.feat[node]
-        go = tree._goes_left(X, node).astype(float)
-        l, r = tree.left[node], tree.right[node]
-        inc_z, inc_o = 1.0, np.ones(B)
-        k = next((k for k in range(1, len(path)) if path[k][0] == f), None)
-        if k is not None:
-            inc_z, inc_o = path[k][1], path[k][2]
-            path = _unwind(path, k)
-        recurse(l, path, tree.cover[l] / tree.cover[node] * inc_z, inc_o * go, f)
-        recurse(r, path, tree.cover[r] / tree.cover[node] * inc_z, inc_o * (1.0 - go), f)
-
-    recurse(0, [], 1.0, np.ones(B), -1)
+    phi = np.zeros(X.shape)
+    inner = np.flatnonzero(tree.left >= 0)
+    for begin in range(0, len(X), STRETCH):
+        rows = X[begin:begin + STRETCH]
+        left = {int(node): tree._goes_left(rows, int(node)) for node in inner}
+        for value, features, ratios, steps in tree.paths():
+            if not features or value == 0:
+                continue
+            code = np.zeros(len(rows), np.int64)
+            for bit, conditions in enumerate(steps):
+                agrees = np.ones(len(rows), bool)
+                for node, to_left in conditions:
+                    agrees &= left[node] if to_left else ~left[node]
+                code |= agrees.astype(np.int64) << bit
+            if len(features) <= TABLE_BITS:
+                there = np.flatnonzero(np.bincount(code, minlength=1 << len(features)))
+                place = np.zeros(1 << len(features), np.int64)
+                place[there] = np.arange(len(there))
+                where = place[code]
+            else:
+                there, where = np.unique(code, return_inverse=True)
+            shares = value * pattern_shares((there[:, None] >> np.arange(len(features)) & 1).astype(float), ratios)
+            phi[begin:begin + STRETCH, features] += shares[where]
     return phi
 
 

@@ -1,5 +1,8 @@
 """Tree and sampled attributions: local accuracy invariants."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
@@ -7,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from evenkeel.operators import explain, treeshap
+from evenkeel.operators import explain, newton, treeshap
 
 
 def _data(spark, n=300):
@@ -58,3 +61,74 @@ def test_sampled_attribution_sums_close(spark):
                                       permutations=6, background_size=30)
     assert phi.count() == 80
     assert phi.where(F.col("phi").isNull()).count() == 0
+
+
+def _subsets(features):
+    return itertools.chain.from_iterable(itertools.combinations(features, k) for k in range(len(features) + 1))
+
+
+def _brute_shapley(tree, x):
+    """Shapley values over all coalitions; a feature outside one is averaged by cover."""
+    d = len(x)
+
+    def value(node, known):
+        if tree.left[node] < 0:
+            return tree.value[node]
+        left, right = tree.left[node], tree.right[node]
+        if tree.feat[node] in known:
+            return value(left if tree._goes_left(x[None], int(node))[0] else right, known)
+        return sum(tree.cover[c] * value(c, known) for c in (left, right)) / tree.cover[node]
+
+    phi = np.zeros(d)
+    for i in range(d):
+        for s in _subsets([j for j in range(d) if j != i]):
+            share = math.factorial(len(s)) * math.factorial(d - 1 - len(s)) / math.factorial(d)
+            phi[i] += share * (value(0, {*s, i}) - value(0, set(s)))
+    return phi
+
+
+def test_leaf_patterns_equal_all_coalitions(spark):
+    df = _data(spark)
+    m = RandomForestClassifier(numTrees=3, maxDepth=6, labelCol="y_true", seed=2).fit(df)
+    x = np.array([r["features"].toArray() for r in df.limit(12).collect()])
+    for tree in treeshap.load_trees(m):
+        assert np.allclose(treeshap.tree_shap(tree, x), [_brute_shapley(tree, r) for r in x], atol=1e-12)
+
+
+def test_wide_paths_and_stretches_agree(spark, monkeypatch):
+    df = _data(spark)
+    tree = treeshap.load_trees(DecisionTreeClassifier(maxDepth=8, labelCol="y_true").fit(df))[0]
+    x = np.array([r["features"].toArray() for r in df.collect()])
+    want = treeshap.tree_shap(tree, x)
+    monkeypatch.setattr(treeshap, "STRETCH", 7)
+    monkeypatch.setattr(treeshap, "TABLE_BITS", 1)
+    assert np.allclose(treeshap.tree_shap(tree, x), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["linear", "tree"])
+def test_sampled_attribution_sums_to_the_score(spark, kind):
+    df = _data(spark, 150)
+    m = (newton.fit(df.withColumn("y_true", F.col("y_true").cast("int"))) if kind == "linear"
+         else DecisionTreeClassifier(maxDepth=4, labelCol="y_true").fit(df))
+    names = ["a", "b", "c", "d"]
+    out = explain.sampled_attribution(m, df.repartition(5), df, names, ["row_id"], "row_id", permutations=4,
+                                      background_size=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(row_id" not in plan
+    score = explain.scorer(m)
+    x = {r["row_id"]: r["features"].toArray() for r in df.collect()}
+    first = explain.sample_rows(df.select("row_id"), 1, ["row_id"]).first()["row_id"]
+    got = {r["row_id"]: r["s"] for r in out.groupBy("row_id").agg(F.sum("phi").alias("s")).collect()}
+    assert len(got) == 150
+    for i, s in got.items():
+        assert s == pytest.approx(float(score(x[i][None])[0] - score(x[first][None])[0]), abs=1e-9)
+    again = explain.sampled_attribution(m, df, df, names, ["row_id"], "row_id", permutations=4, background_size=1)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+
+
+def test_linear_walks_are_exact():
+    """With a linear score every order gives w_j (x_j - b_j)."""
+    rng = np.random.default_rng(0)
+    x, base, w = rng.normal(size=(20, 5)), rng.normal(size=(1, 5)), rng.normal(size=5)
+    phi = explain.walks(x, np.arange(20, dtype=np.uint64), base, lambda z: z @ w, 3)
+    assert np.allclose(phi, (x - base) * w)
