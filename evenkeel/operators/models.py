@@ -2,7 +2,8 @@
 
 Hyper-parameters follow the reference's configuration (fixed values):
 logistic regression with L2, C = 1, up to 1000 iterations; decision tree of
-depth 10 with at least 10 rows per leaf; forest of 100 trees of depth 10.
+depth 10 with at least 10 rows per leaf (so no node under 20 is split); forest
+of 100 trees of depth 10, nodes under 20 rows not split (``Forest``).
 The L2 penalty of ``0.5 * ||w||^2 / C`` on a summed loss equals Spark's
 ``regParam = 1 / (C * sum of weights)`` on its averaged loss, with
 standardisation off (features are already scaled).
@@ -14,11 +15,15 @@ import time
 from dataclasses import dataclass, field
 from typing import Dict, Optional, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.operators.metrics import model_metrics
 
@@ -28,6 +33,8 @@ LR_MAX_ITER = 1000
 TREE_DEPTH = 10
 TREE_MIN_LEAF = 10
 FOREST_TREES = 100
+MIN_SPLIT = 20
+MAX_BINS = 256  # candidate thresholds per number
 
 MODEL_NAMES = ["logistic_regression", "decision_tree", "random_forest"]
 
@@ -45,13 +52,45 @@ def build(name: str, total_weight: float, weight_col: Optional[str] = None,
                                   tol=1e-6, **common)
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_MIN_LEAF,
-                                      seed=SEED, **common)
+                                      maxBins=MAX_BINS, seed=SEED, **common)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=TREE_DEPTH,
-                                      featureSubsetStrategy="sqrt", seed=SEED, **common)
+                                      featureSubsetStrategy="sqrt", maxBins=MAX_BINS, seed=SEED, **common)
     raise ValueError(f"unknown model {name!r}; known: {', '.join(MODEL_NAMES)}")
 
 
+class Forest:
+    """A fitted forest whose nodes of fewer than ``min_split`` rows are leaves (M9): Spark ML grows the
+    trees, this minimum is applied to them. Scores rows in Arrow batches."""
+
+    def __init__(self, model, min_split: int = MIN_SPLIT) -> None:
+        from evenkeel.operators.treeshap import load_trees
+        self.grown, self.min_split = model, min_split
+        self.trees = load_trees(model, min_split)
+        shares = np.mean([t.importances(model.numFeatures) for t in self.trees], axis=0)
+        self.featureImportances = Vectors.dense(shares / shares.sum() if shares.sum() > 0 else shares)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``score`` = mean class-1 probability of the trees."""
+        name = "_x"
+        while name in df.columns:
+            name = "_" + name
+        held = df.withColumn(name, vector_to_array("features")).drop("features")
+        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+
+        def run(batches):
+            for batch in batches:
+                x = batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                p = np.mean([t.predict(x) for t in shared.value], axis=0) if batch.num_rows else np.empty(0)
+                yield batch.drop_columns([name]).append_column("score", pa.array(p, pa.float64()))
+
+        schema = T.StructType([f for f in held.schema.fields if f.name != name] + [T.StructField("score", T.DoubleType())])
+        return held.mapInArrow(run, schema)
+
+    def write(self):
+        return self.grown.write()
+
+
 def fit(name: str, train: DataFrame, weight_col: Optional[str] = None):
     """Fit one estimator; returns (model, wall seconds)."""
     if weight_col:
@@ -60,11 +99,16 @@ def fit(name: str, train: DataFrame, weight_col: Optional[str] = None):
         total = float(train.count())
     start = time.time()
     model = build(name, total, weight_col).fit(train)
+    if name == "random_forest":
+        model = Forest(model)
     return model, time.time() - start
 
 
 def score(model, df: DataFrame, name: str, keep: Sequence[str]) -> DataFrame:
     """Predictions as (keep..., model, y_pred, score) with score = P(y = 1)."""
+    if isinstance(model, Forest):
+        out = model.transform(df.select(*dict.fromkeys(keep), "features"))
+        return out.select(*keep, F.lit(name).alias("model"), (F.col("score") > 0.5).cast("int").alias("y_pred"), "score")
     out = model.transform(df)
     return out.select(*keep, F.lit(name).alias("model"),
                       F.col("prediction").cast("int").alias("y_pred"),
@@ -107,5 +151,6 @@ def train_all(train: DataFrame, test: DataFrame, keep: Sequence[str],
 
 
 def save_model(model, path: str) -> None:
-    """Spark ML persistence in place of pickles."""
+    """Spark ML persistence in place of pickles (a ``Forest`` saves the trees that Spark ML grew;
+    wrap the loaded model again to apply the split minimum)."""
     model.write().overwrite().save(path)

@@ -24,9 +24,13 @@ from evenkeel.session import checkpoint_dir
 
 
 class Tree:
-    """Node arrays of one binary tree (index = node id)."""
+    """Node arrays of one binary tree (index = node id).
 
-    def __init__(self, nodes: List[dict]):
+    A node of fewer than ``min_split`` training rows is a leaf, whatever it was split into: as splits
+    are chosen from the root down, that is the tree that a learner with this minimum grows.
+    """
+
+    def __init__(self, nodes: List[dict], min_split: int = 0):
         n = max(r["id"] for r in nodes) + 1
         self.left = np.full(n, -1)
         self.right = np.full(n, -1)
@@ -35,15 +39,19 @@ class Tree:
         self.cats: Dict[int, set] = {}
         self.value = np.zeros(n)
         self.cover = np.zeros(n)
+        self.rows = np.zeros(n)
+        self.gain = np.zeros(n)
         for r in nodes:
             i = r["id"]
             stats = r["impurityStats"] or []
             tot = float(sum(stats))
             self.value[i] = (stats[1] / tot) if tot > 0 and len(stats) > 1 else 0.0
             self.cover[i] = tot if tot > 0 else float(r["rawCount"] or 0)
-            self.left[i], self.right[i] = r["leftChild"], r["rightChild"]
-            sp = r["split"]
-            if r["leftChild"] >= 0:
+            self.rows[i] = float(r["rawCount"] or tot)
+            if r["leftChild"] >= 0 and self.rows[i] >= min_split:
+                sp = r["split"]
+                self.left[i], self.right[i] = r["leftChild"], r["rightChild"]
+                self.gain[i] = r.get("gain") or 0.0
                 self.feat[i] = sp["featureIndex"]
                 if sp["numCategories"] is not None and sp["numCategories"] > 0:
                     self.cats[i] = set(sp["leftCategoriesOrThreshold"])
@@ -51,8 +59,28 @@ class Tree:
                     self.thr[i] = sp["leftCategoriesOrThreshold"][0]
 
     def expected_value(self) -> float:
-        leaves = self.left < 0
-        return float((self.value[leaves] * self.cover[leaves]).sum() / self.cover[0])
+        return float(sum(value * self.cover[leaf] for leaf, value in self.leaves()) / self.cover[0])
+
+    def leaves(self) -> list:
+        """(node, value) of the leaves that can be reached."""
+        out, work = [], [0]
+        while work:
+            node = work.pop()
+            if self.left[node] < 0:
+                out.append((node, self.value[node]))
+            else:
+                work += [self.left[node], self.right[node]]
+        return out
+
+    def importances(self, n_features: int) -> np.ndarray:
+        """Impurity decrease per feature, of the splits that can be reached; sums to 1 if there are any."""
+        total, work = np.zeros(n_features), [0]
+        while work:
+            node = work.pop()
+            if self.left[node] >= 0:
+                total[self.feat[node]] += self.gain[node] * self.cover[node]
+                work += [self.left[node], self.right[node]]
+        return total / total.sum() if total.sum() > 0 else total
 
     def predict(self, X: np.ndarray) -> np.ndarray:
         node = np.zeros(len(X), dtype=int)
@@ -146,8 +174,10 @@ def tree_shap(tree: Tree, X: np.ndarray) -> np.ndarray:
     return phi
 
 
-def load_trees(model) -> List[Tree]:
-    """Node tables of a DecisionTree / RandomForest classification model."""
+def load_trees(model, min_split: int = 0) -> List[Tree]:
+    """Node tables of a tree or forest, from Spark ML or already loaded (``model.trees`` as a list)."""
+    if isinstance(getattr(model, "trees", None), list) and model.trees and isinstance(model.trees[0], Tree):
+        return model.trees
     spark = _active()
     path = f"{checkpoint_dir(spark).rstrip('/')}/evenkeel-trees-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
@@ -157,8 +187,8 @@ def load_trees(model) -> List[Tree]:
         by: Dict[int, list] = {}
         for r in rows:
             by.setdefault(r["treeID"], []).append(r.asDict())
-        return [Tree(by[k]) for k in sorted(by)]
-    return [Tree([r.asDict() for r in data.collect()])]
+        return [Tree(by[k], min_split) for k in sorted(by)]
+    return [Tree([r.asDict() for r in data.collect()], min_split)]
 
 
 def _active():

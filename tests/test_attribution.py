@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from evenkeel.operators import explain, newton, treeshap
+from evenkeel.operators import explain, models, newton, treeshap
 
 
 def _data(spark, n=300):
@@ -132,3 +132,24 @@ def test_linear_walks_are_exact():
     x, base, w = rng.normal(size=(20, 5)), rng.normal(size=(1, 5)), rng.normal(size=5)
     phi = explain.walks(x, np.arange(20, dtype=np.uint64), base, lambda z: z @ w, 3)
     assert np.allclose(phi, (x - base) * w)
+
+
+def test_forest_splits_no_small_node(spark):
+    df = _data(spark).withColumn("y_true", F.col("y_true").cast("int"))
+    grown = RandomForestClassifier(numTrees=8, maxDepth=7, labelCol="y_true", seed=3).fit(df)
+    as_grown, pruned = models.Forest(grown, 0), models.Forest(grown, 40)
+    p = {r["row_id"]: r["p"] for r in grown.transform(df).select("row_id", vector_to_array("probability")[1].alias("p")).collect()}
+    same = {r["row_id"]: r["score"] for r in models.score(as_grown, df, "m", ["row_id"]).collect()}
+    assert all(same[i] == pytest.approx(v, abs=1e-9) for i, v in p.items())
+    assert np.allclose(as_grown.featureImportances.toArray(), grown.featureImportances.toArray(), atol=1e-9)
+    for t, full in zip(pruned.trees, as_grown.trees):
+        inner = np.flatnonzero(t.left >= 0)
+        assert (t.rows[inner] >= 40).all() and len(t.leaves()) < len(full.leaves())
+        # Every collapsed node had been split below the minimum, and what is above it is as grown.
+        gone = np.setdiff1d(np.flatnonzero(full.left >= 0), inner)
+        assert (full.rows[gone] < 40).all() and (t.feat[inner] == full.feat[inner]).all()
+    attr = treeshap.tree_attribution(pruned, df, ["a", "b", "c", "d"], ["row_id"])
+    scores = {r["row_id"]: r["score"] for r in models.score(pruned, df, "m", ["row_id"]).collect()}
+    base = treeshap.expected_value(pruned)
+    for r in attr.groupBy("row_id").agg(F.sum("phi").alias("s")).collect():
+        assert r["s"] == pytest.approx(scores[r["row_id"]] - base, abs=1e-9)
