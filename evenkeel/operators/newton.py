@@ -171,10 +171,11 @@ def fit(train: DataFrame, weight_col: Optional[str] = None, label: str = "y_true
         rows.unpersist()
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores: a fit reads them many times, however few files they came in."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores: a fit reads them many times, however few files they came in. By hash of
+    ``keys``, if given, so that every run deals them alike."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def group_codes(batch: pa.RecordBatch, groups: List[str]) -> np.ndarray:
