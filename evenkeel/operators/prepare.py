@@ -263,7 +263,6 @@ class Prepared:
     onehot: OneHot
     scaler: Scaler
     spec: AuditSpec
-    keys: Sequence[str] = ()
 
     @property
     def layout(self) -> tuple:
@@ -324,13 +323,7 @@ def prepare(df: DataFrame, spec: AuditSpec, key_cols: Optional[Sequence[str]] =
     out = assembler.transform(enc).select(*keep, "features")
     for s in sens:
         out = out.withColumnRenamed(f"sens_{s}", s)
-    return Prepared(out.where(~F.col("is_test")), out.where(F.col("is_test")), imputer, onehot, scaler, spec,
-                    [k for k in key_cols if k in out.columns])
-
-
-def write_prepared(p: Prepared) -> Prepared:
-    """Both splits as written tables for the iterative fits: nothing is left persisted, and a lost
-    executor costs only its tasks. Few rows from few files are dealt over all cores by their key."""
-    p.train, p.test = (written(spread(d, *p.keys).sortWithinPartitions(*p.keys) if p.keys else d, name)
-                       for d, name in ((p.train, "train"), (p.test, "test")))
-    return p
+    # Written once for the iterative fits: nothing is left persisted, and a lost executor costs only its
+    # tasks. Few rows from few files are dealt over all cores by their key.
+    out = written(spread(out, *key_cols).sortWithinPartitions(*key_cols), "prepared")
+    return Prepared(out.where(~F.col("is_test")), out.where(F.col("is_test")), imputer, onehot, scaler, spec)

@@ -27,7 +27,7 @@ DOC_SPEC = AuditSpec(
 def _order_prepared(spark: SparkSession, sf: str) -> prepare.Prepared:
     d = views.order_audit(spark, sf).df.select(
         "row_id", "y_true", "c_mktsegment", "o_orderstatus", "o_orderpriority", "r_name", "c_acctbal")
-    return prepare.write_prepared(prepare.prepare(d, ORDER_SPEC))
+    return prepare.prepare(d, ORDER_SPEC)
 
 
 def _order_context(spark: SparkSession, sf: str) -> strategies.Context:
@@ -42,7 +42,7 @@ def _doc_prepared(spark: SparkSession, sf: str) -> prepare.Prepared:
     d = labels.join(docs, "doc_id").select(F.col("doc_id").alias("row_id"),
                                            F.col("quality").alias("y_true"), "toxic", "n_chars",
                                            "lang", "source")
-    return prepare.write_prepared(prepare.prepare(d, DOC_SPEC))
+    return prepare.prepare(d, DOC_SPEC)
 
 
 def q_train_audit(spark: SparkSession, sf: str) -> DataFrame:
