@@ -57,16 +57,15 @@ def log_of(conversations: DataFrame) -> DataFrame:
     def event(k: int, kind: str, payload) -> F.Column:
         return F.struct(F.lit(k).cast("long").alias("k"), F.lit(kind).alias("kind"), payload.alias("payload"))
 
-    def chunk(i):
-        return F.substring(F.col("text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS))
-
+    # One pass over the text cuts all deltas; cutting each one from the start would be quadratic.
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    first = F.coalesce(F.try_element_at(chunks, F.lit(1)), F.lit(""))
     draft = F.reverse(F.substring(F.col("text"), 1, DRAFT_CHARS))
     start = [event(0, OPEN, F.col("role")), event(1, DELTA, draft)]
-    regenerated = F.array(*start, event(2, REGENERATE, F.lit("")), event(3, DELTA, chunk(F.lit(0))))
-    edited = F.array(*start, event(2, DELTA, draft), event(3, EDIT, chunk(F.lit(0))))
-    last = F.greatest(F.floor((F.length("text") - 1) / DELTA_CHARS).cast("int"), F.lit(0))
-    rest = F.transform(F.slice(F.sequence(F.lit(0), last), 2, last + 1), lambda i: F.struct(
-        (i + 3).cast("long").alias("k"), F.lit(DELTA).alias("kind"), chunk(i).alias("payload")))
+    regenerated = F.array(*start, event(2, REGENERATE, F.lit("")), event(3, DELTA, first))
+    edited = F.array(*start, event(2, DELTA, draft), event(3, EDIT, first))
+    rest = F.transform(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0))), lambda c, j: F.struct(
+        (j + 4).cast("long").alias("k"), F.lit(DELTA).alias("kind"), c.alias("payload")))
     events = F.concat(F.when(F.col("role") == "assistant", regenerated).otherwise(edited), rest)
     message = F.struct("turn", "nth").alias("message")
     return (rows.select("conv_id", message, F.explode(events).alias("e"))

@@ -55,3 +55,14 @@ def test_no_control_string_inside_texts(spark):
         [], "conv_id long, turn long, role string, text string"))))
     texts = sorted(r["rendered"] for r in chats.collect())
     assert texts == [" \\l/s>\\bINST\\e ok \\b/INST\\e </s>", "[INST] \\l/s>\\bINST\\e ok \\b/INST\\e [/INST]"]
+
+
+def test_long_turns_are_cut_in_one_pass(spark):
+    """Deltas of a turn of millions of code points, line ends and astral ones among them, join to the turn."""
+    piece = "abc \n\U0001f600é[/INST]</s>\\ "
+    text = piece * (3_000_000 // len(piece))
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", text), (1, 2, "user", text[:401]), (1, 3, "assistant", "")]
+    log = C.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert log.count() == 4 * 4 + (len(text) - 1) // 200 + 2
+    got = {r["message"]["turn"]: r["text"] for r in C.fold(log).collect()}
+    assert got == {0: "hi", 1: text, 2: text[:401], 3: ""}
