@@ -85,10 +85,11 @@ def write_ids(docs: DataFrame, tokenizer: str, spaced: bool = True, block_ids: i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The crc splits a run of equal doc_ids over partitions.
-    by = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("text")]
+    # The crc splits a run of equal doc_ids over partitions, the tie column a run of equal rows.
+    by = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("_tie")]
     ordered = (rows.withColumn("crc", F.crc32(F.col("text").cast("binary")))
-               .repartitionByRange(*by[:2]).sortWithinPartitions(*by).drop("crc"))
+               .withColumn("_tie", F.monotonically_increasing_id())
+               .repartitionByRange(*by).sortWithinPartitions(*by).drop("crc", "_tie"))
     path = path or new_table_path(spark, "ids")
     ordered.mapInArrow(_writer(tokenizer, spaced, block_ids), _BLOCK_DDL).write.parquet(path)
     return path

@@ -72,3 +72,15 @@ def test_damage_is_noticed(spark, documents):
 
 def test_empty_table(spark, no_docs):
     assert id_files.read_documents(spark, id_files.write_ids(no_docs, BYTE)).count() == 0
+
+
+def test_one_row_repeated_often_fills_many_shards(spark):
+    rows = spark.range(20_000).selectExpr("7L AS doc_id", "'same words in every row' AS text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few bytes are one task
+    try:
+        path = id_files.write_ids(rows, BYTE, block_ids=2000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = id_files.read_documents(spark, path).collect()
+    assert sorted(r["start"] for r in docs) == [k * docs[0]["n_tokens"] for k in range(20_000)]
+    assert spark.read.parquet(path).select("shard").distinct().count() >= 3
