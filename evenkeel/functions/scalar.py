@@ -95,7 +95,7 @@ def compound_cell(y: ColumnOrName, is_priv: ColumnOrName) -> Column:
 
 
 def direction_label(diff: ColumnOrName) -> Column:
-    """Sign of an attribution difference in words."""
+    """Sign of an attribution difference in words (fixed values of the report)."""
     return F.when(col_of(diff) > 0, "Favors Privileged").otherwise("Favors Unprivileged")
 
 
