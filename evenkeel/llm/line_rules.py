@@ -3,14 +3,15 @@
 Lines are normalised (words joined by one space, ASCII letters lowered,
 digits as 0), hashed with their host and counted per host in *distinct
 documents*. So that copies of one document don't make its own lines look
-like boilerplate, every document carries a signature (the least hash over
-its five-word windows) and the count of a line is the effective number of
-distinct documents, ``n^2 / sum(n_s^2)`` over the signatures ``s`` of the
-``n`` documents with the line: n for unrelated documents, about one for
-copies and near copies of one text. That count misses a line where copies of
-one text dominate the documents that hold it, so ``kept_documents`` also counts
-documents with their copies collapsed (``lines_of_groups``). Lines above the
-limit are removed; a document that keeps too few of its words is depleted and rejected, and
+like boilerplate, each line of a document carries four signatures of the
+*rest* of it (least hashes over its five-word windows outside the line):
+documents whose rests agree in all of them are one, and a document weighs one
+over the documents with the line that share a signature. Documents with
+different rests count one each, however little of them is left beside the
+line; any number of copies counts
+once, near copies of one text count about one together, and copies of one
+text take nothing from the count of the others. Lines above the limit are
+removed; a document that keeps too few of its words is depleted and rejected, and
 ``kept_documents`` returns the others without these lines.
 
 Defined results: null and empty texts have no words (all counts 0, base
@@ -34,14 +35,14 @@ from evenkeel.session import written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Content-defined sample for the signature: windows whose byte length is a multiple of this.
+#: Content-defined sample for the signatures: windows whose byte length is a multiple of this.
 SAMPLE = 16
-#: Independent signatures of a document: it is a copy where it shares any of them.
+#: Independent signatures of a rest: documents are copies where they share any of them.
 SIGNATURES = 4
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is boilerplate of its host above this effective number of distinct documents.
+#: A line is boilerplate of its host above this number of distinct documents.
 LINE_LIMIT = 10.0
 #: A document is depleted when fewer words, or a smaller share of them, remain.
 LEFT_WORDS = 10
@@ -77,31 +78,51 @@ def repeat_words(words: list[bytes]) -> int:
     return int(np.count_nonzero(np.cumsum(cover[:-1])))
 
 
-def signatures(words: list[bytes]) -> list[int]:
-    """Least values of independent hashes over the sampled five-word windows; over all words if none is sampled."""
-    n = len(words) - WINDOW + 1
-    if n > 0:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        total = np.concatenate(([0], np.cumsum(size)))
-        length = total[WINDOW:] - total[:n] + (WINDOW - 1)
-        picked = np.flatnonzero(length % SAMPLE == 0)
-        if len(picked):
-            return _least([_first8(b" ".join(words[i:i + WINDOW])) for i in picked])
-    return _least([_first8(b" ".join(words))])
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    """One row per digest: its eight bytes at 0, 4, 8 and 12 (cyclic), as unsigned numbers."""
+    twice = np.frombuffer(b"".join(d + d for d in digests), np.uint8).reshape(len(digests), 32)
+    return np.stack([np.ascontiguousarray(twice[:, 4 * k:4 * k + 8]).view(">u8")[:, 0].astype(np.uint64)
+                     for k in range(SIGNATURES)], axis=1)
 
 
-def signature(words: list[bytes]) -> int:
-    """The first of the signatures, the least hash itself."""
-    return signatures(words)[0]
+def rest_signatures(words: list[bytes], owner: np.ndarray, normal: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Signatures of a text without one of its lines: those that most lines have, and other lines' own.
 
-
-def _least(hashes: list[int]) -> list[int]:
-    h = np.array(hashes, np.uint64)
-    out = [int(h.min())]
-    for m in _MULT[:SIGNATURES - 1]:
-        x = (h ^ (h >> np.uint64(31))) * m
-        out.append(int((x ^ (x >> np.uint64(29))).min()))
-    return out
+    ``owner`` is the line of each word, ``normal`` the normalised lines. A signature is the least
+    hash over the sampled windows that don't touch the line; over all other lines where no window is left.
+    """
+    at = np.zeros(0, np.int64)
+    n = len(words) - WINDOW + 1
+    if n > 0:
+        total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+        at = np.flatnonzero((total[WINDOW:] - total[:n] + (WINDOW - 1)) % SAMPLE == 0)
+    if not len(at):
+        return np.zeros(SIGNATURES, np.uint64), _without(normal, range(len(normal)))
+    hashes = _hashes([md5(b" ".join(words[i:i + WINDOW])).digest() for i in at])
+    touched = owner[at[:, None] + np.arange(WINDOW)]
+    least = hashes.argmin(axis=0)
+    own, bare = {}, []
+    for line in np.unique(touched[least]).tolist():
+        free = ~(touched == line).any(axis=1)
+        if free.any():
+            own[line] = hashes[free].min(axis=0)
+        else:
+            bare.append(line)
+    return hashes.min(axis=0), own | _without(normal, bare)
+
+
+def _without(normal: list[bytes], lines) -> dict[int, np.ndarray]:
+    """Least hashes of all other lines, for each of ``lines``."""
+    lines = list(lines)
+    if not lines:
+        return {}
+    if len(normal) == 1:
+        return {lines[0]: _hashes([md5(b"").digest()])[0]}
+    hashes = _hashes([md5(x).digest() for x in normal])
+    order = np.argpartition(hashes, 1, axis=0)[:2]
+    columns = np.arange(SIGNATURES)
+    first, second = hashes[order[0], columns], hashes[order[1], columns]
+    return {i: np.where(order[0] == i, second, first) for i in lines}
 
 
 def text_stats(text: bytes) -> tuple[int, int, int, int, int]:
@@ -122,19 +143,36 @@ def _tag(host: bytes | None) -> bytes:
     return b"\x01\x00" if host is None else b"\x02" + host + b"\x00"
 
 
+def _normal(words: list[bytes]) -> bytes:
+    return b" ".join(words).translate(_FOLD)
+
+
 def _line_hash(tag: bytes, words: list[bytes]) -> int:
-    return _signed(_first8(tag + b" ".join(words).translate(_FOLD)))
+    return _signed(_first8(tag + _normal(words)))
 
 
-def distinct_lines(text: bytes, host: bytes | None) -> tuple[list[int], list[int], list[int]]:
-    """Hashes of (host, normalised line) of the distinct lines with a word, their words, their counts."""
+def distinct_lines(text: bytes, host: bytes | None) -> tuple[list[int], list[int], list[int], list[int], list[dict]]:
+    """(hashes, words, counts) of the distinct (host, normalised line) with a word; the signatures of the
+    text without a line, as most lines have them; and the lines with others, with theirs."""
     tag = _tag(host)
-    lines: dict[int, list[int]] = {}
+    lines: dict[int, list] = {}
+    words, owner, sizes = [], [], []
     for line in text.split(b"\n"):
-        words = line.split()
-        if words:
-            lines.setdefault(_line_hash(tag, words), [len(words), 0])[1] += 1
-    return list(lines), [n for n, _ in lines.values()], [c for _, c in lines.values()]
+        part = line.split()
+        if part:
+            key = _line_hash(tag, part)
+            held = lines.setdefault(key, [len(part), 0, len(lines), part])
+            held[1] += 1
+            words += part
+            owner.append(held[2])
+            sizes.append(len(part))
+    if not words:
+        return [], [], [], [], []
+    rows = list(lines.values())
+    sigs, own = rest_signatures(words, np.repeat(owner, sizes), [_normal(r[3]) for r in rows])
+    keys = list(lines)
+    odd = [{"line": keys[i], "sigs": v.view(np.int64).tolist()} for i, v in own.items()]
+    return keys, [r[0] for r in rows], [r[1] for r in rows], sigs.view(np.int64).tolist(), odd
 
 
 def without_lines(text: bytes, host: bytes | None, gone: list[int]) -> bytes:
@@ -149,10 +187,12 @@ def without_lines(text: bytes, host: bytes | None, gone: list[int]) -> bytes:
 
 _STATS = pa.schema([
     ("mark", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
-    ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("sig", pa.int64()),
-    ("sigs", pa.list_(pa.int64())), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32())), ("line_counts", pa.list_(pa.int32()))])
+    ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
+    ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32())), ("line_counts", pa.list_(pa.int32())),
+    ("sigs", pa.list_(pa.int64())), ("odd", pa.list_(pa.struct([("line", pa.int64()), ("sigs", pa.list_(pa.int64()))])))])
 _DDL = ("mark binary, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "sig long, sigs array<long>, lines array<long>, line_words array<int>, line_counts array<int>")
+        "lines array<long>, line_words array<int>, line_counts array<int>, sigs array<long>, "
+        "odd array<struct<line: long, sigs: array<long>>>")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +203,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks, docs = part.column("mark").to_pylist(), part.column("doc_id").to_pylist()
             for name, doc, host, text in zip(marks, docs, hosts, texts_of(part.column("text"))):
                 stats = text_stats(text)
-                lines, words, counts = distinct_lines(text, host)
-                sigs = list(map(_signed, signatures(text.split())))
-                row = (name, doc, *stats, sigs[0], sigs, lines, words, counts)
+                row = (name, doc, *stats, *distinct_lines(text, host))
                 for c, v in zip(cols, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STATS)], schema=_STATS)
@@ -180,30 +218,20 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame:
-    """Hashes of (host, line) above the limit of effectively distinct documents."""
-    per_sig = (measured.select("sig", F.explode("lines").alias("line"))
-               .groupBy("line", "sig").agg(F.count(F.lit(1)).alias("n")))
-    n = F.sum("n")
-    squares = F.sum(F.col("n").cast("double") * F.col("n"))
-    per_line = per_sig.groupBy("line").agg(n.alias("n_docs"), squares.alias("sq"))
-    return (per_line.where(F.col("n_docs").cast("double") * F.col("n_docs") > F.lit(float(limit)) * F.col("sq"))
-            .select("line"))
-
-
-def lines_of_groups(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame:
     """Hashes of (host, line) held by more than ``limit`` documents, copies and near copies collapsed.
 
-    Documents equal in all signatures are one unit. A unit weighs one over the units with the line
-    that share a signature with it, by the signature that most of them share: any number of copies
-    adds nothing, a group of near copies about one, and unrelated documents one each. No links are
-    chained, so documents that have a boilerplate passage in common do not all become one.
+    Documents whose rests agree in all signatures are one unit. A unit weighs one over the units with
+    the line that share a signature with it, by the signature that most of them share: any number of
+    copies adds nothing, a group of near copies about one, and unrelated documents one each. No links
+    are chained, so documents that have a passage in common do not all become one.
     """
-    # No line of so few documents can pass; the others are few. Written before the join, as above.
+    # No line of so few documents can pass; the others are few. Written before the join, so that the planner knows their size.
     often = (measured.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") > F.lit(float(limit))).select("line"))
     often = written(often, "often")
-    units = written(measured.select("sigs", F.explode("lines").alias("line")).join(often, "line")
-                    .select("line", "sigs").distinct(), "units")
+    plain = measured.select("sigs", F.explode(F.array_except("lines", "odd.line")).alias("line")).select("line", "sigs")
+    odd = measured.select(F.explode("odd").alias("o")).select("o.line", "o.sigs")
+    units = written(plain.unionByName(odd).join(often, "line").select("line", "sigs").distinct(), "units")
     shared = units.select("line", "sigs", F.posexplode("sigs").alias("k", "v"))
     sizes = written(shared.groupBy("line", "k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     alike = shared.join(sizes, ["line", "k", "v"], "left")
@@ -212,17 +240,12 @@ def lines_of_groups(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame
             .where(F.col("w") > F.lit(float(limit))).select("line"))
 
 
-def any_frequent(measured: DataFrame, limit: float = LINE_LIMIT) -> DataFrame:
-    """Lines above the limit by either count."""
-    return frequent_lines(measured, limit).unionByName(lines_of_groups(measured, limit)).distinct()
-
-
 def _judge(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LEFT_WORDS,
-           left_share: float = LEFT_SHARE, count=frequent_lines) -> DataFrame:
+           left_share: float = LEFT_SHARE) -> DataFrame:
     """Verdicts of ``apply_rules`` with the row's mark and ``gone``, the hashes of its frequent lines (null: none)."""
     measured = measure(docs)
     # Written, so that the planner knows the size of the frequent lines before it picks the join.
-    frequent = written(count(measured, limit), "frequent")
+    frequent = written(frequent_lines(measured, limit), "frequent")
     pieces = F.arrays_zip("lines", "line_words", "line_counts")
     removed = (measured.select("row", F.explode(pieces).alias("p"))
                .select("row", F.col("p.lines").alias("line"),
@@ -232,7 +255,7 @@ def _judge(docs: DataFrame, limit: float = LINE_LIMIT, left_words: int = LEFT_WO
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < left_words) | (left < F.lit(left_share) * F.col("n_words")))
-    return (measured.drop("lines", "line_words", "line_counts", "sig", "sigs")
+    return (measured.drop("lines", "line_words", "line_counts", "sigs", "odd")
             .join(removed, "row", "left").drop("row")
             .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
             .withColumn("base_failed", base)
@@ -270,7 +293,7 @@ def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     A verdict follows from the row's doc_id, source and text (and the table), so rows that are equal in
     these share it, and all others have their own.
     """
-    verdict = _judge(docs, count=any_frequent, **limits).where("kept").select("mark", "gone").dropDuplicates(["mark"])
+    verdict = _judge(docs, **limits).where("kept").select("mark", "gone").dropDuplicates(["mark"])
     name = fresh(docs, "mark")
     gone = fresh(docs.withColumn(name, F.lit(1)), "gone")
     rows = docs.withColumn(name, mark(*JUDGED)).join(written(verdict, "verdict").toDF(name, gone), name)
@@ -291,27 +314,43 @@ twice AS (SELECT rid, win FROM wins GROUP BY rid, win HAVING count(*) > 1),
 covered AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT wins.rid, unnest(range(i, i + 5)) AS p FROM wins JOIN twice USING (rid, win)) GROUP BY rid),
-sampled AS (
-  SELECT rid, min(md5(array_to_string(win, ' '))) AS sig FROM wins
-  WHERE strlen(array_to_string(win, ' ')) % {SAMPLE} = 0 GROUP BY rid),
-sigs AS (
-  SELECT words.rid, coalesce(s.sig, md5(array_to_string(w, ' '))) AS sig
-  FROM words LEFT JOIN sampled s USING (rid)),
 lines AS (
-  SELECT rid, source, ln, regexp_extract_all(ln, '[^\\x20\\x09-\\x0D]+') AS w
-  FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS ln FROM docs)),
+  SELECT rid, source, ln, k, regexp_extract_all(ln, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS k
+        FROM docs)),
 norm AS (
-  SELECT rid, source, len(w) AS nw,
+  SELECT rid, source, len(w) AS nw, sum(len(w)) OVER (PARTITION BY rid ORDER BY k) - len(w) AS start,
          translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
                    'abcdefghijklmnopqrstuvwxyz000000000') AS line
   FROM lines WHERE len(w) > 0),
 dups AS (SELECT rid, count(*) - count(DISTINCT ln) AS n_dup_lines FROM lines WHERE len(w) > 0 GROUP BY rid),
-per_sig AS (
-  SELECT source, line, sig, count(*) AS n
-  FROM (SELECT DISTINCT rid, source, line FROM norm) JOIN sigs USING (rid) GROUP BY source, line, sig),
+often AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT rid) > {LINE_LIMIT}),
+held AS (
+  SELECT DISTINCT n.rid, n.source, n.line FROM norm n
+  JOIN often o ON n.line = o.line AND n.source IS NOT DISTINCT FROM o.source),
+sampled AS (SELECT rid, i, md5(array_to_string(win, ' ')) AS h FROM wins WHERE strlen(array_to_string(win, ' ')) % {SAMPLE} = 0),
+place AS (SELECT rid, line, unnest(range((start + 1)::BIGINT, (start + nw + 1)::BIGINT)) AS p FROM norm),
+touched AS (
+  SELECT DISTINCT s.rid, s.i, place.line
+  FROM (SELECT rid, i, unnest(range(i, i + 5)) AS p FROM sampled) s JOIN place USING (rid, p)),
+free AS (
+  SELECT rid, held.source, held.line, h FROM held JOIN sampled USING (rid)
+  ANTI JOIN touched t ON t.rid = held.rid AND t.i = sampled.i AND t.line = held.line),
+rest AS (
+  SELECT rid, source, line, h FROM free
+  UNION ALL
+  SELECT b.rid, b.source, b.line, md5(coalesce(n.line, ''))
+  FROM (SELECT * FROM held ANTI JOIN free ON free.rid = held.rid AND free.line = held.line) b
+  LEFT JOIN norm n ON n.rid = b.rid AND n.line <> b.line),
+units AS (
+  SELECT DISTINCT source, line, s0, s1, s2, s3 FROM (
+    SELECT rid, source, line, {', '.join(f"min(substr(h || h, {8 * k + 1}, 16)) AS s{k}" for k in range(SIGNATURES))}
+    FROM rest GROUP BY rid, source, line)),
+weights AS (
+  SELECT source, line, 1.0::DOUBLE / greatest({', '.join(
+      f"count(*) OVER (PARTITION BY source, line, s{k})" for k in range(SIGNATURES))}) AS w FROM units),
 frequent AS (
-  SELECT source, line FROM per_sig GROUP BY source, line
-  HAVING sum(n)::DOUBLE * sum(n)::DOUBLE > {LINE_LIMIT} * sum(n::DOUBLE * n::DOUBLE)),
+  SELECT source, line FROM weights GROUP BY source, line HAVING round(sum(w), 6) > {LINE_LIMIT}),
 removed AS (
   SELECT rid, sum(nw) AS removed_words FROM norm
   JOIN frequent f ON norm.line = f.line AND norm.source IS NOT DISTINCT FROM f.source GROUP BY rid),

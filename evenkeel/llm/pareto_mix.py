@@ -7,7 +7,8 @@ weight. Inside a source a document's expected number of copies is
 (longer documents are likelier) and ``c`` makes the expectations add up to
 the target. The whole part of it is taken for certain; for the fraction
 ``pi`` documents are ranked by random odds over inclusion odds,
-``u/(1-u) * (1-pi)/pi`` with ``u`` a hash of doc_id and seed, and taken in
+``u/(1-u) * (1-pi)/pi`` with ``u`` a hash of the row (doc_id, source, text, its
+number among equal rows) and seed, and taken in
 that order up to a sample size fixed in words. A few documents per source
 then settle what the last one over- or undershot, where that helps.
 
@@ -16,8 +17,8 @@ The ranking never sorts a whole source in one task: words are summed in
 ordered.
 
 Defined results: null text has size 0; null source is a source of its own,
-last in order; equal rows under one doc_id share a rank and are
-interchangeable; an empty table or one without words takes nothing; extra
+last in order; rows that share a doc_id, or have none, are drawn one by one;
+equal rows are numbered and interchangeable; an empty table or one without words takes nothing; extra
 columns are not read.
 """
 
@@ -26,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import fresh, n_words
+from evenkeel.llm.common import fresh, mark, n_words
+from evenkeel.operators.numbering import rank_within, sorted_table
 from evenkeel.session import written
 
 WEIGHTS = (5, 2, 1)
@@ -35,6 +37,8 @@ SEED = 11
 BINS = 4096
 #: Documents per source that may settle what the sample over- or undershot.
 SETTLE = 3
+#: The columns that name a row; rows equal in them are numbered.
+NAMED = ("doc_id", "source", "text")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -80,13 +84,21 @@ def copy_levels(sizes: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of ``docs`` (doc_id, source, text)."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
-    rows = docs.select(
+    return _drawn(docs, F.monotonically_increasing_id(), weights, cap, seed).drop("place")
+
+
+def _drawn(docs: DataFrame, place: F.Column, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
+           seed: int = SEED) -> DataFrame:
+    """``mix`` with ``place``, the number that names the row in ``docs``."""
+    rows = written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        n_words(F.col("text").cast("string")).alias("size"),
-        ((F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)).alias("u"))
-    rows = written(rows.withColumn("rate", F.length(F.bin("size")).cast("long"))
-                   .withColumn("row", F.monotonically_increasing_id()), "mix")
+        n_words(F.col("text").cast("string")).alias("size"), mark(*NAMED).alias("mark"), place.alias("place")), "mix_rows")
+    # Equal rows get numbers without meeting in one task: they are sorted by place and cut anywhere.
+    rows = rank_within(sorted_table(rows, ["mark"], ["place"], "mix_order"), ["mark"], "copy")
+    digest = F.md5(F.concat(F.lower(F.hex("mark")), F.lit(":"), F.col("copy").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    rows = written(rows.select("doc_id", "source", "size", "place", "row", F.length(F.bin("size")).cast("long").alias("rate"),
+                               ((F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)).alias("u")),
+                   "mix")
     per_class = written(rows.groupBy("source", "rate").agg(F.sum("size").alias("size")), "classes")
     goal = written(targets(per_class, weights, cap), "targets")
     keyed_goal = goal.select(F.col("source").alias("_source"), "target")
@@ -118,12 +130,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     drawn = placed.join(ends, F.col("row") == F.col("_row"), "left").withColumn(
         "extra", (F.coalesce(F.col("end") <= F.col("quota"), F.lit(False)) | F.col("_row").isNotNull()).cast("long"))
     state = written(drawn.select("doc_id", "source", "size", "whole", (F.col("whole") + F.col("extra")).alias("copies"),
-                                 "u", "row"), "drawn")
+                                 "u", "row", "place"), "drawn")
     for _ in range(SETTLE):
         state = written(_settled(state, goal, cap), "settled")
     return (state.join(goal.withColumnRenamed("source", "_s"), F.expr("source <=> _s"))
-            .select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"),
-                    (F.col("copies") * F.col("size")).cast("long").alias("taken")))
+            .select("place", "doc_id", "source", "size", "source_size", "target",
+                    F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")))
 
 
 def _settled(state: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
@@ -146,13 +158,14 @@ def _settled(state: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns.
 
-    Counts join back on doc_id; rows that share a doc_id all follow its largest count.
+    ``docs`` is written once with a number per row; counts join back on that number.
     """
-    doc, times = fresh(docs, "mixed_doc"), fresh(docs, "mixed_times")
-    copies = (mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-              .select(F.col("doc_id").alias(doc), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times)))
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias(times)).drop(times)
+    name, place, times = (fresh(docs, n) for n in ("mixed_row", "mixed_place", "mixed_times"))
+    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "mix_docs")
+    copies = (_drawn(rows, F.col(f"`{name}`"), **options).where("copies > 0")
+              .select(F.col("place").alias(place), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times)))
+    joined = rows.join(written(copies, "mix_copies"), F.col(f"`{name}`") == F.col(place))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(times).alias(times)).drop(times)
 
 
 def oracle(table: str = "documents", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> str:
@@ -169,10 +182,12 @@ drawn{i + 1} AS (
   FROM drawn{i} d LEFT JOIN (SELECT rid, step FROM fits{i} WHERE k = 1) f USING (rid))""" for i in range(SETTLE))
     return f"""
 WITH rows AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}'), 1, 12))::BIGINT + 0.5::DOUBLE)
-      / 281474976710656.0::DOUBLE AS u, row_number() OVER () AS rid
-  FROM {table}),
+  SELECT *, (('0x' || substr(md5(mark || ':' || (row_number() OVER (PARTITION BY mark)) || ':{seed}'), 1, 12))::BIGINT
+      + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+          row_number() OVER () AS rid,
+          md5({" || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in NAMED)}) AS mark
+        FROM {table})),
 rated AS (SELECT *, length(CASE WHEN size = 0 THEN '0' ELSE ltrim(bin(size), '0') END)::BIGINT AS rate FROM rows),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -83,9 +83,44 @@ def test_a_dominant_copy_group_hides_no_line(spark):
         changed[i % 20] = words(12)
         rows.append((2000 + i, "\n".join(changed), "near"))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    assert R.frequent_lines(R.measure(df)).count() == 0  # 300^2 / (100^2 + 200) = 8.8
     for copies in (0, 100, 3000):
         more = spark.createDataFrame([(5000 + i, rows[0][1], "h") for i in range(copies)], df.schema)
-        assert R.lines_of_groups(R.measure(df.unionByName(more))).count() == 1
+        assert R.frequent_lines(R.measure(df.unionByName(more))).count() == 1
     out = {r["doc_id"]: r["text"] for r in R.kept_documents(df).collect()}
     assert out == {i: t.removesuffix("\n" + notice) for i, t, _ in rows}
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+
+
+def test_query_and_stage_agree_on_a_host_of_depleted_documents(spark):
+    rng = random.Random(5)
+    line, own = _words(rng, 49), _words(rng, 60)
+    rows = [(i, own + "\n" + line, "h") for i in range(1000)]
+    rows += [(1000 + i, _words(rng, 3) + "\n" + line, "h") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r["doc_id"]: r for r in R.apply_rules(df).collect()}
+    assert all(r["removed_words"] == 49 for r in got.values())
+    assert all(got[i]["kept"] for i in range(1000)) and not any(got[1000 + i]["kept"] for i in range(2000))
+    left = {r["doc_id"]: r["text"] for r in R.kept_documents(df).collect()}
+    assert left == {i: own for i in range(1000)}
+
+
+def test_copies_never_lower_a_count(spark):
+    rng = random.Random(6)
+    line = _words(rng, 9)
+    rows = [(i, _words(rng, 40) + "\n" + line, "h") for i in range(11)]
+    for copies in (0, 1, 50, 2000):
+        more = rows + [(100 + i, rows[0][1], "h") for i in range(copies)]
+        df = spark.createDataFrame(more, "doc_id long, text string, source string").repartition(3)
+        assert R.frequent_lines(R.measure(df)).count() == 1
+
+
+def test_removed_words_are_those_the_stage_removes(spark, documents):
+    rules = {r["doc_id"]: r for r in R.apply_rules(documents).collect()}
+    before = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    after = {r["doc_id"]: r["text"] or "" for r in R.kept_documents(documents).collect()}
+    assert set(after) == {i for i, r in rules.items() if r["kept"]}
+    for i, text in after.items():
+        assert len(before[i].encode().split()) - len(text.encode().split()) == rules[i]["removed_words"]

@@ -109,12 +109,33 @@ def test_words_count_like_the_contract(odd_docs, odd_rows):
 
 
 def test_mixed_documents_repeat_rows(odd_docs):
-    copies = {r["doc_id"]: r["c"] for r in M.mix(odd_docs).groupBy("doc_id").agg(F.max("copies").alias("c")).collect()}
+    want = Counter()
+    for r in M.mix(odd_docs).collect():
+        want[r["doc_id"]] += r["copies"]
     out = M.mixed_documents(odd_docs)
     assert out.columns == odd_docs.columns
-    n = Counter(r["doc_id"] for r in out.collect())
-    for doc, c in copies.items():
-        assert n.get(doc, 0) == c * (2 if doc == 106 else 1)
+    assert Counter(r["doc_id"] for r in out.collect()) == +want
+
+
+def test_each_row_is_drawn_by_itself(spark):
+    """A third of the rows has no doc_id, some share one, some are equal: the mix has the words that it counts."""
+    rows = [(None if i % 3 == 0 else 7 if i % 10 == 1 else i, " ".join(f"w{i}" for _ in range(20 + i * 37 % 150)),
+             f"s{i % 4 // 2}", i) for i in range(1500)]
+    rows += [(None, "the very same row again", "s1", 9000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place int").repartition(4)
+    got = M.mix(df).collect()
+    _check_mix(got)
+    out = M.mixed_documents(df).collect()
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in got)
+    times = Counter(r["place"] for r in out)
+    texts = defaultdict(Counter)
+    for r in got:
+        texts[(r["doc_id"], r["source"], r["size"])][r["copies"]] += 1
+    drawn = defaultdict(Counter)
+    for d, t, s, place in rows:
+        drawn[(d, s, len(t.split()))][times[place]] += 1
+    assert drawn == texts
+    assert len({r["copies"] for r in got if r["doc_id"] is None}) > 1
 
 
 def test_long_and_certain_copies_come_first():
