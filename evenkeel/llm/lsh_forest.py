@@ -4,8 +4,13 @@ Texts are sets of five-word shingles (fewer words: one shingle of all of
 them). Equal word sequences are collapsed to one representative first.
 Every tree of the forest labels a text with a sequence of minhash values;
 texts that share a label prefix meet in a node of that tree's prefix trie.
-Prefixes start at the full depth and are shortened until the chance that a
-pair at the threshold meets in some tree reaches the target recall.
+All texts are matched by their whole labels first. From what a text has met,
+weighed by the chance that a text so similar shares a label (the
+Horvitz-Thompson estimate of what it has missed), follows its recall so far.
+Texts that stay below the target, or have met nothing, go up the tries: their
+prefixes are shortened by one value and meet all texts with that prefix,
+those that have stopped too. No prefix is shorter than the longest one at
+which a pair at the threshold meets with the target recall in any case.
 
 The members of each node, sorted by signature, are compared with the
 node's leaders by estimated similarity, far below the threshold, and only a
@@ -42,6 +47,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 6
 RECALL = 0.999
+#: Estimated similarity of a met text that counts as a match: the threshold less two deviations of the estimate.
+MATCH = 0.72
+#: Standard deviation of the estimate at the threshold (96 values), taken off before a text may stop.
+ERROR = 0.04
 #: Estimated similarity from which a member needs no leader of its own, and from which it is related to one.
 #: A text linked (0.8) with a member near a leader (0.85) has similarity 0.65 or more with that leader.
 NEAR, RELATED = 0.85, 0.45
@@ -53,7 +62,7 @@ _U = np.uint64
 
 
 def prefix_length(depth: int = DEPTH, trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix, shortened from the full depth, at which a pair at the threshold is found often enough."""
+    """The shortest prefix that a text may need: the longest at which a pair at the threshold is found often enough."""
     k = depth
     while k > 1 and 1 - (1 - threshold ** k) ** trees < recall:
         k -= 1
@@ -110,18 +119,18 @@ def _sketcher(trees: int, depth: int, prefix: int):
                     first = np.concatenate(([0], ends[:-1]))
                     values = np.empty((len(full), len(params)), np.uint32)
                     work = np.empty_like(flat)
+                    tries = np.empty((len(full), depth - prefix + 1, trees), np.int64)
                     for j, p in enumerate(params):
                         np.multiply(flat, p, out=work)
                         values[:, j] = np.minimum.reduceat(work, first) >> _U(32)
                     for t in range(trees):
                         h = np.full(len(full), t + 1, _U)
-                        for d in range(prefix):
+                        for d in range(depth):
                             h = _mix(h * _U(0x9E3779B97F4A7C15) + values[:, t * depth + d])
-                        values_t = h.view(np.int64).tolist()
-                        for i, v in zip(full, values_t):
-                            if nodes[i] is None:
-                                nodes[i] = []
-                            nodes[i].append(v)
+                            if d + 1 >= prefix:
+                                tries[:, d + 1 - prefix, t] = h.view(np.int64)
+                    for i, v in zip(full, tries.reshape(len(full), -1)):
+                        nodes[i] = v
                     low = values.astype("<u2")
                     for k, i in enumerate(full):
                         sigs[i] = low[k].tobytes()
@@ -133,7 +142,7 @@ def _sketcher(trees: int, depth: int, prefix: int):
 
 # ---------------------------------------------------------------- nodes -> likely relations
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64())])
 
 
 class _Sets:
@@ -153,8 +162,8 @@ class _Sets:
         return x
 
 
-def _related(ids: np.ndarray, sigs: np.ndarray, leaders: dict) -> list[tuple[int, int]]:
-    """Forest edges of one node's (further) members; ``leaders`` carries its state between calls."""
+def _related(ids: np.ndarray, sigs: np.ndarray, leaders: dict) -> list[tuple[int, int, float]]:
+    """Forest edges, with estimated similarity, of one node's (further) members; ``leaders`` carries its state between calls."""
     edges = []
     for rep, sig in zip(ids.tolist(), sigs):
         n = leaders["n"]
@@ -166,10 +175,10 @@ def _related(ids: np.ndarray, sigs: np.ndarray, leaders: dict) -> list[tuple[int
             r = sets.find(k)
             if root is None:
                 root = r
-                edges.append((rep, leaders["ids"][k]))
+                edges.append((rep, leaders["ids"][k], float(alike[k])))
             elif r != root:
                 sets.up[r] = root
-                edges.append((rep, leaders["ids"][k]))
+                edges.append((rep, leaders["ids"][k], float(alike[k])))
         if not len(near) or alike[near].max() < NEAR:
             k = sets.new()
             if root is not None:
@@ -193,13 +202,14 @@ def _relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         sigs = np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), -1)
         cuts = np.concatenate(([0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, [len(nodes)]))
-        edges: list[tuple[int, int]] = []
+        edges: list[tuple[int, int, float]] = []
         # Pairs that are whole nodes inside the batch: all at once.
         size = np.diff(cuts)
         pairs = cuts[:-1][(size == 2) & (np.arange(len(size)) > 0) & (np.arange(len(size)) < len(size) - 1)]
         if len(pairs):
-            hit = pairs[(sigs[pairs] == sigs[pairs + 1]).mean(axis=1) >= RELATED]
-            edges += zip(ids[hit].tolist(), ids[hit + 1].tolist())
+            alike = (sigs[pairs] == sigs[pairs + 1]).mean(axis=1)
+            hit = pairs[alike >= RELATED]
+            edges += zip(ids[hit].tolist(), ids[hit + 1].tolist(), alike[alike >= RELATED].tolist())
         done = set(pairs.tolist())
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if start in done:
@@ -208,7 +218,51 @@ def _relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node = nodes[start]
                 leaders = {"n": 0, "ids": [], "sets": _Sets(), "sigs": np.zeros((8, sigs.shape[1]), sigs.dtype)}
             edges += _related(ids[start:end], sigs[start:end], leaders)
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=_EDGE)
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], f.type) for k, f in enumerate(_EDGE)],
+                                         schema=_EDGE)
+
+
+def _level(texts: DataFrame, stopped: DataFrame | None, at: int, trees: int) -> DataFrame:
+    """Likely relations a, b, s (estimated similarity) inside the nodes of one level; written.
+
+    A node counts if a text that has not stopped is in it, and then with all its texts.
+    """
+    member = texts.select("rep", F.explode(F.slice("nodes", at * trees + 1, trees)).alias("node"))
+    if stopped is None:
+        shared = member.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    else:
+        awake = texts.select("rep").join(stopped, "rep", "left_anti").withColumn("awake", F.lit(1))
+        shared = (member.join(awake, "rep", "left").groupBy("node")
+                  .agg(F.count(F.lit(1)).alias("n"), F.max("awake").alias("awake")).where("n > 1 AND awake = 1"))
+    met = member.join(shared.select("node"), "node").join(texts.select("rep", "sig"), "rep")
+    met = met.repartition("node").sortWithinPartitions("node", "sig", "rep")
+    return written(met.select("node", "rep", "sig").mapInArrow(_relate, "a long, b long, s double").distinct(), "likely")
+
+
+def found_share(s: F.Column, depth: int, trees: int) -> F.Column:
+    """Chance that two texts of a similarity share a prefix of this length in some tree."""
+    return 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(trees))
+
+
+def reached(relations: DataFrame, depth: int, trees: int, recall: float) -> DataFrame:
+    """rep of the texts whose matches at this depth are, by estimate, at least ``recall`` of all they have."""
+    ends = relations.where(F.col("s") >= MATCH).select("a", "b", "s").distinct()
+    ends = ends.select(F.col("a").alias("rep"), "s").unionByName(ends.select(F.col("b").alias("rep"), "s"))
+    return (ends.groupBy("rep").agg((F.count(F.lit(1)) / F.sum(1 / found_share(F.col("s") - ERROR, depth, trees))).alias("share"))
+            .where(F.col("share") >= recall).select("rep"))
+
+
+def likely_relations(texts: DataFrame, depth: int = DEPTH, trees: int = TREES, shortest: int | None = None,
+                     recall: float = RECALL) -> DataFrame:
+    """a, b of a spanning part of the likely relations of ``texts`` (rep, nodes, sig), by the forest."""
+    shortest = prefix_length(depth, trees, recall=recall) if shortest is None else shortest
+    relations, stopped = None, None
+    for k in range(depth, shortest - 1, -1):
+        level = _level(texts, stopped, k - shortest, trees)
+        relations = level if relations is None else relations.unionByName(level)
+        if k > shortest:
+            stopped = written(reached(relations, k, trees, recall), "stopped")
+    return written(relations.select("a", "b").distinct(), "relations")
 
 
 # ---------------------------------------------------------------- exact verification
@@ -329,14 +383,8 @@ def _judge(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     reps = written(sketch.where(F.col("key").isNotNull()).groupBy("key")
                    .agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
                    .select("key", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc"), "copies", "least"), "reps")
-    unique = sketch.join(reps.select("rep"), F.col("row") == F.col("rep")).select("rep", "nodes", "sig")
-
-    member = unique.select("rep", F.explode("nodes").alias("node"))
-    shared = member.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    member = member.join(shared, "node")
-    sigs = unique.select("rep", "sig")
-    sorted_nodes = (member.join(sigs, "rep").repartition("node").sortWithinPartitions("node", "sig", "rep"))
-    likely = written(sorted_nodes.select("node", "rep", "sig").mapInArrow(_relate, "a long, b long").distinct(), "likely")
+    texts = written(sketch.join(reps.select("rep"), F.col("row") == F.col("rep")).select("rep", "nodes", "sig"), "texts")
+    likely = likely_relations(texts, depth, trees, prefix, recall)
 
     group = written(components(likely).withColumnRenamed("node", "rep"), "groups")
     sizes = group.groupBy("root").agg(F.count(F.lit(1)).alias("m"))

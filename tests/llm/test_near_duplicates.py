@@ -104,6 +104,52 @@ def test_prefixes_are_shortened_until_the_recall(spark):
     assert L.prefix_length(recall=0.5) > k
 
 
+def _pairs(rng, similarity, n, words=400):
+    """Pairs of texts with about this similarity: a run of one is replaced in the other."""
+    rows = []
+    for i in range(n):
+        a = [f"w{x}" for x in rng.integers(0, 10 ** 9, words)]
+        cut = int(words * (1 - similarity) / (1 + similarity))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:words - cut] + [f"v{x}" for x in rng.integers(0, 10 ** 9, cut)]))]
+    return rows
+
+
+def _texts(spark, rows, prefix):
+    df = spark.createDataFrame([(str(i).encode(), i, t) for i, t in rows], "mark binary, doc_id long, text string")
+    sketch = df.mapInArrow(L._sketcher(L.TREES, L.DEPTH, prefix), "mark binary, doc_id long, key binary, nodes array<long>, sig binary")
+    return sketch.select(F.col("doc_id").alias("rep"), "nodes", "sig")
+
+
+def test_only_texts_below_the_recall_go_up_the_tries(spark):
+    rng = np.random.default_rng(3)
+    near, far = _pairs(rng, 0.95, 100), [(1000 + i, t) for i, t in _pairs(rng, 0.8, 200)]
+    lone = [(5000 + i, " ".join(f"u{x}" for x in rng.integers(0, 10 ** 9, 100))) for i in range(50)]
+    k = L.prefix_length()
+    texts = _texts(spark, near + far + lone, k).cache()
+    top = L._level(texts, None, L.DEPTH - k, L.TREES)
+    done = {r["rep"] for r in L.reached(top, L.DEPTH, L.TREES, L.RECALL).collect()}
+    assert done >= {i for i, _ in near} and not done & {i for i, _ in lone}
+    assert len(done & {i for i, _ in far}) < 60
+    below = L._level(texts, L.reached(top, L.DEPTH, L.TREES, L.RECALL), L.DEPTH - 1 - k, L.TREES)
+    assert not {r["a"] for r in below.collect()} & {i for i, _ in near}
+    met = {tuple(sorted(r)) for r in L.likely_relations(texts).collect()}
+    at = {r["rep"]: set(r["nodes"][:L.TREES]) for r in texts.collect()}  # at the shortest prefix
+    pairs = {(i, i + 1) for i, _ in near[::2] + far[::2]}
+    assert met >= {(a, b) for a, b in pairs if at[a] & at[b]} and len(pairs - met) <= 2
+
+
+def test_texts_that_stopped_are_still_met(spark):
+    """A text below the recall goes up and finds a text whose own matches were enough."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(80):
+        (_, a), (_, b) = _pairs(rng, 0.8, 1)
+        copy = a.split()
+        copy[0] = f"x{i}"
+        rows += [(10 * i, a), (10 * i + 1, " ".join(copy)), (10 * i + 2, b)]
+    _compare(L.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), rows)
+
+
 def test_odd_documents(odd_docs, odd_rows, no_docs):
     got = defaultdict(list)
     for r in L.join(odd_docs).collect():
