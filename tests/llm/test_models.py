@@ -1,6 +1,9 @@
+from collections import Counter
+from zlib import crc32
+
 import numpy as np
 import pytest
-from zlib import crc32
+import xxhash
 
 from evenkeel.llm import pseudo_likelihood as P
 from evenkeel.llm import quadratic_classifier as Q
@@ -63,54 +66,142 @@ def test_features_are_finite(text):
 
 # ---------------------------------------------------------------- pseudo-likelihood
 
-def test_score_is_the_sum_over_words(spark, odd_docs, odd_rows):
-    got = {r["doc_id"]: r for r in P.score(odd_docs).collect()}
-    assert got[100]["n_words"] == got[101]["n_words"] == got[102]["n_words"] == 0
-    assert got[101]["log_prob"] == 0 and got[101]["mean_log_prob"] is None
-    assert all(r["log_prob"] < 0 for r in got.values() if r["n_words"])
+def _corpus(rows):
+    """Counts of words and of neighbours (None: outside) over all rows."""
+    words, pairs = Counter(), Counter()
+    for text in rows:
+        w = (text or "").encode().split()
+        if w:
+            words.update([*w, None])
+            pairs.update(zip([None, *w], [*w, None]))
+    return words, pairs
+
+
+def _by_hand(net, classes, cls, words, pairs, text):
+    w = text.encode().split()
+    total = 0.0
+    for k, x in enumerate(w):
+        near = [w[i] if 0 <= i < len(w) else None for i in range(k - P.SIDE, k + P.SIDE + 1)]
+        left, right = near[P.SIDE - 1], near[P.SIDE + 1]
+        near.pop(P.SIDE)
+        around = np.array([[P.CLASSES if v is None else cls[v] for v in near]])
+        beside = np.array([[words[left] - 1, words[right] - 1]], float)
+        _, _, p, weights = net.forward(around, beside)
+        assert abs(p.sum() - 1) < 1e-5 and abs(weights.sum() - 1) < 1e-5
+        own = p[0][cls[x]] * (words[x] - 1 + P.SMOOTH) / (classes.weight[cls[x]] - 1 + P.SMOOTH * classes.size[cls[x]])
+        total += np.log(weights[0, 0] * own
+                        + weights[0, 1] * (pairs[left, x] - 1) / max(words[left] - 1, 1)
+                        + weights[0, 2] * (pairs[x, right] - 1) / max(words[right] - 1, 1))
+    return total
+
+
+@pytest.mark.parametrize("shard_words", [P.SHARD_WORDS, 3000])
+def test_scores_match_brute_force(spark, odd_docs, odd_rows, shard_words, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_WORDS", shard_words)
+    rows = odd_docs.collect()
+    got = {(r["doc_id"], r["n_words"]): r for r in P.score(odd_docs).collect()}
+    assert sum(1 for _ in rows) == P.score(odd_docs).count()
+    assert got[100, 0]["log_prob"] == got[101, 0]["log_prob"] == got[102, 0]["log_prob"] == 0
+    assert got[101, 0]["mean_log_prob"] is None
+    words, pairs = _corpus([r["text"] for r in rows])
     encoded = P.encode(odd_docs)
-    counts = P.corpus_counts(encoded)
-    assert counts.sum() == sum(len((t or "").encode().split()) for _, t, *_ in odd_rows)
-    cls, share = P.classes(counts)
-    net = P.Network(P.train(encoded, cls))
-    for doc, text in ((0, odd_rows[0][1]), (108, "one")):
-        ids = [crc32(w) & (P.BUCKETS - 1) for w in text.encode().split()]
-        c = [P.CLASSES] * P.SIDE + [int(cls[i]) for i in ids] + [P.CLASSES] * P.SIDE
-        total = 0.0
-        for k, i in enumerate(ids):
-            around = np.array([c[k:k + P.SIDE] + c[k + P.SIDE + 1:k + 2 * P.SIDE + 1]])
-            p = net.forward(around)[3][0]
-            assert abs(p.sum() - 1) < 1e-5
-            total += np.log(p[cls[i]]) + share[i]
-        assert abs(total - got[doc]["log_prob"]) < 1e-3 * abs(total)
-
-
-def test_shares_are_probabilities():
-    counts = np.random.default_rng(0).integers(0, 100, P.BUCKETS)
-    cls, share = P.classes(counts)
-    assert np.allclose(np.bincount(cls, weights=np.exp(share)), 1) and cls.max() == P.CLASSES - 1
-
-
-def test_gradients():
+    totals, bits = P.corpus_counts(encoded)
+    assert (bits > 0) == (shard_words == 3000)
+    classes = P.classes_of(totals)
+    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in words if w], np.uint64) >> np.uint64(64 - P.KEY_BITS - bits)
+    cls = dict(zip([w for w in words if w], classes.of(keys, np.array([n for w, n in words.items() if w]))))
+    size = Counter(cls.values())
+    assert all(classes.size[c] == size[c] for c in range(P.CLASSES))
+    assert all(classes.weight[c] == sum(words[w] for w in cls if cls[w] == c) for c in size)
+    top = sorted((-n, k) for k, n in zip(keys.tolist(), (n for w, n in words.items() if w)))[:P.OWN]
+    assert sorted(k for _, k in top) == classes.top.tolist()
+    ready = P.with_counts(encoded, totals, bits, classes)
+    net = P.Network(P.train(ready, classes))
+    for doc, text in [(0, odd_rows[0][1]), (107, odd_rows[-2][1]), (108, "one"), (104, odd_rows[44][1])]:
+        hand = _by_hand(net, classes, cls, words, pairs, text)
+        assert abs(hand - got[doc, len(text.encode().split())]["log_prob"]) < 1e-3 * abs(hand)
+
+
+def test_each_expert_is_a_distribution():
+    """Over all words that could stand in the middle the probabilities add up to one (neighbours: at most)."""
+    text = [("a b c a b d " * 5 + "e f").split(), "b a c d g".split()]
+    words, pairs = _corpus([" ".join(t) for t in text])
+    left, x = b"a", b"b"
+    rest, follow = words.copy(), pairs.copy()
+    rest[x] -= 1
+    follow[left, x] -= 1
+    assert sum(follow[left, v] for v in words) == words[left] - 1
+    bins = {}
+    for w, n in words.items():
+        if w:
+            size, weight = bins.get(int(P.count_bin(n)), (0, 0))
+            bins[int(P.count_bin(n))] = (size + 1, weight + n)
+    classes = P.Classes([], bins)
+    cls = {w: int(classes.of(np.array([1], np.uint64), np.array([n]))[0]) for w, n in words.items() if w}
+    c = cls[x]
+    shares = [(rest[w] + P.SMOOTH) / (classes.weight[c] - 1 + P.SMOOTH * classes.size[c]) for w in cls if cls[w] == c]
+    assert abs(sum(shares) - 1) < 1e-12
+    assert abs(classes.share(np.array([c]), np.array([words[x]]))[0]
+               - (rest[x] + P.SMOOTH) / (classes.weight[c] - 1 + P.SMOOTH * classes.size[c])) < 1e-12
+
+
+def _examples(rng, n):
+    return (rng.integers(0, P.CLASSES + 1, (n, 2 * P.SIDE)), rng.integers(0, P.CLASSES, n),
+            rng.integers(0, 3, (n, 2)).astype(float), rng.random((n, 3)) + 0.01)
+
+
+def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(1)
-    around, middle = rng.integers(0, P.CLASSES + 1, (40, 2 * P.SIDE)), rng.integers(0, P.CLASSES, 40)
+    some = _examples(rng, 40)
+    net = P.Network(dtype=np.float64)
+    exact = np.concatenate([g.ravel() for g in net.gradients(*some)])
+    at, step = net.flat(), 1e-5
+    for i in rng.choice(len(at), 150, replace=False).tolist() + list(range(len(at) - 105, len(at))):
+        ends = []
+        for sign in (1, -1):
+            moved = at.copy()
+            moved[i] += sign * step
+            ends.append(-P.Network(moved, np.float64).log_prob(*some).mean())
+        assert abs((ends[0] - ends[1]) / (2 * step) - exact[i]) < 1e-6
+
+
+def test_training_raises_the_likelihood():
+    some = _examples(np.random.default_rng(1), 40)
     net = P.Network()
-    before = net.log_prob(around, middle).mean()
+    before = net.log_prob(*some).mean()
     memory = [np.zeros_like(p) for p in net.parts]
     for _ in range(60):
-        net.train(around, middle, memory)
-    assert net.log_prob(around, middle).mean() > before + 1
+        net.train(*some, memory)
+    assert net.log_prob(*some).mean() > before + 1
+
+
+def test_documents_that_occur_twice_are_scored_apart(spark):
+    rng = np.random.default_rng(3)
+    common = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(common, 120)) for _ in range(400)]
+    twice = [f"t{k} " + t for k, t in enumerate(texts[:40])]
+    rows = [(i, t) for i, t in enumerate([f"s{k} " + t for k, t in enumerate(texts[40:])] + twice + twice)]
+    got = P.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    single, double = (got[got.doc_id < 360].mean_log_prob.to_numpy(), got[got.doc_id >= 360].mean_log_prob.to_numpy())
+    assert _auc(double, single) > 0.95
+
+
+def test_state_grows_with_the_vocabulary(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words, pairs = _corpus([r["text"] for r in docs.select("text").collect()])
+    totals, _ = P.corpus_counts(P.encode(docs))
+    kept = totals.where("block = -1").toPandas()
+    assert kept["keys"].map(len).sum() == 8 * len(words)
+    n = np.concatenate([np.frombuffer(t, "<u8") for t in kept["totals"]])
+    assert sorted(n.tolist()) == sorted(words.values())
 
 
 def test_learned_order_scores_higher(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'")
-    encoded = P.encode(docs)
-    counts = P.corpus_counts(encoded)
-    cls, share = P.classes(counts)
-    freq = np.bincount(cls, weights=counts)
-    unigram = (freq * np.log(freq / freq.sum() + 1e-12)).sum() + (counts * share).sum()
-    got = P.score(docs).agg({"log_prob": "sum"}).first()[0]
-    assert got > unigram
+    words, _ = _corpus([r["text"] for r in docs.select("text").collect()])
+    n = np.array([v for w, v in words.items() if w], float)
+    unigram = (n * np.log(n / n.sum())).sum()
+    assert P.score(docs).agg({"log_prob": "sum"}).first()[0] > unigram
 
 
 def test_empty_corpus(no_docs):
