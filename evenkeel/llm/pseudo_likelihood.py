@@ -18,8 +18,9 @@ before and after a document count as one further word.
 
 Documents are cut into blocks; a block sends its distinct words and pairs
 with counts, packed, to shards by hash, which add them up and answer with
-the totals (a frequent word is one entry per block). Keys keep 40 bits beyond
-the shard's, so about one in a million shares a count. Training runs in
+the totals (a frequent word is one entry per block). Keys of pairs keep 32 bits
+beyond the shard's, so about one in 5,000 shares its count with another, at any
+size; keys of words keep 44. Training runs in
 rounds: every partition trains the current network on its share of positions
 (round r: places congruent to r, so all rounds together see every word once)
 and the networks are averaged, weighted by words. Only the network, a
@@ -36,41 +37,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import slices, texts_of
+from evenkeel.llm.common import slices
 from evenkeel.session import tasks, written
 
-CLASSES = 64
-OWN = 40  # the most frequent words are classes of their own
+CLASSES = 32
+OWN = 20  # the most frequent words are classes of their own
 SIDE = 3
 EMBED = 8
-HIDDEN = 32
+HIDDEN = 16
 EXPERTS = 3
 ROUNDS = 4
 BATCH = 1024
 RATE = 0.1
-CHUNK = 1 << 14
+CHUNK = 1 << 11
 SMOOTH = 0.5  # added to a word's count inside its class
 SHARD_WORDS = 1 << 21  # running words of the corpus per shard of the counts
-KEY_BITS = 40
+WORD_BITS, PAIR_BITS = 44, 32  # of a key beyond the bits of its shard
 
 _OUTSIDE = np.uint64(0)  # the word before and after every document
 
 
 # ---------------------------------------------------------------- blocks
 
-def _planes(x: np.ndarray) -> bytes:
-    """Little-endian numbers by byte planes: high bytes are runs that compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _numbers(data: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes; high planes of zeros are left out."""
+    x = x.astype("<u8")
+    size = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = x.view(np.uint8).reshape(len(x), 8)[:, :size].T
+    return _PACKER.compress(bytes([size]) + np.ascontiguousarray(planes).tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    raw = _UNPACKER.decompress(data)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :raw[0]] = planes.T
+    return out.view("<u8").reshape(-1)
 
 
 _BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -78,26 +89,50 @@ _BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.lis
 _BLOCK_DDL = "block long, n long, doc_ids array<long>, sizes array<long>, ids binary, words binary"
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words of every text, all words one after the other); a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty piece
+    kept = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return np.diff(np.append(0, kept[ends])).astype(np.int64), words.filter(real)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct words: every byte at its place gives a number, the numbers are added up."""
+    if not len(words):
+        return np.empty(0, "<u8")
+    words = pa.concat_arrays([words.cast(pa.large_binary())])  # offset 0
+    ends = np.frombuffer(words.buffers()[1], "<i8")[:len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[:ends[-1]].astype(np.uint64)
+    places = (np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))).astype(np.uint64)
+    return _mixed(np.add.reduceat(_mixed(places * np.uint64(256) + data + np.uint64(1)), ends[:-1]))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed pseudo-random permutation of 64-bit numbers."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents: words numbered by their frequency in the block, and the hash of each."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in slices(batch):
-            docs = [t.split() for t in texts_of(part.column("text"))]
-            flat = [w for d in docs for w in d]
-            number = dict.fromkeys(flat)
-            for i, w in enumerate(number):
-                number[w] = i
-            ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-            order = np.argsort(-np.bincount(ids, minlength=len(number)), kind="stable")
-            rank = np.empty(len(number), "<u4")
-            rank[order] = np.arange(len(number))
-            words = np.fromiter(map(xxhash.xxh3_64_intdigest, number), "<u8", len(number))[order]
+            sizes, flat = split_words(part.column("text"))
+            coded = flat.dictionary_encode()
+            words = word_hashes(coded.dictionary)
+            ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([len(flat)], pa.int64()),
+                [pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()),
                  pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                 pa.array([[len(d) for d in docs]], pa.list_(pa.int64())),
-                 pa.array([_planes(rank[ids])], pa.binary()), pa.array([words.tobytes()], pa.binary())], schema=_BLOCK)
+                 pa.array([sizes.tolist()], pa.list_(pa.int64())),
+                 pa.array([_packed(rank[ids])], pa.binary()), pa.array([words[order].tobytes()], pa.binary())], schema=_BLOCK)
             block += 1
 
 
@@ -111,9 +146,13 @@ def layout(ids: np.ndarray, sizes: np.ndarray, outside: int) -> tuple[np.ndarray
 
 def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """64-bit hashes of pairs of word hashes."""
-    key = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    key = (key ^ (key >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return key ^ (key >> np.uint64(29))
+    return _mixed(left * np.uint64(0x94D049BB133111EB) + (right ^ (right >> np.uint64(29))))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one: a batch may hold many blocks."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
 
 class Block:
@@ -123,14 +162,14 @@ class Block:
         sizes = np.array(sizes, np.int64)
         self.hashes = np.append(np.frombuffer(words, "<u8"), _OUTSIDE)
         outside = len(self.hashes) - 1
-        self.flat, self.places = layout(_numbers(ids, "<u4"), sizes, outside)
+        self.flat, self.places = layout(_numbers(ids), sizes, outside)
         self.counts = np.bincount(self.flat[self.places], minlength=outside + 1)
         self.counts[outside] = int((sizes > 0).sum())
-        drop = np.uint64(64 - KEY_BITS - bits)
-        self.word_keys = self.hashes >> drop
+        self.word_keys = self.hashes >> np.uint64(64 - WORD_BITS - bits)
         # Pair i: the words at the places i and i + 1, unless both are outside.
         self.real = np.flatnonzero((self.flat[:-1] != outside) | (self.flat[1:] != outside))
-        self.pairs = _pair_keys(self.hashes[self.flat[self.real]], self.hashes[self.flat[self.real + 1]]) >> drop
+        self.pairs = _pair_keys(self.hashes[self.flat[self.real]], self.hashes[self.flat[self.real + 1]]) \
+            >> np.uint64(64 - PAIR_BITS - bits)
 
 
 _ASKED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -140,22 +179,23 @@ _ASKED_DDL = "shard int, block long, keys binary, counts binary"
 def _ask(bits: int):
     """Distinct words and pairs of a block by shard; pairs go to shards beyond those of words."""
     shards = 1 << bits
-    edges = np.arange(1, shards, dtype=np.uint64) << np.uint64(KEY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 b = Block(r["ids"], r["words"], r["sizes"], bits)
                 out = []
                 keys, where = np.unique(b.word_keys, return_inverse=True)
-                for base, (k, n) in ((0, (keys, np.bincount(where, weights=b.counts))),
-                                     (shards, np.unique(b.pairs, return_counts=True))):
-                    cut = [0, *np.searchsorted(k, edges).tolist(), len(k)]
-                    out += [(base + s, k[i:j], n[i:j]) for s, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+                for base, wide, (k, n) in ((0, WORD_BITS, (keys, np.bincount(where, weights=b.counts))),
+                                           (shards, PAIR_BITS, np.unique(b.pairs, return_counts=True))):
+                    starts = np.arange(shards, dtype=np.uint64) << np.uint64(wide)
+                    cut = [*np.searchsorted(k, starts).tolist(), len(k)]
+                    out += [(base + s, np.diff(k[i:j], prepend=starts[s]), n[i:j])
+                            for s, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, *_ in out], pa.int32()), pa.array([r["block"]] * len(out), pa.int64()),
-                     pa.array([_planes(k)[:KEY_BITS // 8 * len(k)] for _, k, _ in out], pa.binary()),
-                     pa.array([_planes(n.astype("<u4")) for *_, n in out], pa.binary())], schema=_ASKED)
+                     pa.array([_packed(k) for _, k, _ in out], pa.binary()),
+                     pa.array([_packed(n) for *_, n in out], pa.binary())], schema=_ASKED)
     return run
 
 
@@ -169,13 +209,13 @@ def _add_up(bits: int):
         at, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            asked = [_numbers(k + bytes(len(k) // 5 * 3), "<u8") for _, k, _ in held]
+            asked = [np.cumsum(_numbers(k)) for _, k, _ in held]  # gaps of sorted keys
             keys, where = np.unique(np.concatenate(asked), return_inverse=True)
-            total = np.bincount(where, weights=np.concatenate([_numbers(c, "<u4") for *_, c in held])).astype("<u8")
+            total = np.bincount(where, weights=np.concatenate([_numbers(c) for *_, c in held])).astype("<u8")
             answer = np.split(total[where], np.cumsum([len(a) for a in asked])[:-1])
-            rows = [(b, None, _planes(t)) for (b, *_), t in zip(held, answer)]
+            rows = [(b, None, _packed(t)) for (b, *_), t in zip(held, answer)]
             if at < 1 << bits:
-                rows.append((-1, ((np.uint64(at) << np.uint64(KEY_BITS)) | keys).astype("<u8").tobytes(), total.tobytes()))
+                rows.append((-1, ((np.uint64(at) << np.uint64(WORD_BITS)) | keys).astype("<u8").tobytes(), total.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([at] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], _TOTALS.field(i + 1).type)
                                                           for i in range(3))], schema=_TOTALS)
@@ -281,7 +321,7 @@ def _joined(bits: int, classes: Classes):
 
         def close() -> pa.RecordBatch:
             b = Block(block["ids"], block["words"], block["sizes"], bits)
-            words, pairs = (np.concatenate([_numbers(t, "<u8") for t in a] or [np.empty(0, "<u8")]) for a in answers)
+            words, pairs = (np.concatenate([_numbers(t) for t in a] or [np.empty(0, "<u8")]) for a in answers)
             totals = words[np.unique(b.word_keys, return_inverse=True)[1]]
             around = np.ones(max(len(b.flat) - 1, 0), "<u8")
             around[b.real] = pairs[np.unique(b.pairs, return_inverse=True)[1]]
@@ -289,12 +329,11 @@ def _joined(bits: int, classes: Classes):
             cls[-1] = CLASSES
             return pa.RecordBatch.from_arrays(
                 [pa.array([block["doc_ids"]], pa.list_(pa.int64())), pa.array([block["sizes"]], pa.list_(pa.int64())),
-                 *(pa.array([v], pa.binary()) for v in (block["ids"], _planes(totals), cls.tobytes(), _planes(around)))],
+                 *(pa.array([v], pa.binary()) for v in (block["ids"], _packed(totals), cls.tobytes(), _packed(around)))],
                 schema=_READY)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
+            for r in _rows(batch):
                 if r["shard"] < 0:
                     if block is not None:
                         yield close()
@@ -311,11 +350,11 @@ class Positions:
 
     def __init__(self, row: dict, classes: Classes):
         sizes = np.array(row["sizes"], np.int64)
-        totals, cls = _numbers(row["totals"], "<u8").astype(np.float64), np.frombuffer(row["classes"], np.uint8)
-        flat, self.places = layout(_numbers(row["ids"], "<u4"), sizes, len(totals) - 1)
-        self.cls, self.count = cls[flat], totals[flat]
-        self.around = _numbers(row["pairs"], "<u8").astype(np.float64)
-        self.classes = classes
+        totals, cls = _numbers(row["totals"]).astype(np.float64), np.frombuffer(row["classes"], np.uint8).astype(np.intp)
+        share = np.append(classes.share(cls[:-1], totals[:-1]), 0.0)
+        flat, self.places = layout(_numbers(row["ids"]), sizes, len(totals) - 1)
+        self.cls, self.elsewhere, self.share = cls[flat], totals[flat] - 1, share[flat]
+        self.beside = _numbers(row["pairs"]).astype(np.float64) - 1
 
     def window(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the places ``p``: classes around, class in the middle, expert inputs, probabilities beside the network's.
@@ -323,12 +362,11 @@ class Positions:
         The expert inputs are how often the left and the right neighbour occur elsewhere; the probabilities are
         the word's share inside its class and those given the left and the right neighbour.
         """
-        middle, n = self.cls[p], self.count[p]
-        beside = np.stack([self.count[p - 1] - 1, self.count[p + 1] - 1], axis=1)
-        seen = np.stack([self.around[p - 1] - 1, self.around[p] - 1], axis=1)
-        given = seen / np.maximum(beside, 1)
-        return (self.cls[p[:, None] + _STEPS], middle, beside,
-                np.concatenate([self.classes.share(middle, n)[:, None], given], axis=1))
+        beside = np.stack([self.elsewhere[p - 1], self.elsewhere[p + 1]], axis=1)
+        given = np.empty((len(p), EXPERTS))
+        given[:, 0], given[:, 1], given[:, 2] = self.share[p], self.beside[p - 1], self.beside[p]
+        given[:, 1:] /= np.maximum(beside, 1)
+        return self.cls[p[:, None] + _STEPS], self.cls[p], beside, given
 
 
 _STEPS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
@@ -356,7 +394,7 @@ class Network:
     def forward(self, around: np.ndarray, beside: np.ndarray):
         """(inputs, hidden layer and neighbours' counts, class probabilities, expert weights)."""
         e, w1, b1, w2, b2, w3, b3 = self.parts
-        x = e[around].reshape(len(around), -1)
+        x = e.take(around, axis=0).reshape(len(around), -1)
         h = np.tanh(x @ w1 + b1)
         p = _softmax(h @ w2 + b2)
         k = np.concatenate([h, (np.log1p(beside) / 8).astype(h.dtype)], axis=1)
@@ -384,8 +422,8 @@ class Network:
         h = k[:, :HIDDEN]
         dh = (dz @ self.parts[3].T + dg @ self.parts[5][:HIDDEN].T) * (1 - h * h)
         dx = dh @ self.parts[1].T
-        cell = (around.reshape(-1, 1).astype(np.int64) * EMBED + np.arange(EMBED)).ravel()
-        de = np.bincount(cell, weights=dx.ravel(), minlength=self.parts[0].size).reshape(self.parts[0].shape)
+        at, dx = around.ravel(), dx.reshape(-1, EMBED)
+        de = np.stack([np.bincount(at, weights=column, minlength=CLASSES + 1) for column in dx.T], axis=1)
         return [de.astype(x.dtype), x.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(axis=0), k.T @ dg, dg.sum(axis=0)]
 
     def train(self, around, middle, beside, given, memory: list[np.ndarray], rate: float = RATE) -> None:
@@ -407,8 +445,8 @@ def _trainer(start: np.ndarray, classes: Classes, turn: int, rounds: int):
         net, n = Network(start), 0
         memory = [np.zeros_like(p) for p in net.parts]
         for batch in batches:
-            for i in range(batch.num_rows):
-                seen = Positions(batch.slice(i, 1).to_pylist()[0], classes)
+            for row in _rows(batch):
+                seen = Positions(row, classes)
                 places = seen.places[(seen.places + turn) % rounds == 0]
                 places = np.random.default_rng(turn).permutation(places)
                 for at in range(0, len(places), BATCH):
@@ -428,8 +466,7 @@ def _scorer(params: np.ndarray, classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(params)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in _rows(batch):
                 seen, sizes = Positions(row, classes), np.array(row["sizes"], np.int64)
                 got = np.empty(len(seen.places))
                 for at in range(0, len(got), CHUNK):
