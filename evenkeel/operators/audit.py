@@ -39,13 +39,11 @@ def melt_attributes(pred: DataFrame, attributes: Sequence[str], null_group: str
     return long.withColumn("group", F.coalesce("group", F.lit(null_group)))
 
 
-def group_stats(pred: DataFrame, attributes: Sequence[str],
-                privileged: Optional[Mapping[str, str]] = None,
-                null_group: str = "drop", round_rates: Optional[int] = None) -> DataFrame:
-    """A1 + A2: confusion counts and rates per (model, attribute, group)."""
+def group_counts(pred: DataFrame, attributes: Sequence[str], null_group: str = "drop") -> DataFrame:
+    """A1: confusion counts per (model, attribute, group), of a table or a stream."""
     long = melt_attributes(pred, attributes, null_group)
     yt, yp = F.col("y_true"), F.col("y_pred")
-    stats = long.groupBy(*GROUP_KEYS).agg(
+    return long.groupBy(*GROUP_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(yt).cast("long").alias("n_positive_true"),
         F.sum(yp).cast("long").alias("n_predicted_pos"),
@@ -54,9 +52,14 @@ def group_stats(pred: DataFrame, attributes: Sequence[str],
         F.count_if((yp == 0) & (yt == 0)).alias("tn"),
         F.count_if((yp == 0) & (yt == 1)).alias("fn"),
     )
+
+
+def group_rates(counts: DataFrame, privileged: Optional[Mapping[str, str]] = None,
+                round_rates: Optional[int] = None) -> DataFrame:
+    """A2: rates and privileged marker from ``group_counts``."""
     rate = (lambda c: F.bround(c, round_rates)) if round_rates is not None else (lambda c: c)
     priv = privileged_lookup(F.col("attribute"), privileged)
-    return stats.select(
+    return counts.select(
         *GROUP_KEYS, "n", "n_positive_true", "n_predicted_pos",
         rate(safe_div("n_predicted_pos", "n")).alias("pos_pred_rate"),
         rate(safe_div("tp", F.col("tp") + F.col("fn"))).alias("true_pos_rate"),
@@ -67,6 +70,13 @@ def group_stats(pred: DataFrame, attributes: Sequence[str],
     )
 
 
+def group_stats(pred: DataFrame, attributes: Sequence[str],
+                privileged: Optional[Mapping[str, str]] = None,
+                null_group: str = "drop", round_rates: Optional[int] = None) -> DataFrame:
+    """A1 + A2: confusion counts and rates per (model, attribute, group)."""
+    return group_rates(group_counts(pred, attributes, null_group), privileged, round_rates)
+
+
 def privileged_groups(stats: DataFrame) -> DataFrame:
     """A5: the privileged group per (model, attribute).
 

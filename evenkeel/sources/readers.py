@@ -52,6 +52,17 @@ def _schema(cols) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in cols])
 
 
+def _read_text_fields(spark: SparkSession, path: str, columns, **options) -> DataFrame:
+    """Every line of a CSV file: numbers read as text and cast, broken lines also raw in ``CORRUPT``."""
+    raw = [(n, T.StringType()) for n, _ in columns] + [(CORRUPT, T.StringType())]
+    df = (spark.read.schema(_schema(raw)).options(
+        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE",
+        columnNameOfCorruptRecord=CORRUPT, **options).csv(path))
+    cols = [F.col(n) if isinstance(t, T.StringType) else F.expr(f"try_cast({n} AS DOUBLE)").cast(t).alias(n)
+            for n, t in columns]
+    return df.select(*cols, CORRUPT)
+
+
 def read_census_csv(spark: SparkSession, path: str, skip_first_line: bool = False) -> DataFrame:
     """Comma separated, blank after comma, '?' is null, labels cleaned.
 
@@ -62,22 +73,16 @@ def read_census_csv(spark: SparkSession, path: str, skip_first_line: bool = Fals
     number is null; a line with too few or too many fields keeps its raw
     text in ``_corrupt_record``.
     """
-    raw = [(n, T.StringType()) for n, _ in CENSUS_COLUMNS] + [(CORRUPT, T.StringType())]
-    df = (spark.read.schema(_schema(raw))
-          .option("sep", ",").option("ignoreLeadingWhiteSpace", True)
-          .option("ignoreTrailingWhiteSpace", True).option("nullValue", "?")
-          .option("header", skip_first_line).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT)
-          .csv(path))
-    cols = [F.col(n) if isinstance(t, T.StringType) else F.expr(f"try_cast({n} AS DOUBLE)").cast(t).alias(n)
-            for n, t in CENSUS_COLUMNS]
-    return df.select(*cols, CORRUPT).withColumn("income", clean_label("income"))
+    df = _read_text_fields(spark, path, CENSUS_COLUMNS, sep=",", nullValue="?", header=skip_first_line)
+    return df.withColumn("income", clean_label("income"))
 
 
 def read_credit_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: space separated credit file; derives sex and age_group."""
-    df = (spark.read.schema(_schema(CREDIT_COLUMNS)).option("sep", " ")
-          .option("ignoreLeadingWhiteSpace", True).csv(path))
+    """S3: space separated credit file; derives sex and age_group.
+
+    Numbers and broken lines are treated as in ``read_census_csv``.
+    """
+    df = _read_text_fields(spark, path, CREDIT_COLUMNS, sep=" ")
     return (df.withColumn("sex", recode("personal_status_sex", CREDIT_SEX_CODES))
               .withColumn("age_group", two_way_bucket("age", 25, "adult", "young"))
               .withColumn("credit_risk", recode("credit_risk", CREDIT_LABELS))

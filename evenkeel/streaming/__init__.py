@@ -1,3 +1,3 @@
-from evenkeel.streaming.monitor import audit_stream, start_audit_monitor
+from evenkeel.streaming.monitor import start_audit_monitor
 
-__all__ = ["audit_stream", "start_audit_monitor"]
+__all__ = ["start_audit_monitor"]

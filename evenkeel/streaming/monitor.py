@@ -1,8 +1,8 @@
 """The group audit over a stream of predictions.
 
 The reference only advises ongoing monitoring; no new operator is added
-here. ``group_stats`` is a plain partially-aggregated ``groupBy``, so the
-same plan runs unchanged on a streaming DataFrame (stateful aggregation,
+here. ``audit.group_counts`` is a plain partially-aggregated ``groupBy``, so
+it runs unchanged on a streaming DataFrame (stateful aggregation,
 ``update`` / ``complete`` output). ``start_audit_monitor`` recomputes the
 pairwise metrics and summary from the running counts in each micro-batch
 (``foreachBatch``), where they are small static tables.
@@ -13,50 +13,20 @@ from __future__ import annotations
 from typing import Callable, Mapping, Optional, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evenkeel.operators import audit
 
 
-def audit_stream(pred_stream: DataFrame, attributes: Sequence[str],
-                 null_group: str = "drop") -> DataFrame:
-    """Running confusion counts per (model, attribute, group) of a stream."""
-    long = audit.melt_attributes(pred_stream, attributes, null_group)
-    yt, yp = F.col("y_true"), F.col("y_pred")
-    return long.groupBy(*audit.GROUP_KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(yt).cast("long").alias("n_positive_true"),
-        F.sum(yp).cast("long").alias("n_predicted_pos"),
-        F.count_if((yp == 1) & (yt == 1)).alias("tp"),
-        F.count_if((yp == 1) & (yt == 0)).alias("fp"),
-        F.count_if((yp == 0) & (yt == 0)).alias("tn"),
-        F.count_if((yp == 0) & (yt == 1)).alias("fn"))
-
-
-def stats_from_counts(counts: DataFrame, privileged: Optional[Mapping[str, str]] = None) -> DataFrame:
-    """Rates and privileged marker from running counts (same as group_stats)."""
-    from evenkeel.functions.scalar import privileged_lookup, privileged_marker, safe_div
-    priv = privileged_lookup(F.col("attribute"), privileged)
-    return counts.select(
-        *audit.GROUP_KEYS, "n", "n_positive_true", "n_predicted_pos",
-        safe_div("n_predicted_pos", "n").alias("pos_pred_rate"),
-        safe_div("tp", F.col("tp") + F.col("fn")).alias("true_pos_rate"),
-        safe_div("fp", F.col("fp") + F.col("tn")).alias("false_pos_rate"),
-        safe_div(F.col("tp") + F.col("tn"), "n").alias("accuracy"),
-        "tp", "fp", "tn", "fn", privileged_marker("group", priv).alias("is_privileged"))
-
-
 def start_audit_monitor(pred_stream: DataFrame, attributes: Sequence[str],
                         on_summary: Callable[[DataFrame, int], None],
                         privileged: Optional[Mapping[str, str]] = None,
                         checkpoint: Optional[str] = None, trigger: Optional[dict] = None):
     """Start a query whose every micro-batch hands the current audit summary
     to ``on_summary(summary_df, batch_id)``."""
-    counts = audit_stream(pred_stream, attributes)
+    counts = audit.group_counts(pred_stream, attributes)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        gs = stats_from_counts(batch, privileged)
-        on_summary(audit.summary(gs), batch_id)
+        on_summary(audit.summary(audit.group_rates(batch, privileged)), batch_id)
 
     w = counts.writeStream.outputMode("complete").foreachBatch(handle)
     if checkpoint:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import audit
 from evenkeel.sources import read_census_csv, read_credit_csv, write_csv
-from evenkeel.streaming import audit_stream, start_audit_monitor
-from evenkeel.streaming.monitor import stats_from_counts
+from evenkeel.sources.readers import CORRUPT, load_table, preview, write_table
+from evenkeel.streaming import start_audit_monitor
 
 
 def test_census_reader(spark, tmp_path):
@@ -39,6 +39,27 @@ def test_credit_reader(spark, tmp_path):
     assert "personal_status_sex" not in rows[0].asDict()
 
 
+def test_credit_numbers_and_broken_lines(spark, tmp_path):
+    """A number with a decimal point is that number, no number is null, a short line keeps its raw text."""
+    line = "A11 {} A34 A43 1169 A65 A75 4 A93 A101 4 A121 {} A143 A152 2 A173 1 A192 A201 {}"
+    p = tmp_path / "german.data"
+    p.write_text("\n".join([line.format("24.0", "30", "1"), line.format("x", "40.0", "2.0"), "A11 6 A34"]) + "\n")
+    rows = {r.duration if r[CORRUPT] is None else "broken": r for r in read_credit_csv(spark, str(p)).collect()}
+    assert (rows[24].age, rows[24].credit_risk, rows[24].age_group) == (30, 1, "adult")
+    assert (rows[None].age, rows[None].credit_risk) == (40, 0)
+    assert rows["broken"][CORRUPT] == "A11 6 A34" and rows["broken"].duration == 6 and rows["broken"].age is None
+
+
+def test_tables_and_preview(spark, tmp_path):
+    df = spark.range(20).withColumn("g", F.col("id") % 2)
+    write_table(df, str(tmp_path / "t"), partition_by=["g"])
+    write_table(df.where("id < 12"), str(tmp_path / "t"), partition_by=["g"])
+    back = load_table(spark, str(tmp_path / "t"))
+    assert sorted(r.id for r in back.collect()) == list(range(12))
+    assert back.where("g = 1").count() == 6
+    assert preview(back).count() == 8 and preview(back, 30).count() == 12
+
+
 def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "x int, y string")
     write_csv(df, str(tmp_path / "out"))
