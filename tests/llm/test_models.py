@@ -48,6 +48,31 @@ def test_scores_are_bayes_rule_of_two_normals():
     assert np.allclose(model.score(x), 0.7 * d[1] / (0.7 * d[1] + 0.3 * d[0]))
 
 
+def test_fit_and_scores_equal_numpy_on_the_same_rows(spark):
+    """Moments, shrinkage, factors and scores of the whole query against plain numpy over all rows."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r["doc_id"]: np.array(Q.features((r["text"] or "").encode())) for r in docs.select("doc_id", "text").collect()}
+    marks = {(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] in (0, 1)}
+    learn = [(q, rows[d]) for d, q in marks if d in rows and crc32(str(d).encode()) % 4 != 2]
+    x = [np.array([v for q, v in learn if q == k]) for k in (0, 1)]
+    n = np.array([len(v) for v in x])
+    covs = [np.cov(v.T, bias=True) for v in x]
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / n.sum()
+    prior = (n[1] + 1) / (n.sum() + 2)
+    every = np.array(list(rows.values()))
+    dens = []
+    for v, c in zip(x, covs):
+        c = (1 - Q.TO_POOLED) * c + Q.TO_POOLED * pooled
+        c = (1 - Q.TO_DIAGONAL) * c + Q.TO_DIAGONAL * np.diag(np.diag(c)) + Q.RIDGE * np.eye(Q.DIM)
+        gap = every - v.mean(axis=0)
+        dens.append(-0.5 * (gap * np.linalg.solve(c, gap.T).T).sum(axis=1) - 0.5 * np.linalg.slogdet(c)[1])
+    z = (dens[1] - dens[0]) / Q.TEMPERATURE + np.log(prior / (1 - prior))
+    wanted = dict(zip(rows, 1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+    got = Q.classify(docs, labels).collect()
+    assert len(got) == docs.count()
+    assert all(abs(r["score"] - wanted[r["doc_id"]]) < 1e-6 for r in got)
+
+
 def test_odd_documents_and_missing_labels(spark, odd_docs, odd_rows, no_docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(31, None, 0), (None, 1, 0), (1, 1, 0), (1, 0, 1)],
                                    "doc_id long, quality int, toxic int")
