@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood scores from a bidirectional window network over words of their own.
 
-Every word and every pair of neighbours is counted exactly over the whole
-corpus, in tables that grow with it. A word in the middle is predicted by
+Every word and every pair of neighbours is counted over the whole corpus, by
+hash, in tables that grow with it. A word in the middle is predicted by
 three experts, each without the occurrence that is masked:
 
 * the words around it: a network (embeddings of the classes of ``SIDE``
