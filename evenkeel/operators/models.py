@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.operators.metrics import model_metrics
+from evenkeel.session import written
 
 SEED = 42
 C = 1.0
@@ -54,8 +55,9 @@ def build(name: str, total_weight: float, weight_col: Optional[str] = None,
         return DecisionTreeClassifier(maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_MIN_LEAF,
                                       maxBins=MAX_BINS, seed=SEED, **common)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=TREE_DEPTH,
-                                      featureSubsetStrategy="sqrt", maxBins=MAX_BINS, seed=SEED, **common)
+        # Node ids are kept per row and tree: else every level walks all rows down every tree again.
+        return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=TREE_DEPTH, featureSubsetStrategy="sqrt",
+                                      maxBins=MAX_BINS, seed=SEED, cacheNodeIds=True, checkpointInterval=-1, **common)
     raise ValueError(f"unknown model {name!r}; known: {', '.join(MODEL_NAMES)}")
 
 
@@ -146,6 +148,7 @@ def train_all(train: DataFrame, test: DataFrame, keep: Sequence[str],
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)
+    pred = written(pred, "predictions")  # every row is scored once, however many tables are made of it
     t = spark.createDataFrame(times, "model string, train_time_sec double")
     return TrainResult(models, pred, model_metrics(pred).join(t, "model", "left"))
 
