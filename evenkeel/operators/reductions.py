@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from typing import List, Tuple
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,11 +74,11 @@ def fit_fair(train: DataFrame, attribute: str, label: str = "y_true", features:
     n_groups = tr.agg(F.approx_count_distinct("_a").alias("k")).first()["k"]
     if n_groups > MAX_GROUPS:
         raise ValueError(f"{attribute} has about {n_groups} groups; the reduction keeps state for at most {MAX_GROUPS}")
-    tr = newton.spread(tr).persist(StorageLevel.MEMORY_AND_DISK)
+    game = _Game(tr)
     try:
-        return _Game(tr).play(max_rounds, gap)
+        return game.play(max_rounds, gap)
     finally:
-        tr.unpersist()
+        game.blocks.unpersist()
 
 
 class _Game:
@@ -89,7 +88,6 @@ class _Game:
         got = rows.groupBy("_a", "_y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_x")).alias("d")).collect()
         if not got:
             raise ValueError("no rows to fit")
-        self.rows = rows
         self.groups = sorted({r["_a"] for r in got})
         self.width = max(r["d"] for r in got)
         if self.width > newton.MAX_FEATURES:
@@ -100,6 +98,7 @@ class _Game:
         self.counts = self.cells.sum(axis=1)
         self.n = float(self.counts.sum())
         self.last, self.passes = {}, 0
+        self.blocks = newton.packed(rows, self.groups)
 
     def slacks(self, share: np.ndarray) -> np.ndarray:
         """Both constraints of every group, given the rows per group that are predicted 1."""
@@ -120,18 +119,15 @@ class _Game:
             share = self.counts * one
             error = float(self.cells[:, 0].sum() if one else self.cells[:, 1].sum()) / self.n
             return ([0.0] * self.width, 1.0 if one else -1.0), error, self.slacks(share)
-        groups = self.groups
 
-        def targets(batch):
-            a, y = newton.group_codes(batch, groups), batch.column("_y").to_numpy(zero_copy_only=False)
-            return wanted[a, y], weight[a, y]
+        def targets(block):
+            return wanted[block.a, block.y], weight[block.a, block.y]
 
-        def votes(batch, z):
-            a, y = newton.group_codes(batch, groups), batch.column("_y").to_numpy(zero_copy_only=False)
+        def votes(block, z):
             h = (z > 0).astype(float)
-            return np.append(np.bincount(a, h, k), np.abs(h - y).sum())
+            return np.append(np.bincount(block.a, h, k), np.abs(h - block.y).sum())
 
-        fit = newton.minimise(self.rows, self.width, targets, total, self.last.get(kind), ROUND_TOLERANCE,
+        fit = newton.minimise(self.blocks, self.width, targets, total, self.last.get(kind), ROUND_TOLERANCE,
                               votes, k + 1, ROUND_DECREASE)
         self.last[kind] = fit.start
         self.passes += fit.passes

@@ -49,6 +49,26 @@ def test_warm_start_saves_passes_and_partitions_do_not_matter(rows, monkeypatch)
     assert np.allclose(newton.fit(rows.repartition(9)).coefficients, cold.coefficients, atol=1e-8)
 
 
+def test_a_start_sure_of_other_labels_gives_way_to_zeros(rows):
+    """A round of the reduction may start at coefficients that grew on labels that are now turned around."""
+    cold = newton.fit(rows)
+    wrong = newton.fit(rows, start=-1e3 * cold.start)
+    assert wrong.passes <= cold.passes + 1
+    assert np.allclose(wrong.coefficients, cold.coefficients, atol=1e-7)
+
+
+def test_rows_are_packed_into_small_blocks_and_come_back(spark, monkeypatch):
+    monkeypatch.setattr(newton, "BLOCK_BYTES", 3 * 2 * 8)
+    data = [("b" if i % 3 else "a", i % 2, 0.5 * i, [float(i), -1.0]) for i in range(10)]
+    df = spark.createDataFrame(data, "_a string, _y int, _w double, _x array<double>").repartition(3)
+    blocks = newton.packed(df, ["a", "b"])
+    got = [newton._unpacked(b) for b in blocks.collect()]
+    blocks.unpersist()
+    assert all(len(b.y) <= 3 for b in got)
+    back = sorted(("ab"[a], int(y), float(w), x.tolist()) for b in got for x, y, w, a in zip(b.x, b.y, b.w, b.a))
+    assert back == sorted(data)
+
+
 def test_one_class_and_no_rows(spark, rows):
     one = newton.fit(rows.where("y_true = 1"))
     assert one.intercept == float("inf") and not one.coefficients.any()
