@@ -13,6 +13,7 @@ The last stages have no SQL form (tokenizer ids, a genetic algorithm), so
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.llm import grouping_packer, line_rules, lsh_forest, pareto_mix, quadratic_classifier
@@ -33,8 +34,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return lsh_forest.distinct_documents(docs)
 
 
+def _stored(docs: DataFrame) -> bool:
+    """Whether Parquet files hold the rows, as the table of a stage before does."""
+    try:
+        return bool(docs.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pareto_mix.mixed_documents(docs)
+    return pareto_mix.mixed_documents(docs, stored=_stored(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

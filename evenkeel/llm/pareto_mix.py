@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 def _drawn(docs: DataFrame, place: F.Column, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
            seed: int = SEED) -> DataFrame:
-    """``mix`` with ``place``, the number that names the row in ``docs``."""
+    """``mix`` with ``place``, which names the row in ``docs``."""
     rows = written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         n_words(F.col("text").cast("string")).alias("size"), mark(*NAMED).alias("mark"), place.alias("place")), "mix_rows")
@@ -155,13 +155,17 @@ def _settled(state: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
             .withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, stored: bool = False, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns.
 
-    ``docs`` is written once with a number per row; counts join back on that number.
+    ``docs`` is written once with a number per row; counts join back on that number. A ``stored``
+    Parquet table is not written again: its file and the place there name a row.
     """
     name, place, times = (fresh(docs, n) for n in ("mixed_row", "mixed_place", "mixed_times"))
-    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "mix_docs")
+    if stored:
+        rows = docs.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
+    else:
+        rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "mix_docs")
     copies = (_drawn(rows, F.col(f"`{name}`"), **options).where("copies > 0")
               .select(F.col("place").alias(place), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times)))
     joined = rows.join(written(copies, "mix_copies"), F.col(f"`{name}`") == F.col(place))

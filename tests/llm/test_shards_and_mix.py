@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as P
 from evenkeel.llm import feistel_shards as S
 from evenkeel.llm import pareto_mix as M
 from evenkeel.llm import queries
@@ -151,3 +152,25 @@ def test_long_and_certain_copies_come_first():
 def test_query_of_shards_has_its_columns(spark):
     df = queries.op4_feistel_shards(spark, "/root/testdata/sf0.001")
     assert dict(df.dtypes)["grown_shard"] == "int" and dict(df.dtypes)["size"] == "bigint"
+
+
+def test_stored_documents_are_mixed_without_a_copy(spark, tmp_path, monkeypatch):
+    rows = [(i % 50, " ".join(["w"] * (i % 9)), "abc"[i % 3], i) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    names, write = [], M.written
+
+    def noted(df, name):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(M, "written", noted)
+    out = M.mixed_documents(docs, stored=True)
+    assert "mix_docs" not in names and out.columns == docs.columns
+    taken = {r["k"]: r["n"] for r in M.mix(docs).groupBy(F.struct("doc_id", "source", "size").alias("k")).agg(F.sum("copies").alias("n")).collect()}
+    got = out.groupBy("extra").count().collect()
+    assert all(1 <= r["count"] <= M.CAP for r in got)
+    size = F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long").alias("size")
+    back = {r["k"]: r["n"] for r in out.groupBy(F.struct("doc_id", "source", size).alias("k")).agg(F.count("*").alias("n")).collect()}
+    assert back == {k: n for k, n in taken.items() if n}
+    assert P._stored(docs) and not P._stored(docs.union(docs)) and not P._stored(spark.range(3).toDF("doc_id"))
