@@ -29,6 +29,8 @@ from evenkeel.operators import models
 #: Mean gradient at which a fit has converged, and the most steps.
 TOLERANCE = 1e-9
 MAX_STEPS = 100
+#: How often a step is halved at most.
+HALVINGS = 19
 #: Widest Gram matrix kept (32 MB); more features are fitted by Spark ML.
 MAX_FEATURES = 2000
 #: Partial sums that the driver adds up by itself.
@@ -138,6 +140,19 @@ def _sums(beta: np.ndarray, targets: Callable, extra: Optional[Callable], n_extr
     return run
 
 
+def _losses(beta: np.ndarray, step: np.ndarray, shares: np.ndarray, targets: Callable):
+    def run(rows: Iterator) -> Iterator[np.ndarray]:
+        total = np.zeros(len(shares))
+        for block in map(_unpacked, rows):
+            y, w = targets(block)
+            z, down = block.x @ beta[:-1] + beta[-1], block.x @ step[:-1] + step[-1]
+            for i, share in enumerate(shares):
+                at = z - share * down
+                total[i] += (w * (np.log1p(np.exp(-np.abs(at))) + np.maximum(at, 0) - y * at)).sum()
+        yield total
+    return run
+
+
 def minimise(blocks: RDD, width: int, targets: Callable, total: float, start: Optional[np.ndarray] = None,
              tolerance: float = TOLERANCE, extra: Optional[Callable] = None, n_extra: int = 0,
              decrease: float = 0.0) -> LogisticFit:
@@ -145,44 +160,47 @@ def minimise(blocks: RDD, width: int, targets: Callable, total: float, start: Op
 
     ``targets(block)`` gives labels and weights, ``total`` is the sum of the weights;
     ``extra(block, margins)`` gives ``n_extra`` sums at the same place, whose values at the result
-    are returned. A start that is worse than zeros gives way to them. Steps that raise the objective are
-    halved. Ends at the ``tolerance`` of the mean gradient, or once a step promises to lower the mean
-    loss by ``decrease`` or less.
+    are returned. Steps that raise the objective are halved; one pass finds how often. Ends at the
+    ``tolerance`` of the mean gradient, or once a step promises to lower the mean loss by ``decrease`` or less.
     """
     ridge = np.append(np.full(width, 1.0 / models.C), 0.0)
     scale = max(total, 1e-300)
     wide = blocks.getNumPartitions() > DRIVER_SUMS
     cut = 1 + width + 1, 1 + width + 1 + (width + 1) ** 2
 
+    def added(run: Callable) -> np.ndarray:
+        parts = blocks.mapPartitions(run)
+        return parts.treeReduce(np.add) if wide else np.sum(parts.collect(), axis=0)
+
     def at(beta: np.ndarray):
-        parts = blocks.mapPartitions(_sums(beta, targets, extra, n_extra))
-        s = parts.treeReduce(np.add) if wide else np.sum(parts.collect(), axis=0)
+        s = added(_sums(beta, targets, extra, n_extra))
         return (s[0] + 0.5 * float(ridge @ (beta * beta)), s[1:cut[0]] + ridge * beta,
                 s[cut[0]:cut[1]].reshape(width + 1, width + 1) + np.diag(ridge), s[cut[1]:])
 
     beta = np.zeros(width + 1) if start is None else np.asarray(start, float).copy()
     value, gradient, gram, more = at(beta)
     passes = 1
-    if beta.any() and value > total * math.log(2):  # zeros, whose value is known, are nearer: a start that is
-        beta = np.zeros(width + 1)                  # sure of other labels has flat spots that throw steps far off
-        value, gradient, gram, more = at(beta)
-        passes += 1
     for _ in range(MAX_STEPS):
         if np.abs(gradient).max() <= tolerance * scale:
             break
         step = np.linalg.lstsq(gram, gradient, rcond=None)[0]
         if 0.5 * float(gradient @ step) <= decrease * scale:
             break
-        share = 1.0
-        while True:
-            new = beta - share * step
-            got = at(new)
+        new = beta - step
+        got = at(new)
+        passes += 1
+        most = value + 1e-12 * abs(value)
+        if got[0] > most:
+            shares = 0.5 ** np.arange(1, HALVINGS + 1)
+            values = added(_losses(beta, step, shares, targets)) + [
+                0.5 * float(ridge @ (beta - share * step) ** 2) for share in shares]
             passes += 1
-            if got[0] <= value + 1e-12 * abs(value) or share < 1e-6:
+            low = np.flatnonzero(values <= most)
+            if not len(low):
                 break
-            share /= 2
-        if share < 1e-6:
-            break
+            new = beta - shares[low[0]] * step
+            got = at(new)
+            passes += 1
         beta, (value, gradient, gram, more) = new, got
     return LogisticFit(beta[:-1], float(beta[-1]), float(np.abs(gradient).max() / scale), passes, more)
 
