@@ -66,7 +66,8 @@ class _Model:
         self.hits = np.tile(np.array([1, 1, 2], np.int64), (_BUCKETS, 1))
         self.kinds = np.zeros(_BUCKETS << 2, np.int64)
         self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
+        self.hash1 = np.zeros(lanes, np.uint32)  # of the last id, and what the id before it adds
+        self.hash2 = np.zeros(lanes, np.uint32)
         self.recent: list[np.ndarray] = []
         self._refresh()
         self._reweigh()
@@ -104,7 +105,7 @@ class _Model:
     def predict(self, n: int) -> None:
         """Set the mixture of the first ``n`` lanes: candidates and ends of their weights."""
         p1 = self.p1[:n]
-        self.at2 = ((self.p2[:n] * 0x9E3779B1 + p1 * 0x85EBCA77) >> 7) & ((1 << TABLE_BITS) - 1)
+        self.at2 = ((self.hash1[:n] + self.hash2[:n]) >> (32 - TABLE_BITS)).astype(np.int64)
         self.e1 = self.order1.take(p1, mode="clip")
         self.e2 = self.order2.take(self.at2, mode="clip")
         self.c1, self.c2 = self.e1 >> CONF_BITS, self.e2 >> CONF_BITS
@@ -133,8 +134,9 @@ class _Model:
         weight = first + (self.end2 - self.end1) * hit2
         at = x.astype(np.int64)
         self.recent.append(at)
-        self.p2[:n] = self.p1[:n]
         self.p1[:n] = at
+        np.multiply(self.hash1[:n], 0x9E3779B1, out=self.hash2[:n])
+        np.multiply(x.view(np.uint32), 0x85EBCA77, out=self.hash1[:n])
         return weight, self.end1 - first
 
     def settle(self) -> None:

@@ -2,19 +2,23 @@
 
 Both byte-level tokenizers split a text before a space that follows a
 non-space, so a text's ids are those of its space-separated pieces in
-order. A task encodes each distinct piece once, keeps the ids in one flat
-array and gathers them per text with numpy. Texts with runs of spaces are
-encoded whole where a piece owns its leading space, since the run's split
-depends on its length there.
+order. Arrow splits the texts and numbers their distinct pieces; a piece of
+letters and closing marks is taken as its letters and its marks. A task
+encodes each distinct one of these once, keeps the ids in one flat array and
+gathers them per text with numpy. Texts with runs of spaces are encoded whole
+where a piece owns its leading space, since the run's split depends on its
+length there.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces kept per Python worker before the store starts again.
 MAX_PIECES = 900_000
@@ -27,10 +31,17 @@ _HIDDEN = [b for b in range(256) if b not in set(_SHOWN)]
 _CHAR_OF = {**{b: chr(b) for b in _SHOWN}, **{b: chr(256 + i) for i, b in enumerate(_HIDDEN)}}
 _SPACE_CHAR = _CHAR_OF[32]
 _BYTE_CHARS = {c: "".join(_CHAR_OF[b] for b in chr(c).encode()) for c in range(256)}
-#: (newline, letters, marks): letters whose pre-token is the same in any context, closing ASCII marks.
-_CLOSED = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)").fullmatch
-#: Runs of white space whose split depends on their length.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+#: Letters whose pre-token is the same in any context, at the start of a line or not; marks may close them.
+_LETTERS = re.compile(f"\n?{_LETTER}+").fullmatch
+_LETTER_CHARS = "".join(c for c in map(chr, range(256)) if re.match(_LETTER, c))
+_WORD_CHARS = {_SPACE_CHAR, *(c for letter in _LETTER_CHARS for c in _BYTE_CHARS[ord(letter)])}
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_CLOSED = f"^\n?{_LETTER}+[!-/:-@\\[-`{{-~]+$"
+#: Runs of white space whose split depends on their length, and what every text with such a run holds.
 _RUNS = re.compile(r"\s[^\S\n ]|[^\S\n ]\s|  | \n|\n[ \n]|\n$")
+_MAY_RUN = ("[\t\v\f\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+            "|  | \n|\n[ \n]|\n\\z")
 
 _ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
 
@@ -41,23 +52,29 @@ class PieceEncoder:
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = spaced
         # The same model fed with ready pre-tokens: bytes as the characters that stand for them.
         self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = Split(" ", "removed")
+        self.bare.pre_tokenizer = WhitespaceSplit()
         self.edge = np.zeros(self.vocab, bool)
+        joined = spaced
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith(_SPACE_CHAR) if spaced else token.endswith(_WORD_END)
+            inner = _SPACE_CHAR in token.lstrip(_SPACE_CHAR)
+            joined &= not (inner and _WORD_CHARS.issuperset(token))
+        # Where no token goes on past a word's end, no merge does: many words are then one string to the model.
+        self.between = "" if joined else " "
         self.newline = (self._raw(["\n"])[0] or [-1])[0]
-        self.tails: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
+        self.stored = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.uint32)
@@ -66,8 +83,8 @@ class PieceEncoder:
     def _raw(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _store(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        first, n = len(self.index), len(keys)
+    def _store(self, index: dict[str, int], keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = self.stored, len(keys)
         self.starts = _room(self.starts, first + n)
         self.sizes = _room(self.sizes, first + n)
         self.ids = _room(self.ids, self.used + len(flat))
@@ -75,19 +92,21 @@ class PieceEncoder:
         self.starts[first:first + n] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
-        self.index.update(zip(keys, range(first, first + n)))
+        self.stored += n
+        index.update(zip(keys, range(first, first + n)))
 
     def _learn_words(self, words: list[str]) -> None:
         """Pieces of plain letters: one pre-token each, given to the library's BPE model many at a time."""
+        start = _SPACE_CHAR if self.spaced else ""
         for at in range(0, len(words), 8192):
             part = words[at:at + 8192]
-            if self.spaced:
-                mapped = [(" " + w).translate(_BYTE_CHARS) for w in part]
-            else:
-                mapped = [w.lower().translate(_BYTE_CHARS) for w in part]
-            lines = [" ".join(mapped[i:i + 64]) for i in range(0, len(mapped), 64)]
+            lines = [" ".join(part[i:i + 64]) for i in range(0, len(part), 64)]
+            if not self.spaced:
+                lines = [line.lower() for line in lines]
+            lines = [start + (line if line.isascii() else _shown(line)).replace(" ", self.between + start)
+                     for line in lines]
             got = [e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
-            flat = np.array([i for ids in got for i in ids], np.uint32)
+            flat = _flat(got)
             edge = np.flatnonzero(self.edge[flat])
             if self.spaced:
                 sizes = np.diff(np.append(edge, len(flat)))
@@ -95,95 +114,90 @@ class PieceEncoder:
                 sizes = np.diff(np.concatenate(([-1], edge)))
             if len(sizes) != len(part):
                 raise ValueError("a piece of plain letters is not one pre-token of this tokenizer")
-            self._store(part, flat, sizes)
+            self._store(self.index, part, flat, sizes)
 
     def _learn_line_starts(self, keys: list[str]) -> None:
         """Words after a newline: encoded many at a time, cut at the ids of the newlines."""
         for at in range(0, len(keys), 4096):
             part = keys[at:at + 4096]
-            got = self._raw(["".join(part[i:i + 64]) for i in range(0, len(part), 64)])
-            flat = np.array([i for ids in got for i in ids], np.uint32)
+            flat = _flat(self._raw(["".join(part[i:i + 64]) for i in range(0, len(part), 64)]))
             sizes = np.diff(np.append(np.flatnonzero(flat == self.newline), len(flat)))
             if len(sizes) != len(part):
                 raise ValueError("a newline before a word is not one token of this tokenizer")
-            self._store(part, flat, sizes)
-
-    def _tail(self, marks: str) -> list[int]:
-        """Ids of marks that follow letters (a pre-token of their own)."""
-        if marks not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[marks] = self._raw(["a" + marks])[0][1:]
-        return self.tails[marks]
+            self._store(self.index, part, flat, sizes)
 
     def _learn(self, new: list[str]) -> None:
         """A key that starts with a space is the first piece of a text; no piece holds a space itself."""
-        words, starts, closed, rest = [], [], [], []
+        words, starts, rest = [], [], []
         for k in new:
-            m = _CLOSED(k)
-            if m is None:
-                rest.append(k)
-            elif m[3]:
-                closed.append((k, m[1] + m[2], m[3]))
-            else:
-                (starts if m[1] else words).append(k)
-        known = {*words, *starts}
-        for stem in {stem for _, stem, _ in closed}:
-            if stem not in self.index and stem not in known:
-                (starts if stem[0] == "\n" else words).append(stem)
-        self._learn_words(sorted(words))
-        self._learn_line_starts(sorted(starts))
+            (rest if not _LETTERS(k) else starts if k[0] == "\n" else words).append(k)
+        self._learn_words(words)
+        self._learn_line_starts(starts)
         for at in range(0, len(rest), 4096):
             part = rest[at:at + 4096]
             got = self._raw([k[1:] if k[:1] == " " else " " + k if self.spaced and k[:1] != "\n" else k for k in part])
-            self._store(part, np.array([i for ids in got for i in ids], np.uint32),
-                        np.fromiter(map(len, got), np.int64, len(got)))
-        if closed:
-            at = [self.index[stem] for _, stem, _ in closed]
-            begin, size = self.starts[at].tolist(), self.sizes[at].tolist()
-            ids: list[int] = []
-            sizes = []
-            for (_, _, marks), b, n in zip(closed, begin, size):
-                tail = self._tail(marks)
-                ids += self.ids[b:b + n].tolist()
-                ids += tail
-                sizes.append(n + len(tail))
-            self._store([k for k, _, _ in closed], np.array(ids, np.uint32), np.array(sizes, np.int64))
+            self._store(self.index, part, _flat(got), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _stored_at(self, keys: list[str], tails: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the keys, and of marks that follow letters (pre-tokens of their own), are stored."""
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        missed = np.flatnonzero(at < 0).tolist()
+        if len(missed) + self.stored > MAX_PIECES and self.index:
+            self._reset()
+            missed = range(len(keys))
+        if len(missed):
+            self._learn(list(dict.fromkeys(keys[i] for i in missed)))
+            at[missed] = [self.index[keys[i]] for i in missed]
+        new = [t for t in tails if t not in self.tails]
+        if new:
+            got = [ids[1:] for ids in self._raw(["a" + t for t in new])]
+            self._store(self.tails, new, _flat(got), np.fromiter(map(len, got), np.int64, len(got)))
+        return at, np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))
 
     def encode(self, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text); ``end`` closes every text."""
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        column = pa.array(texts, pa.large_string())
         whole: dict[int, np.ndarray] = {}
-        for i, text in enumerate(texts):
-            if not self.spaced:
-                parts = text.replace("\n", " ").split(" ")
-            else:
-                parts = text.replace("\n", " \n").split(" ")
-                plain = len(parts) == len(text.split()) and "" not in parts and "\n" not in parts
-                if not plain and _RUNS.search(text):
-                    whole[i] = np.array(self._raw([text])[0], np.uint32)
-                    continue
-                parts[0] = " " + parts[0]
-            counts[i] = len(parts)
-            pieces += parts
-        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missed = np.flatnonzero(at < 0)
-        if len(missed):
-            new = {pieces[i] for i in missed}
-            if len(new) + len(self.index) > MAX_PIECES and self.index:
-                self._reset()
-                new, missed = set(pieces), np.arange(len(pieces))
-            self._learn(sorted(new))
-            at[missed] = np.fromiter((self.index[pieces[i]] for i in missed), np.int64, len(missed))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = _gather(self.ids, self.starts[at], sizes)
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        bound = np.concatenate(([0], ends))[upto]
+        if self.spaced:
+            for i in np.flatnonzero(pc.match_substring_regex(column, _MAY_RUN).to_numpy(zero_copy_only=False)).tolist():
+                if _RUNS.search(texts[i]):
+                    whole[i] = np.array(self._raw([texts[i]])[0], np.uint32)
+            if whole:
+                column = pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string())
+        parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n" if self.spaced else " "), " ")
+        bound = parts.offsets.to_numpy()  # every text has a piece
+        numbered = parts.values.dictionary_encode()
+        piece, names = numbered.indices.to_numpy(), numbered.dictionary
+        # A piece is its letters and its marks, or is taken whole.
+        closed = pc.match_substring_regex(names, _CLOSED)
+        stems = pc.if_else(closed, pc.ascii_rtrim(names, characters=_MARKS), names).dictionary_encode()
+        closed = np.flatnonzero(closed.to_numpy(zero_copy_only=False))
+        stem = stems.indices.to_numpy()
+        keys = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+        marks = pc.utf8_ltrim(names.take(pa.array(closed)), characters="\n" + _LETTER_CHARS).dictionary_encode()
+        tails = marks.dictionary.to_pylist()
+        firsts = []
+        if self.spaced:  # the first piece of a text has no space before it
+            firsts = [" " + p for p in parts.values.take(pa.array(bound[:-1])).to_numpy(zero_copy_only=False)]
+        at, tail = self._stored_at(keys + firsts, tails)
+        runs = np.zeros((len(names) + len(firsts), 2), np.int64)
+        sizes = np.zeros(runs.shape, np.int64)
+        of_name = np.concatenate((at[stem], at[len(keys):]))
+        runs[:, 0], sizes[:, 0] = self.starts[of_name], self.sizes[of_name]
+        tail = tail[marks.indices.to_numpy()]
+        runs[closed, 1], sizes[closed, 1] = self.starts[tail], self.sizes[tail]
+        ids = _gather(self.ids, runs.ravel(), sizes.ravel())
+        sizes = sizes.sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        if firsts:
+            piece = piece.copy()
+            piece[bound[:-1]] = len(names) + np.arange(len(firsts))
+        sizes = sizes[piece]
+        flat = _gather(ids, starts[piece], sizes)
+        bound = np.concatenate(([0], np.cumsum(sizes)))[bound]
         lens = np.diff(bound)
-        for i, ids in whole.items():
-            lens[i] = len(ids)
+        for i, own in whole.items():
+            lens[i] = len(own)
         out = np.empty(int(lens.sum()) + len(texts), np.uint32)
         stops = np.cumsum(lens + 1)
         out[stops - 1] = end
@@ -198,6 +212,15 @@ class PieceEncoder:
         return out, lens + 1
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.uint32)
+
+
+def _shown(line: str) -> str:
+    """A line of words as the characters that stand for their bytes; spaces stay."""
+    return " ".join(word.translate(_BYTE_CHARS) for word in line.split(" "))
+
+
 def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``ids`` at ``starts``, end to end."""
     ends = np.cumsum(sizes)
