@@ -69,8 +69,6 @@ class _Model:
         self.hash1 = np.zeros(lanes, np.uint32)  # of the last id, and what the id before it adds
         self.hash2 = np.zeros(lanes, np.uint32)
         self.recent: list[np.ndarray] = []
-        self._refresh()
-        self._reweigh()
 
     def _refresh(self) -> None:
         if self.recent:
@@ -88,7 +86,7 @@ class _Model:
         right = self.kinds.reshape(-1, 4)
         self.hits += np.stack((right[:, 1] + right[:, 3], right[:, 2], right[:, 0]), axis=1)
         self.kinds[:] = 0
-        if self.steps % 64 == 0:
+        if self.steps % 64 == 0 and self.steps:
             self.hits = np.maximum(1, self.hits - (self.hits >> 3))
         share = 1 + self.hits[:, :2] * (_WEIGHTS - 3) // self.hits.sum(axis=1)[:, None]
         share[_BUCKETS >> 1:, 1] = 0  # both candidates are the same id: its weight is the first one
@@ -103,7 +101,12 @@ class _Model:
         return self._id_at.take(place, mode="clip")
 
     def predict(self, n: int) -> None:
-        """Set the mixture of the first ``n`` lanes: candidates and ends of their weights."""
+        """Set the mixture of the first ``n`` lanes: candidates and ends of their weights; renews what is due."""
+        if self.steps % REWEIGH == 0 or self.steps < REWEIGH:
+            self._reweigh()
+        if self.steps % REFRESH == 0 or self.steps & (self.steps - 1) == 0:
+            self._refresh()
+        self.steps += 1
         p1 = self.p1[:n]
         self.at2 = ((self.hash1[:n] + self.hash2[:n]) >> (32 - TABLE_BITS)).astype(np.int64)
         self.e1 = self.order1.take(p1, mode="clip")
@@ -139,14 +142,6 @@ class _Model:
         np.multiply(x.view(np.uint32), 0x85EBCA77, out=self.hash1[:n])
         return weight, self.end1 - first
 
-    def settle(self) -> None:
-        """After a step is coded: renew what is due."""
-        self.steps += 1
-        if self.steps % REWEIGH == 0 or self.steps < REWEIGH:
-            self._reweigh()
-        if self.steps % REFRESH == 0 or self.steps & (self.steps - 1) == 0:
-            self._refresh()
-
 
 def _layout(n: int) -> tuple[int, int, int]:
     """(lanes, steps, lanes of the last step): the first lanes hold one id more than the others."""
@@ -172,7 +167,6 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         weight, start = model.update(rows[t, :m])
         at = model.p1[:m]
         coded.append((model.f0.take(at, mode="clip"), model.c0.take(at, mode="clip"), weight, start, model.end2))
-        model.settle()
     state = np.full(lanes, _LEAST, np.int64)
     words = []
     for f0, c0, weight, start, end2 in reversed(coded):
@@ -224,7 +218,6 @@ def decode_block(data: bytes, n: int, vocab: int) -> np.ndarray:
         s >>= TOTAL_BITS
         s *= plain + (weight << BASE_BITS)
         s += rank
-        model.settle()
         rows[t, :m] = x
         low = np.flatnonzero(s < _LEAST)
         s[low] = (s[low] << _WORD) | words[used:used + len(low)]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces kept per Python worker before the store starts again.
+#: Distinct pieces kept per Python worker before those used only once go.
 MAX_PIECES = 900_000
 
 _WORD_END = "</w>"
@@ -33,7 +33,7 @@ _SPACE_CHAR = _CHAR_OF[32]
 _BYTE_CHARS = {c: "".join(_CHAR_OF[b] for b in chr(c).encode()) for c in range(256)}
 _LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 #: Letters whose pre-token is the same in any context, at the start of a line or not; marks may close them.
-_LETTERS = re.compile(f"\n?{_LETTER}+").fullmatch
+_LETTERS, _LINE_START = f"^{_LETTER}+$", f"^\n{_LETTER}+$"
 _LETTER_CHARS = "".join(c for c in map(chr, range(256)) if re.match(_LETTER, c))
 _WORD_CHARS = {_SPACE_CHAR, *(c for letter in _LETTER_CHARS for c in _BYTE_CHARS[ord(letter)])}
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -77,9 +77,21 @@ class PieceEncoder:
         self.stored = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keep only pieces met again since they were stored."""
+        at = np.fromiter(self.index.values(), np.int64, len(self.index))
+        again = self.uses[at] > 1
+        keys = [k for k, kept in zip(self.index, again.tolist()) if kept]
+        sizes = self.sizes[at[again]]
+        ids = _gather(self.ids, self.starts[at[again]], sizes)
+        self._reset()
+        if 2 * len(keys) < MAX_PIECES:
+            self._store(self.index, keys, ids, sizes)
+
     def _raw(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
@@ -87,6 +99,7 @@ class PieceEncoder:
         first, n = self.stored, len(keys)
         self.starts = _room(self.starts, first + n)
         self.sizes = _room(self.sizes, first + n)
+        self.uses = _room(self.uses, first + n)
         self.ids = _room(self.ids, self.used + len(flat))
         self.sizes[first:first + n] = sizes
         self.starts[first:first + n] = self.used + np.cumsum(sizes) - sizes
@@ -126,28 +139,27 @@ class PieceEncoder:
                 raise ValueError("a newline before a word is not one token of this tokenizer")
             self._store(self.index, part, flat, sizes)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn_rest(self, keys: list[str]) -> None:
         """A key that starts with a space is the first piece of a text; no piece holds a space itself."""
-        words, starts, rest = [], [], []
-        for k in new:
-            (rest if not _LETTERS(k) else starts if k[0] == "\n" else words).append(k)
-        self._learn_words(words)
-        self._learn_line_starts(starts)
-        for at in range(0, len(rest), 4096):
-            part = rest[at:at + 4096]
+        for at in range(0, len(keys), 4096):
+            part = keys[at:at + 4096]
             got = self._raw([k[1:] if k[:1] == " " else " " + k if self.spaced and k[:1] != "\n" else k for k in part])
             self._store(self.index, part, _flat(got), np.fromiter(map(len, got), np.int64, len(got)))
 
-    def _stored_at(self, keys: list[str], tails: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of the keys, and of marks that follow letters (pre-tokens of their own), are stored."""
+    def _stored_at(self, keys: list[str], kinds: np.ndarray, tails: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the keys (different ones; kind 1: letters, 2: letters that start a line, 0: others) and
+        of marks that follow letters (pre-tokens of their own) are stored."""
         at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
-        missed = np.flatnonzero(at < 0).tolist()
+        missed = np.flatnonzero(at < 0)
         if len(missed) + self.stored > MAX_PIECES and self.index:
-            self._reset()
-            missed = range(len(keys))
-        if len(missed):
-            self._learn(list(dict.fromkeys(keys[i] for i in missed)))
-            at[missed] = [self.index[keys[i]] for i in missed]
+            self._forget()
+            at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+            missed = np.flatnonzero(at < 0)
+        for kind, learn in enumerate((self._learn_rest, self._learn_words, self._learn_line_starts)):
+            new = missed[kinds[missed] == kind]
+            at[new] = self.stored + np.arange(len(new))
+            learn([keys[i] for i in new.tolist()])
+        self.uses[at] += 1
         new = [t for t in tails if t not in self.tails]
         if new:
             got = [ids[1:] for ids in self._raw(["a" + t for t in new])]
@@ -179,10 +191,15 @@ class PieceEncoder:
         firsts = []
         if self.spaced:  # the first piece of a text has no space before it
             firsts = [" " + p for p in parts.values.take(pa.array(bound[:-1])).to_numpy(zero_copy_only=False)]
-        at, tail = self._stored_at(keys + firsts, tails)
-        runs = np.zeros((len(names) + len(firsts), 2), np.int64)
+        own = {k: i for i, k in enumerate(dict.fromkeys(firsts), len(keys))}
+        kinds = np.zeros(len(keys) + len(own), np.int8)
+        for kind, pattern in enumerate((_LETTERS, _LINE_START), 1):
+            matches = pc.match_substring_regex(stems.dictionary, pattern).to_numpy(zero_copy_only=False)
+            kinds[:len(keys)][matches] = kind
+        at, tail = self._stored_at(keys + list(own), kinds, tails)
+        of_name = np.concatenate((at[stem], at[[own[k] for k in firsts]] if firsts else at[:0]))
+        runs = np.zeros((len(of_name), 2), np.int64)
         sizes = np.zeros(runs.shape, np.int64)
-        of_name = np.concatenate((at[stem], at[len(keys):]))
         runs[:, 0], sizes[:, 0] = self.starts[of_name], self.sizes[of_name]
         tail = tail[marks.indices.to_numpy()]
         runs[closed, 1], sizes[closed, 1] = self.starts[tail], self.sizes[tail]
