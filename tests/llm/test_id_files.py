@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from evenkeel.llm import id_files
+from evenkeel.llm import id_files, mixing_coder, subwords
 from evenkeel.llm.mixing_coder import decode_block, encode_block
 from evenkeel.llm.subwords import PieceEncoder
 
@@ -42,6 +42,46 @@ def test_blocks_round_trip(n):
         assert (decode_block(encode_block(ids, 50_257), n, 50_257) == ids).all()
 
 
+@pytest.mark.parametrize("vocab", [1, 2, 3, 300, 70_000])
+def test_blocks_round_trip_in_any_vocabulary(vocab):
+    rng = np.random.default_rng(vocab)
+    for ids in (rng.integers(0, vocab, 9001), np.tile(rng.integers(0, vocab, 7), 900), np.full(5000, vocab - 1)):
+        assert (decode_block(encode_block(ids, vocab), len(ids), vocab) == ids).all()
+
+
+def test_reading_searches_nothing(monkeypatch):
+    """An id is looked up by its place, once per id, not searched among all ids' bounds."""
+    ids = np.random.default_rng(1).zipf(1.3, 20_000) % 50_000
+    data, looked_up, id_at = encode_block(ids, 50_257), [], mixing_coder._Model.id_at
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: pytest.fail("searched"))
+    monkeypatch.setattr(mixing_coder._Model, "id_at", lambda m, p: looked_up.append(len(p)) or id_at(m, p))
+    assert (decode_block(data, len(ids), 50_257) == ids).all()
+    assert sum(looked_up) == len(ids)
+
+
+def test_letters_are_learned_once_whatever_closes_them(encoder):
+    own = PieceEncoder(BYTE if encoder.spaced else WORD, encoder.spaced)
+    marks = ["", ",", ".", "!?", "...", ")", "'"]
+    own.encode(["x " + " ".join(f"Liebling{m} \u00e9t\u00e9{m}" for m in marks)], 0)
+    assert len([k for k in own.index if k in ("Liebling", "\u00e9t\u00e9")]) == 2
+    assert not [k for k in own.index if k[-1] in ",.!?)'"]
+
+
+def test_full_store_keeps_what_is_met_again(encoder, monkeypatch):
+    own = PieceEncoder(BYTE if encoder.spaced else WORD, encoder.spaced)
+    monkeypatch.setattr(subwords, "MAX_PIECES", 60)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh\u00e9"), 5)) for _ in range(400)]
+    held = []
+    for k in range(0, 400, 10):
+        texts = ["it is often said,", " ".join(words[k:k + 10]) + "\nits end."]
+        ids, _ = own.encode(texts, 0)
+        assert ids.tolist() == [i for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)
+                                for i in e.ids + [0]]
+        held.append("often" in own.index and own.stored <= 60 + len(own.tails))
+    assert all(held)
+
+
 def test_repetition_is_cheap():
     ids = np.tile(np.random.default_rng(0).integers(0, 50_000, 500), 200)
     assert len(encode_block(ids, 50_257)) < 2 * len(ids) / 4
