@@ -8,10 +8,15 @@ centre ``c`` and ``x`` with ``h``, then ``x.(h - c) <= |x - y| |h - c|``, and
 linked unit vectors are at most ``sqrt(2 - 2 cos)`` apart. So every link of
 a vector is found in its home cell, and none is lost between cells.
 
-Cells are cut into blocks; a pair of blocks is a task that multiplies the
-vectors at home in the one with all members of the other and returns link
-counts of the former and a spanning forest of the links. Components of the forests give one
-representative per group.
+Neighbouring cells form blocks of at most 8 MB of a label (a fuller block is
+dealt over several). A task holds the vectors at home in one block and streams
+past it the guests of its cells; of two blocks one streams past the other, so a
+pair is met once, and a vector is sent once for each block it visits, however
+many of its cells that has. Products are taken cell by cell, and a streamed vector
+skips cells whose own vectors are all too far from it. A task returns link
+counts and a spanning forest of the links; components of the forests give one
+representative per group. Rows find their vector by a digest of 128 bits, so that
+vectors move twice: when equal ones are collapsed, and to the tasks.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components, and rows with a null label, link with nothing and
@@ -39,7 +44,11 @@ SAMPLE = 20_000
 PER_CENTRE = 2000
 MAX_CENTRES = 4096
 ITERATIONS = 8
-BLOCK = 2048
+#: Bytes of vectors at home in a block, and vectors multiplied at once.
+BLOCK_BYTES = 8 << 20
+TILE = 2048
+#: Doubles keep cosines to far less than this.
+SLACK = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -68,35 +77,51 @@ def spherical_kmeans(x: np.ndarray, k: int, iterations: int = ITERATIONS, seed:
     return centres
 
 
+_PLACED_DDL = "rep long, label long, dim int, copies long, vector array<float>, cell int, to int, home boolean"
 _PLACED = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("copies", pa.int64()),
-                     ("vector", pa.list_(pa.float32())), ("cell", pa.int32()), ("home", pa.bool_())])
-_PLACED_DDL = "rep long, label long, dim int, copies long, vector array<float>, cell int, home boolean"
+                     ("vector", pa.list_(pa.float32())), ("cell", pa.int32()), ("to", pa.int32()), ("home", pa.bool_())])
 
 
-def _assign(centres: dict[int, np.ndarray], reach: float):
-    gaps = {d: np.sqrt(np.maximum(0, ((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))) if len(c) <= 512 else None
-            for d, c in centres.items()}
+def goes(own, other):
+    """Of two blocks or parts exactly one streams past the other: does ``own``?"""
+    return ((own + other) % 2 == 0) == (other < own)
 
+
+def gaps(centres: np.ndarray, home: np.ndarray, cells=slice(None)) -> np.ndarray:
+    """Distance of each home centre to the centres ``cells``."""
+    c, h = centres[cells], centres[home]
+    return np.sqrt(np.maximum(0, (h * h).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * h @ c.T))
+
+
+def _assign(centres: dict[int, np.ndarray], reach: float, block: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for the block where a vector is at home, and one for each block that it visits."""
         for batch in batches:
-            dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            for d in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == d))
+            dims, rows = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("dim", "rows"))
+            for d, n in np.unique(np.stack([dims, rows]), axis=1).T.tolist():
+                part = batch.filter(pa.array((dims == d) & (rows == n)))
                 x = unit(part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
                 c = centres[d]
+                k = len(c)
+                b = min(k, -(-n // (block or block_rows(d))))
+                block_of = np.arange(k) * b // k
+                first = np.searchsorted(block_of, np.arange(b))
                 for at in range(0, len(x), 1024):
                     sims = x[at:at + 1024] @ c.T
                     home = sims.argmax(axis=1)
-                    gap = (gaps[d][home] if gaps[d] is not None else
-                           np.sqrt(np.maximum(0, ((c ** 2).sum(axis=1)[None] + (c[home] ** 2).sum(axis=1)[:, None]
-                                                  - 2 * c[home] @ c.T))))
-                    margin = sims[np.arange(len(home)), home][:, None] - sims
-                    row, cell = np.nonzero(margin <= reach * gap + 1e-9)
-                    at_home = cell == home[row]
+                    own = block_of[home]
+                    visits = np.zeros((len(home), b), bool)
+                    if b > 1:
+                        margin = sims[np.arange(len(home)), home][:, None] - sims
+                        near = margin <= reach * gaps(c, home) + SLACK
+                        visits = np.logical_or.reduceat(near, first, axis=1) & goes(own[:, None], np.arange(b)[None])
+                    visits[np.arange(len(home)), own] = True
+                    row, to = np.nonzero(visits)
                     take = pa.array(row + at)
                     cols = [part.column(n).take(take) for n in ("rep", "label", "dim", "copies", "vector")]
                     yield pa.RecordBatch.from_arrays(
-                        [*cols, pa.array(cell.astype(np.int32)), pa.array(at_home)], schema=_PLACED)
+                        [*cols, pa.array(home[row].astype(np.int32)), pa.array(to.astype(np.int32)),
+                         pa.array(to == own[row])], schema=_PLACED)
     return run
 
 
@@ -108,76 +133,160 @@ def linked(left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
     return left @ right.T >= cosine
 
 
-def _compare(cosine: float):
+class _Side:
+    """Vectors of a task with what is found of them, sorted by home cell."""
+
+    def __init__(self, rep: np.ndarray, copies: np.ndarray, cell: np.ndarray, x: np.ndarray) -> None:
+        order = np.argsort(cell, kind="stable")
+        self.rep, self.copies, self.cell, self.x = rep[order], copies[order].astype(np.float64), cell[order], unit(x[order])
+        self.links, self.up = np.zeros(len(rep)), {}
+
+
+class _Task:
+    """The vectors at home in a block (or a part of one), and those that are streamed past them."""
+
+    def __init__(self, held: _Side, centres: np.ndarray, reach: float, cosine: float) -> None:
+        self.held, self.centres, self.reach, self.cosine = held, centres, reach, cosine
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+        self.cells, start = np.unique(held.cell, return_index=True)
+        self.spans = list(zip(start.tolist(), [*start[1:].tolist(), len(held.cell)]))
+        #: Least cosine with its centre that a vector linked with one at home in the cell can have.
+        own = np.einsum("ij,ij->i", held.x, centres[held.cell])
+        widest = np.arccos(np.clip(np.minimum.reduceat(own, start), -1, 1)) if len(start) else np.empty(0)
+        self.least = np.cos(np.minimum(np.pi, widest + np.arccos(np.clip(cosine, -1, 1))))
+        for (begin, end), c in zip(self.spans, self.cells.tolist()):
+            for at in range(begin, end, TILE):
+                for to in range(at, end, TILE):
+                    self._meet(held, np.arange(at, min(at + TILE, end)), held, np.arange(to, min(to + TILE, end)),
+                               once=at == to)
+        self._pass(held, later=True)
+
+    def stream(self, side: _Side) -> None:
+        self._pass(side, later=False)
+
+    def _pass(self, side: _Side, later: bool) -> None:
+        """Meet the guests of each cell; ``later``: of the held vectors, those at home in later cells."""
+        for at in range(0, len(side.rep), TILE):
+            x, home = side.x[at:at + TILE], side.cell[at:at + TILE]
+            sims = x @ self.centres[self.cells].T
+            own = np.einsum("ij,ij->i", x, self.centres[home])
+            guest = ((own[:, None] - sims <= self.reach * gaps(self.centres, home, self.cells) + SLACK)
+                     & (sims >= self.least[None] - SLACK))
+            same = home[:, None] == self.cells[None]
+            guest = guest & (home[:, None] > self.cells[None]) if later else guest | same
+            for k in np.flatnonzero(guest.any(axis=0)).tolist():
+                cols = at + np.flatnonzero(guest[:, k])
+                begin, end = self.spans[k]
+                for row in range(begin, end, TILE):
+                    self._meet(self.held, np.arange(row, min(row + TILE, end)), side, cols)
+
+    def _meet(self, left: _Side, rows: np.ndarray, right: _Side, cols: np.ndarray, once: bool = False) -> None:
+        link = linked(left.x[rows], right.x[cols], self.cosine)
+        if once:
+            link = np.triu(link, 1)
+        a, b = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+        if not len(a):
+            return
+        link, rows, cols = link[np.ix_(a, b)], rows[a], cols[b]
+        left.links[rows] += link @ right.copies[cols]
+        right.links[cols] += left.copies[rows] @ link
+        names = [*left.rep[rows].tolist(), *right.rep[cols].tolist()]
+        both, n = np.zeros((len(names), len(names)), bool), len(rows)
+        both[:n, n:], both[n:, :n] = link, link.T
+        for i, j in spanning_forest(both):
+            u, v = self._root(names[i]), self._root(names[j])
+            if u != v:
+                self.up[u] = v
+                self.edges.append((names[i], names[j]))
+
+    def _root(self, name: int) -> int:
+        up = self.up
+        while (above := up.get(name, name)) != name:
+            up[name] = name = up.get(above, above)
+        return name
+
+    def found(self, side: _Side) -> pa.RecordBatch:
+        """Links of the vectors of ``side``, and the forest's edges since the last call."""
+        some = np.flatnonzero(side.links)
+        edges, self.edges = np.array(self.edges, np.int64).reshape(-1, 2), []
+        none = pa.nulls(len(some), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(side.rep[some], edges[:, 0])), pa.concat_arrays([none, pa.array(edges[:, 1])]),
+             pa.array(np.append(side.links[some], np.zeros(len(edges))).astype(np.int64))], schema=_FOUND)
+
+
+def _compare(centres: dict[int, np.ndarray], reach: float, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stream members sorted by task (cell, pair of blocks); one task is held at a time."""
-        at, held = None, []
-        found: list[tuple] = []
-
-        def close() -> None:
-            left = [r for r in held if r[1] == at[3] and r[3]]
-            right = [r for r in held if r[1] == at[4]]
-            if not left or not right:
-                return
-            link = linked(unit(np.array([r[4] for r in left], np.float32)),
-                          unit(np.array([r[4] for r in right], np.float32)), cosine)
-            if at[3] == at[4]:
-                mine = {r[0]: k for k, r in enumerate(right)}
-                link[np.arange(len(left)), [mine[r[0]] for r in left]] = False
-            rows, cols = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
-            if not len(rows):
-                return
-            link = link[np.ix_(rows, cols)]
-            names = [left[k][0] for k in rows] + [right[k][0] for k in cols]
-            counts = link @ np.array([right[k][2] for k in cols], np.float64)
-            found.extend((names[k], None, int(c)) for k, c in enumerate(counts))
-            n = len(rows)
-            both = np.zeros((len(names), len(names)), bool)
-            both[:n, n:], both[n:, :n] = link, link.T
-            found.extend((names[i], names[j], 0) for i, j in spanning_forest(both))
+        """Rows are sorted by task, the held ones first; held are those and what one batch has of the others."""
+        at, task, waiting = None, None, []
+
+        def begin() -> None:
+            nonlocal task, waiting
+            if task is None and waiting:
+                task = _Task(_Side(*(np.concatenate(c) for c in zip(*waiting))), centres[at[1]], reach, cosine)
+            waiting = []
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist()
-                    for c in ("label", "dim", "cell", "first", "second", "rep", "block", "copies", "home")]
+            cols = {n: batch.column(n).to_numpy(zero_copy_only=False)
+                    for n in ("label", "dim", "to", "part", "streamed", "rep", "copies", "cell")}
             vectors = batch.column("vector")
             flat = vectors.flatten().to_numpy(zero_copy_only=False)
             base = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
-            for i, (*task, rep, block, copies, home) in enumerate(zip(*cols)):
-                if task != at:
-                    if at is not None:
-                        close()
-                    at, held = task, []
-                held.append((rep, block, copies, home, flat[base[i]:base[i + 1]]))
-            yield _rows(found)
-            found.clear()
-        if at is not None:
-            close()
-        yield _rows(found)
+            new = np.zeros(batch.num_rows, bool)
+            new[:1] = True
+            for n in ("label", "dim", "to", "part", "streamed"):
+                new[1:] |= cols[n][1:] != cols[n][:-1]
+            starts = np.flatnonzero(new).tolist()
+            for i, j in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(int(cols[n][i]) for n in ("label", "dim", "to", "part"))
+                if key != at:
+                    begin()
+                    if task is not None:
+                        yield task.found(task.held)
+                    at, task = key, None
+                rows = (cols["rep"][i:j], cols["copies"][i:j], cols["cell"][i:j], flat[base[i]:base[j]].reshape(j - i, -1))
+                if not cols["streamed"][i]:
+                    waiting.append(tuple(r.copy() for r in rows))
+                    continue
+                begin()
+                if task is not None:  # else nothing is at home in the block
+                    side = _Side(*rows)
+                    task.stream(side)
+                    yield task.found(side)
+        begin()
+        if task is not None:
+            yield task.found(task.held)
     return run
 
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(_FOUND)],
-                                      schema=_FOUND)
+def block_rows(dim: int) -> int:
+    """Vectors of a length at home in a block, at most."""
+    return max(1, BLOCK_BYTES // (4 * max(1, dim)))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_centre: int = PER_CENTRE,
-                    block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
+                    block: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label).
+
+    ``block``: vectors at home in a block (default: by ``BLOCK_BYTES``).
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
                           F.col("embedding").cast("array<float>").alias("vector"))
     sound = (F.col("label").isNotNull() & F.col("vector").isNotNull()
              & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
              & F.exists("vector", lambda v: v != 0))
-    rows = written(rows.withColumn("vector", F.when(F.coalesce(sound, F.lit(False)), F.col("vector")))
-                   .withColumn("row", F.monotonically_increasing_id()), "vectors")
+    plus = F.transform("vector", lambda v: v + F.lit(0.0).cast("float"))  # -0 is 0
+    rows = rows.withColumn("vector", F.when(F.coalesce(sound, F.lit(False)), plus))
+    digest = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), F.col("vector")).alias("h2")]
     good = rows.where(F.col("vector").isNotNull())
-    reps = written(good.groupBy("label", "vector").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                                                       F.min("vec_id").alias("least"))
-                   .withColumn("dim", F.size("vector")), "vector_reps")
+    reps = written(good.groupBy("label", "vector").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+                   .select("label", "vector", "copies", "least", *digest, F.size("vector").alias("dim"),
+                           F.monotonically_increasing_id().alias("rep")), "vector_reps")
 
     centres: dict[int, np.ndarray] = {}
-    sizes = reps.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(
+    labels = reps.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = labels.groupBy("dim").agg(
         F.sum("n").alias("n"), F.max("n").alias("most")).collect()  # one row per vector length
     for r in sizes:
         wanted = int(min(1.0, SAMPLE / r["n"]) * 1_000_000)
@@ -188,32 +297,37 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_centre: int
         centres[r["dim"]] = spherical_kmeans(x, k)
 
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    placed = written(reps.select("rep", "label", "dim", "copies", "vector")
-                     .mapInArrow(_assign(centres, reach), _PLACED_DDL), "cells")
-    cells = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("m"))
-    tasks = (placed.join(cells, ["label", "dim", "cell"])
-             .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-             .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    # Task (first, second): the vectors at home in the first block against all members of the second.
-    as_left = tasks.where("home").withColumn("first", F.col("block")).withColumn("second", F.col("other"))
-    as_right = tasks.where("NOT (home AND block = other)").withColumn("first", F.col("other")).withColumn(
-        "second", F.col("block"))
-    key = ["label", "dim", "cell", "first", "second"]
-    cols = [*key, "rep", "block", "copies", "home", "vector"]
-    found = written(as_left.select(*cols).unionByName(as_right.select(*cols))
-                    .repartition(*key).sortWithinPartitions(*key, "rep")
-                    .mapInArrow(_compare(cosine), "a long, b long, links long"), "vector_links")
+    most = F.lit(block) if block else F.expr(f"greatest(1, {BLOCK_BYTES} div (4 * dim))")
+    # Only labels of more than a block have a row here, and below only blocks of more than a part: few, whatever the data.
+    large = labels.where(F.col("n") > most).select("label", "dim", F.col("n").alias("rows"))
+    placed = (reps.join(F.broadcast(large), ["label", "dim"], "left")
+              .select("rep", "label", "dim", "copies", "vector", F.coalesce("rows", F.lit(1).cast("long")).alias("rows"))
+              .mapInArrow(_assign(centres, reach, block), _PLACED_DDL))
+    full = (placed.where("home").groupBy("label", "dim", "to").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+            .select("label", "dim", "to", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    own = F.when(F.col("home"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sent = (placed.join(F.broadcast(full), ["label", "dim", "to"], "left")
+            .withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .where(F.expr("own IS NULL OR part = own OR ((own + part) % 2 = 0) = (part < own)"))
+            .withColumn("streamed", ~F.expr("part <=> own")))
+    key = ["label", "dim", "to", "part"]
+    found = written(sent.select(*key, "streamed", "rep", "copies", "cell", "vector")
+                    .repartition(*key).sortWithinPartitions(*key, "streamed", "rep")
+                    .mapInArrow(_compare(centres, reach, cosine), "a long, b long, links long"), "vector_links")
 
     links = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
     groups = components(found.where(F.col("b").isNotNull()).select("a", "b"))
-    named = (reps.join(groups, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")
-             .select("label", "vector", "least", F.coalesce("root", "rep").alias("root"),
+    named = (reps.select("rep", "label", "h1", "h2", "copies", "least")
+             .join(groups, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")
+             .select("label", "h1", "h2", "least", F.coalesce("root", "rep").alias("root"),
                      (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     named = written(named, "vector_groups")
     per_group = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_vector = named.join(per_group, "root").select("label", "vector", "n_links", "component_id")
-    out = rows.join(per_vector, ["label", "vector"], "left").withColumn(
-        "component_id", F.when(F.col("vector").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
+    per_vector = named.join(per_group, "root").select("label", "h1", "h2", "n_links", "component_id")
+    held = F.col("vector").isNotNull()
+    rows = rows.select("vec_id", "label", held.alias("sound"), *[F.when(held, h).alias(n) for h, n in zip(digest, ("h1", "h2"))])
+    out = rows.join(per_vector, ["label", "h1", "h2"], "left").withColumn(
+        "component_id", F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id")))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id",
                       F.coalesce(F.expr("vec_id <=> component_id"), F.lit(False)).alias("kept"))

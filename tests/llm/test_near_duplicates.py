@@ -217,3 +217,51 @@ def test_odd_vectors(spark):
     assert [got[i]["n_links"] for i in (22, 23, 25)] == [3, 3, 3] and {got[i]["component_id"] for i in (22, 23, 25)} == {22}
     assert got[26]["n_links"] == got[27]["n_links"] == 1 and got[27]["component_id"] == 26
     assert C.near_duplicates(df.where("false")).count() == 0
+
+
+def test_vectors_of_many_cells_are_stored_once(spark, monkeypatch, tmp_path):
+    """Vectors without clusters are guests of most cells; that must not multiply what is written."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x[1::50] = x[::50] + np.float32(0.001)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    sizes = []
+
+    def measured(table, name, written=C.written):
+        out = written(table, name)
+        sizes.append(out.agg(F.sum(F.size(F.coalesce("vector", F.array())))).first()[0] if "vector" in out.columns else 0)
+        return out
+    monkeypatch.setattr(C, "written", measured)
+    got = {r["vec_id"]: r["n_links"] for r in C.near_duplicates(df, per_centre=100).collect()}
+    assert sum(sizes) <= 2 * x.size  # 30 cells: most vectors were stored for several of them
+    unit = C.unit(x)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() == 120 and got == dict(enumerate(want.tolist()))
+
+
+def test_a_vector_is_sent_once_for_each_block():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 16)).astype(np.float32)
+    centres = C.spherical_kmeans(C.unit(x), 40)
+    batch = C.pa.RecordBatch.from_pydict({
+        "rep": C.pa.array(range(500)), "label": C.pa.array([0] * 500), "dim": C.pa.array([16] * 500, C.pa.int32()),
+        "copies": C.pa.array([1] * 500), "vector": C.pa.array(x.tolist(), C.pa.list_(C.pa.float32())),
+        "rows": C.pa.array([500] * 500)})
+    out = C.pa.Table.from_batches(C._assign({16: centres}, 0.2, 125)([batch]))
+    sent = list(zip(out["rep"].to_pylist(), out["to"].to_pylist()))
+    assert len(sent) == len(set(sent)) <= 500 * 2.5  # four blocks: at home in one, past about half of the others
+    assert sum(out["home"].to_pylist()) == 500 and all(C.goes(a, b) != C.goes(b, a) for a in range(9) for b in range(a))
+
+
+def test_one_crowded_cell_is_dealt_over_tasks(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=16) + rng.normal(0, 0.14, (400, 16))).astype(np.float32)
+    x[0, 3], x[1] = 0.0, x[0]
+    x[1, 3] = -0.0
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    link = C.unit(x) @ C.unit(x).T >= 0.98
+    np.fill_diagonal(link, False)
+    link[0, 1] = link[1, 0] = True
+    assert 10_000 < link.sum() < 159_600
+    got = {r["vec_id"]: r["n_links"] for r in C.near_duplicates(df, block=64).collect()}
+    assert got == dict(enumerate(link.sum(axis=1).tolist()))
