@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.operators import forest
 from evenkeel.operators.metrics import model_metrics
 from evenkeel.session import written
 
@@ -100,9 +101,10 @@ def fit(name: str, train: DataFrame, weight_col: Optional[str] = None):
     else:
         total = float(train.count())
     start = time.time()
-    model = build(name, total, weight_col).fit(train)
     if name == "random_forest":
-        model = Forest(model)
+        model = Forest(forest.grow(build(name, total, weight_col), train))
+    else:
+        model = build(name, total, weight_col).fit(train)
     return model, time.time() - start
 
 
