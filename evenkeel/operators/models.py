@@ -37,6 +37,7 @@ TREE_MIN_LEAF = 10
 FOREST_TREES = 100
 MIN_SPLIT = 20
 MAX_BINS = 256  # candidate thresholds per number
+SCORED_CELLS = 200_000  # cells whose score a task keeps
 
 MODEL_NAMES = ["logistic_regression", "decision_tree", "random_forest"]
 
@@ -64,12 +65,13 @@ def build(name: str, total_weight: float, weight_col: Optional[str] = None,
 
 class Forest:
     """A fitted forest whose nodes of fewer than ``min_split`` rows are leaves (M9): Spark ML grows the
-    trees, this minimum is applied to them. Scores rows in Arrow batches."""
+    trees, this minimum is applied to them. Scores rows in Arrow batches, rows of one cell once."""
 
     def __init__(self, model, min_split: int = MIN_SPLIT) -> None:
-        from evenkeel.operators.treeshap import load_trees
+        from evenkeel.operators.treeshap import Cells, load_trees
         self.grown, self.min_split = model, min_split
         self.trees = load_trees(model, min_split)
+        self.cells = Cells(self.trees, model.numFeatures)
         shares = np.mean([t.importances(model.numFeatures) for t in self.trees], axis=0)
         self.featureImportances = Vectors.dense(shares / shares.sum() if shares.sum() > 0 else shares)
 
@@ -79,13 +81,27 @@ class Forest:
         while name in df.columns:
             name = "_" + name
         held = df.withColumn(name, vector_to_array("features")).drop("features")
-        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+        shared = df.sparkSession.sparkContext.broadcast((self.trees, self.cells))
 
         def run(batches):
+            trees, cells = shared.value
+            used = [f for f, m in enumerate(cells.marks) if len(m)]
+            known: Dict[bytes, float] = {}
             for batch in batches:
-                x = batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                p = np.mean([t.predict(x) for t in shared.value], axis=0) if batch.num_rows else np.empty(0)
-                yield batch.drop_columns([name]).append_column("score", pa.array(p, pa.float64()))
+                n = batch.num_rows
+                x = batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                codes = np.ascontiguousarray(cells.codes(x)[:, used])
+                raw, wide = codes.tobytes(), codes.shape[1] * codes.itemsize
+                keys = [raw[i:i + wide] for i in range(0, n * wide, wide)] if wide else [b""] * n
+                if len(known) > SCORED_CELLS:
+                    known.clear()
+                new = {key: i for i, key in enumerate(keys) if key not in known}
+                if new:
+                    rows, p = x[list(new.values())], 0.0
+                    for t in trees:
+                        p = p + t.predict(rows)
+                    known.update(zip(new, (p / len(trees)).tolist()))
+                yield batch.drop_columns([name]).append_column("score", pa.array([known[key] for key in keys], pa.float64()))
 
         schema = T.StructType([f for f in held.schema.fields if f.name != name] + [T.StructField("score", T.DoubleType())])
         return held.mapInArrow(run, schema)

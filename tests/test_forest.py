@@ -48,6 +48,20 @@ def test_the_trees_are_those_of_the_rows(spark, monkeypatch, tmp_path, values, o
     assert fitted.grown.getNumTrees == 7 and fitted.grown.numClasses == grown.numClasses == 2 and fitted.grown.featureImportances == grown.featureImportances
 
 
+def test_rows_of_a_cell_have_the_score_of_the_trees(spark):
+    train = _rows(spark, 3000, 50)
+    estimator = models.build("random_forest", 3000.0).setNumTrees(5)
+    fitted = models.Forest(forest.grow(estimator, train))
+    odd = spark.createDataFrame([(-1, 0, [float("nan"), 1.0, 0.0, 1.0]), (-2, 1, [1e9, 0.0, 0.0, 0.0]), (-3, 1, [-0.0, 0.0, 1.0, 0.0])],
+                                "id long, y_true int, x array<double>").withColumn("features", array_to_vector("x")).drop("x")
+    rows = train.unionByName(odd)
+    got = {r["id"]: r["score"] for r in fitted.transform(rows).select("id", "score").collect()}
+    at = rows.select("id", "features").collect()
+    x = np.array([r["features"].toArray() for r in at])
+    want = np.mean([t.predict(x) for t in fitted.trees], axis=0)
+    assert [got[r["id"]] for r in at] == pytest.approx(want.tolist(), abs=1e-15) and len(got) == 3003
+
+
 def test_a_failed_pass_is_not_taken_for_missing_classes(spark):
     train = _rows(spark, 100, 5).withColumn("y_true", F.when(F.col("id") == 7, -1).otherwise(F.col("y_true")))
     with pytest.raises(Exception, match="(?i)label|class"):
